@@ -61,4 +61,6 @@ from loomframe.operators.windows import (
     standardise,
 )
 
-__all__ = [n for n in dir() if not n.startswith("_")]
+from loomframe.plans.blocks import WHOLE_GROUPS
+
+__all__ = ["WHOLE_GROUPS", *[n for n, v in list(globals().items()) if callable(v)]]

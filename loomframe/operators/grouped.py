@@ -16,26 +16,32 @@ from loomframe.plans.sizing import large_groups, rows_per_block
 
 
 def filter_at_max(
-    df: DataFrame, x: str, by: Sequence[str] = (), na_rm: bool = False
+    df: DataFrame,
+    x: str,
+    by: Sequence[str] = (),
+    na_rm: bool = False,
+    few_groups: bool | None = None,
 ) -> DataFrame:
     """Rows holding their group's largest value, ties included.
 
     A group with a missing value has no known maximum and goes, unless ``na_rm``.
     """
-    marked = attach_group_stats(df, by, {"__max": max_of(x, na_rm)})
+    marked = attach_group_stats(df, by, {"__max": max_of(x, na_rm)}, few_groups=few_groups)
     return marked.where(F.col(x) == F.col("__max")).drop("__max")
 
 
-def keep_groups_all(df: DataFrame, cond: Column, by: Sequence[str]) -> DataFrame:
+def keep_groups_all(
+    df: DataFrame, cond: Column, by: Sequence[str], few_groups: bool | None = None
+) -> DataFrame:
     """Groups in which every row passes; an unknown outcome does not pass."""
-    return keep_groups(df, by, all_true(cond))
+    return keep_groups(df, by, all_true(cond), few_groups)
 
 
 def keep_groups_missing_below(
-    df: DataFrame, x: str, by: Sequence[str], share: float
+    df: DataFrame, x: str, by: Sequence[str], share: float, few_groups: bool | None = None
 ) -> DataFrame:
     """Groups whose share of missing values lies strictly below ``share``."""
-    return keep_groups(df, by, missing_share(x) < share)
+    return keep_groups(df, by, missing_share(x) < share, few_groups)
 
 
 def slice_max(
@@ -54,7 +60,7 @@ def slice_max(
     """
     if not with_ties:
         return slice_head(df, n, by, [f"-{x}", *tiebreak])
-    along = Window.partitionBy(*by).orderBy(F.col(x).desc_nulls_last())
+    along = Window.partitionBy(*by).orderBy(F.col("__x").desc_nulls_last())
     top = (
         df.select(*by, F.col(x).alias("__x"))
         .withColumn("__rn", F.row_number().over(along))

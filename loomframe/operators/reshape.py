@@ -12,7 +12,7 @@ from loomframe.operators.select import resolve
 
 VALUE = ".value"
 _MOST_COLUMNS = 10_000
-_INLINE_CELLS = 100
+_INLINE_CELLS = 24
 
 
 def pivot_longer(

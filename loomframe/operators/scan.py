@@ -18,12 +18,11 @@ from pyspark.sql import types as T
 
 from loomframe.functions.missing import col_of
 from loomframe.operators.windows import cumsum, cumulate
-from loomframe.plans.blocks import BLOCK, OrderedBlocks
+from loomframe.plans.blocks import BLOCK, WHOLE_GROUPS, OrderedBlocks
 from loomframe.plans.matching import lookup_join
 
 _ROW, _MULT, _ADD = "__row", "__mult", "__add"
 _SCALE, _SHIFT = "__scale", "__shift"
-_NEVER = 2**62
 
 
 def _sorted_rows(blocks: OrderedBlocks, df: DataFrame) -> DataFrame:
@@ -103,7 +102,7 @@ def accumulate_affine(
         )
     )
     # One row per block from here to the join, so no further cutting is needed.
-    chain = OrderedBlocks(ends, blocks.by, BLOCK, limit=_NEVER)
+    chain = OrderedBlocks(ends, blocks.by, BLOCK, limit=WHOLE_GROUPS)
     chained = _composed(_sorted_rows(chain, chain.df))
     entering = chained.select(*blocks.keys, F.lag(_SHIFT).over(chain.window()).alias("__enter"))
     joined = lookup_join(local, entering, blocks.keys, small=True)
@@ -152,7 +151,7 @@ def accumulate(
     The step may be anything, so a group cannot be divided; memory stays at one batch.
     Prefer ``accumulate_affine``, ``cumsum`` or ``cumprod`` where they say the same.
     """
-    blocks = OrderedBlocks(df, by, order_by, limit=_NEVER)
+    blocks = OrderedBlocks(df, by, order_by, limit=WHOLE_GROUPS)
     rows = _sorted_rows(blocks, df.withColumn("__x", F.col(x)))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

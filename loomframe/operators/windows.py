@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomframe.functions.missing import standard_score
 from loomframe.functions.scalars import change_ratio
-from loomframe.plans.blocks import OrderedBlocks, parse_order
+from loomframe.plans.blocks import WHOLE_GROUPS, OrderedBlocks, parse_order
 from loomframe.plans.matching import attach_group_stats, lookup_join
 from loomframe.plans.sizing import groups_fit, large_groups, rows_per_block, table_fits
 
@@ -49,14 +49,20 @@ def lag_change(
 
 
 def fixed_base_change(
-    df: DataFrame, x: str, at: str, base, by: Sequence[str], out: str = "vs_base"
+    df: DataFrame,
+    x: str,
+    at: str,
+    base,
+    by: Sequence[str],
+    out: str = "vs_base",
+    few_groups: bool | None = None,
 ) -> DataFrame:
     """Change against the group's value at ``at == base``; null where there is none.
 
     Should several rows carry the base, the smallest value is taken.
     """
     stats = {"__base": F.min(F.when(F.col(at) == base, F.col(x)))}
-    marked = attach_group_stats(df, by, stats)
+    marked = attach_group_stats(df, by, stats, few_groups=few_groups)
     return marked.withColumn(out, change_ratio(x, "__base")).drop("__base")
 
 
@@ -73,6 +79,8 @@ def standardise(df: DataFrame, x: str, by: Sequence[str] = (), out: str | None =
 
 def _any_large(df: DataFrame, by: Sequence[str], limit: int | None) -> bool:
     most = rows_per_block(df.sparkSession, limit)
+    if most >= WHOLE_GROUPS:
+        return False
     if not by:
         return df.count() > most
     return bool(large_groups(df, by, most))

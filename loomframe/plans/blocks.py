@@ -25,6 +25,9 @@ from pyspark.sql import types as T
 from loomframe.plans.matching import lookup_join
 from loomframe.plans.sizing import large_groups, rows_per_block
 
+# As a limit: the caller knows every group to be small, so nothing is counted or cut.
+WHOLE_GROUPS = 2**62
+
 BLOCK = "__block"
 COPY = "__copy"
 _CUTS = "__cuts"
@@ -130,6 +133,8 @@ def assign_blocks(
     by, order = list(by), parse_order(order_by)
     spark = df.sparkSession
     limit = rows_per_block(spark, limit)
+    if limit >= WHOLE_GROUPS:
+        return df, False
     if not by:
         n = df.count()
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))

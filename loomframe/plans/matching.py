@@ -47,13 +47,15 @@ def attach_group_stats(
     by: Sequence[str],
     stats: dict[str, Column],
     source: DataFrame | None = None,
+    few_groups: bool | None = None,
 ) -> DataFrame:
     """Add per-group aggregates to every row without gathering any group.
 
     They are taken over ``source`` (rows derived from ``df``), by default ``df`` itself.
     The aggregates combine on the map side, so a group of any size costs one row per
     task; they are joined back rather than computed in a window, which would pull the
-    whole group into one task.
+    whole group into one task. ``few_groups`` says that the groups are known to be few
+    (or many); otherwise they are counted to decide how to join.
     """
     named = [agg.alias(name) for name, agg in stats.items()]
     source = df if source is None else source
@@ -64,10 +66,14 @@ def attach_group_stats(
             .select(*df.columns, *[F.col("__total")[n].alias(n) for n in stats])
         )
     table = source.groupBy(*by).agg(*named)
-    return lookup_join(df, table, by, small=groups_fit(df, by, len(stats)))
+    small = groups_fit(df, by, len(stats)) if few_groups is None else few_groups
+    return lookup_join(df, table, by, small=small)
 
 
-def keep_groups(df: DataFrame, by: Sequence[str], passes: Column) -> DataFrame:
+def keep_groups(
+    df: DataFrame, by: Sequence[str], passes: Column, few_groups: bool | None = None
+) -> DataFrame:
     """Rows of the groups for which the aggregate ``passes`` is true."""
     good = df.groupBy(*by).agg(passes.alias("__ok")).where("__ok").select(*by)
-    return lookup_join(df, good, by, how="left_semi", small=groups_fit(df, by, 1))
+    small = groups_fit(df, by, 1) if few_groups is None else few_groups
+    return lookup_join(df, good, by, how="left_semi", small=small)
