@@ -1,0 +1,144 @@
+"""Missing-value rules N1 to N22, each against the naive form where that differs."""
+
+import pytest
+from conftest import rows, same
+from pyspark.sql import functions as F
+
+from loomframe import functions as L
+from loomframe import operators as op
+
+
+def test_n1_all_true_needs_known_outcome(frame, layout):
+    df = frame([("A", 1), ("A", None), ("B", 1), ("B", 2)], "g string, x int")
+    same(op.keep_groups_all(df, F.col("x") > 0, ["g"]), [("B", 1), ("B", 2)])
+    naive = df.groupBy("g").agg(F.bool_and(F.col("x") > 0).alias("ok")).where("ok")
+    assert naive.count() == 2
+
+
+def test_n2_if_else_keeps_missing(frame):
+    df = frame([(1,), (5,), (None,)], "x int")
+    same(df.select(L.if_else(F.col("x") > 3, F.lit("a"), F.lit("b"))), [("b",), ("a",), (None,)])
+    naive = df.select(F.when(F.col("x") > 3, "a").otherwise("b"))
+    same(naive, [("b",), ("a",), ("b",)])
+
+
+def test_case_when_takes_default_when_unknown(frame):
+    df = frame([(1,), (5,), (9,), (None,)], "x int")
+    band = L.case_when((F.col("x") > 6, "hi"), (F.col("x") > 3, "mid"), default="lo")
+    same(df.select(band), [("lo",), ("mid",), ("hi",), ("lo",)])
+
+
+def test_n3_aggregates_are_missing_unless_removed(frame):
+    df = frame([("A", 1.0), ("A", None), ("B", 2.0)], "g string, x double")
+    got = df.groupBy("g").agg(
+        L.sum_of("x").alias("s"), L.mean_of("x").alias("m"), L.max_of("x").alias("h"),
+        L.min_of("x").alias("l"), L.sum_of("x", na_rm=True).alias("sr"),
+        L.mean_of("x", na_rm=True).alias("mr"),
+    )
+    same(got, [("A", None, None, None, None, 1.0, 1.0), ("B", 2.0, 2.0, 2.0, 2.0, 2.0, 2.0)])
+    empty = frame([(None,)], "x double").agg(L.sum_of("x", na_rm=True).alias("s"))
+    same(empty, [(0.0,)])
+
+
+def test_n4_ranks_of_missing_values(frame, layout):
+    df = frame([("A", 1, 20), ("A", 2, 10), ("A", 3, None)], "g string, o int, x int")
+    same(op.min_rank(df, "-x", ["g"]), [("A", 1, 20, 1), ("A", 2, 10, 2), ("A", 3, None, None)], "g", "o", "x", "rank")
+    same(op.dense_rank(df, "x", ["g"]), [("A", 1, 20, 2), ("A", 2, 10, 1), ("A", 3, None, None)], "g", "o", "x", "rank")
+    same(op.row_number(df, "x", ["g"], ["o"]), [("A", 1, 20, 2), ("A", 2, 10, 1), ("A", 3, None, None)], "g", "o", "x", "rank")
+
+
+def test_n5_rolling_mean_with_missing_member(frame, layout):
+    df = frame([(1, 1.0), (2, None), (3, 3.0), (4, 5.0)], "o int, x double")
+    got = op.rolling(df, "x", "mean", before=1, order_by="o")
+    same(got, [(1, None), (2, None), (3, None), (4, 4.0)], "o", "rolling")
+    loose = op.rolling(df, "x", "mean", before=1, order_by="o", na_rm=True)
+    same(loose, [(1, None), (2, 1.0), (3, 3.0), (4, 4.0)], "o", "rolling")
+
+
+def test_n6_distinct_tuples_count_missing(frame):
+    df = frame([(1, 1), (1, 1), (1, None), (None, None)], "a int, b int")
+    same(df.agg(L.n_distinct("a", "b")), [(3,)])
+    same(df.agg(F.count_distinct("a", "b")), [(1,)])
+
+
+def test_n7_missing_join_keys(frame):
+    l = frame([(1, "p"), (None, "q")], "k int, a string")
+    r = frame([(1, "x"), (None, "y")], "k int, b string")
+    same(op.left_join(l, r, "k"), [(1, "p", "x"), (None, "q", None)])
+    same(op.left_join(l, r, "k", na_matches="na"), [(1, "p", "x"), (None, "q", "y")])
+
+
+def test_n8_missing_values_sort_last_both_ways(frame, layout):
+    df = frame([(None, 1), (2, 2), (1, 3)], "x int, o int")
+    same(op.slice_head(df, 2, [], "x"), [(1, 3), (2, 2)])
+    same(op.slice_head(df, 2, [], "-x"), [(1, 3), (2, 2)])
+    df = df.withColumn("one", F.lit(1))
+    up = op.cumsum(df, "one", order_by="x")
+    same(up, [(1, 1), (2, 2), (None, 3)], "x", "cum")
+    down = op.cumsum(df, "one", order_by="-x")
+    same(down, [(2, 1), (1, 2), (None, 3)], "x", "cum")
+
+
+def test_n9_division_by_zero(frame):
+    df = frame([(1.0, 0.0), (1.0, 2.0)], "x double, d double")
+    same(df.select(L.safe_div("x", "d")), [(None,), (0.5,)])
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        df.select(F.col("x") / F.col("d")).collect()
+
+
+def test_n10_row_min(frame):
+    df = frame([(1, 2), (3, None)], "a int, b int")
+    same(df.select(L.row_min("a", "b")), [(1,), (None,)])
+    same(df.select(L.row_min("a", "b", na_rm=True)), [(1,), (3,)])
+
+
+def test_n11_nan_becomes_missing(frame):
+    df = frame([(1.0,), (float("nan"),)], "x double")
+    assert L.nan_to_null(df).where("x is null").count() == 1
+    same(L.nan_to_null(df).agg(F.avg("x")), [(1.0,)])
+
+
+def test_n12_g6_strip_summary_rows(frame):
+    df = frame(
+        [("East", "A"), (None, "B"), ("North", " Total "), ("North", "C")],
+        "region string, item string",
+    )
+    same(op.drop_matching_rows(df, "^Total$"), [("East", "A"), (None, "B"), ("North", "C")])
+    naive = op.filter_not_any(df, op.textual(), lambda c: F.trim(c).rlike("^Total$"))
+    same(naive, [("East", "A"), ("North", "C")])
+
+
+def test_n15_round_half_up(frame):
+    same(frame([(2.5,)], "x double").select(F.round("x"), F.bround("x")), [(3.0, 2.0)])
+
+
+def test_n16_constant_group_has_no_scale(frame, layout):
+    df = frame([("A", 1.0), ("A", 1.0), ("B", 2.0)], "g string, x double")
+    same(op.standardise(df, "x", ["g"]), [("A", None), ("A", None), ("B", None)])
+
+
+def test_n20_delimiter_is_literal(frame):
+    df = frame([("a|b",)], "c string")
+    same(op.separate_delim(df, "c", "|", ["x", "y"]), [("a", "b")])
+    df = frame([("a.b.c",), (None,)], "c string")
+    with pytest.raises(Exception, match="pieces"):
+        op.separate_delim(df, "c", ".", ["x", "y"]).collect()
+    same(op.separate_delim(df, "c", ".", ["x", "y"], too_many="merge"), [("a", "b.c"), (None, None)])
+    same(op.separate_delim(df, "c", ".", ["x", "y"], too_many="drop"), [("a", "b"), (None, None)])
+    four = ["w", "x", "y", "z"]
+    same(op.separate_delim(df, "c", ".", four, too_few="align_start"), [("a", "b", "c", None), (None,) * 4])
+
+
+def test_scalars(frame):
+    df = frame([("  a \t b  ", "x12y", "7"), (None, "none", "q")], "a string, b string, c string")
+    got = df.select(
+        L.str_squish("a"), L.str_detect("b", r"\d"), L.str_extract("b", r"\d+"), L.as_integer("c"),
+        L.paste("s", F.col("c")),
+    )
+    same(got, [("a b", True, "12", 7, "s7"), (None, False, None, None, "sq")])
+    sets = frame([(["a", "b", "c"], ["c", "d"])], "p array<string>, q array<string>")
+    same(sets.select(L.set_difference_size("p", "q"), L.set_difference_size("q", "p")), [(2, 1)])
+    months = frame([("2020-01-01", "2021-01-01")], "a string, b string").select(
+        F.size(L.month_sequence(F.to_date("a"), F.to_date("b")))
+    )
+    assert rows(months) == [(13,)]
