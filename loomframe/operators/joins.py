@@ -364,7 +364,8 @@ def join_within(
     """Pairs in which the interval of ``x`` lies within that of ``y``, ends included."""
 
     def pairs(x, y, xs, xe, ys, ye):
-        return _points_in_intervals(x, y, xs, ys, ye, F.col(xe) <= F.col(ye))
+        inside = (F.col(xs) <= F.col(xe)) & (F.col(xe) <= F.col(ye))
+        return _points_in_intervals(x, y, xs, ys, ye, inside)
 
     return _interval_join(x, y, x_span, y_span, how, key, suffix, pairs)
 
@@ -385,8 +386,9 @@ def join_overlap(
     """
 
     def pairs(x, y, xs, xe, ys, ye):
-        first = _points_in_intervals(y, x, ys, xs, xe, F.lit(True))
-        second = _points_in_intervals(x, y, xs, ys, ye, F.col(ys) < F.col(xs))
+        first = _points_in_intervals(y, x, ys, xs, xe, F.col(ys) <= F.col(ye))
+        starts_later = (F.col(ys) < F.col(xs)) & (F.col(xs) <= F.col(xe))
+        second = _points_in_intervals(x, y, xs, ys, ye, starts_later)
         return first.unionByName(second)
 
     return _interval_join(x, y, x_span, y_span, how, key, suffix, pairs)

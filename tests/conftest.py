@@ -11,18 +11,18 @@ from loomframe.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, "tests")
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    session = local_session(8, "tests")
+    session.conf.set("spark.sql.shuffle.partitions", "3")
     yield session
     session.stop()
 
 
-@pytest.fixture(params=["whole groups", "blocks", "blocks, no broadcast"])
+@pytest.fixture(params=["whole groups", "blocks"])
 def layout(spark, request):
-    """Run a test with groups kept whole, cut into blocks, and without size-checked broadcasts."""
-    if request.param != "whole groups":
+    """Run a test with groups kept whole, then cut into blocks and with no table broadcast
+    but those of one row per block."""
+    if request.param == "blocks":
         spark.conf.set("loomframe.rowsPerBlock", "2")
-    if request.param.endswith("no broadcast"):
         spark.conf.set("loomframe.broadcastBytes", "-1")
     yield request.param
     spark.conf.unset("loomframe.rowsPerBlock")
