@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomframe.operators.grid import product
-from loomframe.plans.blocks import OrderedBlocks
+from loomframe.plans.blocks import WHOLE_GROUPS, OrderedBlocks
 from loomframe.plans.matching import lookup_join
 from loomframe.plans.sizing import large_groups, rows_per_block, table_fits
 
@@ -220,13 +220,17 @@ def join_closest(
 
     unique = not lookup.groupBy(*bys, "__at").count().where("count > 1").limit(1).count()
     payload = [c for c in lookup.columns if c not in bys] if unique else ["__at"]
-    limit = rows_per_block(left.sparkSession)
-    heavy = not by or bool(large_groups(left.select(*by), by, limit))
+    heavy = not by or bool(
+        large_groups(
+            left.select(*by).union(lookup.select(*bys)), by, rows_per_block(left.sparkSession)
+        )
+    )
     probes = left.select(*by, left_col).distinct() if heavy else left
-    best = _scan_closest(probes, lookup, by, bys, left_col, op, payload)
+    limit = None if heavy else WHOLE_GROUPS
+    best = _scan_closest(probes, lookup, by, bys, left_col, op, payload, limit)
     if heavy:
         table = best.select(*by, left_col, "__hit")
-        best = lookup_join(left, table, [*by, left_col], small=table_fits(table))
+        best = lookup_join(left, table, [*by, left_col])
     if unique:
         cells = [F.col("__hit")[c].alias(shown if c == "__at" else c) for c in payload]
         return best.select(*left.columns, *cells)
@@ -243,7 +247,7 @@ def _attach_at(chosen, lookup, by, bys, shown) -> DataFrame:
     return joined.drop("__best", *bys).withColumnRenamed("__at", shown)
 
 
-def _scan_closest(probes, lookup, by, bys, left_col, op, payload) -> DataFrame:
+def _scan_closest(probes, lookup, by, bys, left_col, op, payload, limit) -> DataFrame:
     """Walk both tables in one order and carry the last lookup row to each probe."""
     backwards = op in ("<=", "<")
     right_first = op in (">=", "<=")
@@ -265,7 +269,7 @@ def _scan_closest(probes, lookup, by, bys, left_col, op, payload) -> DataFrame:
     )
     rows = lefts.unionByName(rights, allowMissingColumns=True)
     order = ["-__t" if backwards else "__t", "__side"]
-    blocks = OrderedBlocks(rows, by, order)
+    blocks = OrderedBlocks(rows, by, order, limit)
     last = F.last("__hit", ignorenulls=True).over(blocks.running())
     scanned = blocks.df.withColumn("__last", last)
     ahead = F.col("__hit")

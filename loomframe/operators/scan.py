@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from loomframe.functions.missing import col_of
 from loomframe.operators.windows import cumsum, cumulate
-from loomframe.plans.blocks import BLOCK, WHOLE_GROUPS, OrderedBlocks
+from loomframe.plans.blocks import LARGE, WHOLE_GROUPS, OrderedBlocks
 from loomframe.plans.matching import lookup_join
 
 _ROW, _MULT, _ADD = "__row", "__mult", "__add"
@@ -92,7 +92,7 @@ def accumulate_affine(
         return local.select(*kept, F.nanvl(F.col(_SHIFT), F.lit(None)).alias(out))
 
     ends = (
-        local.where(F.col(BLOCK).isNotNull())
+        local.where(LARGE)
         .groupBy(*blocks.keys)
         .agg(F.max_by(F.struct(_SCALE, _SHIFT), _ROW).alias("__end"))
         .select(
@@ -102,7 +102,7 @@ def accumulate_affine(
         )
     )
     # One row per block from here to the join, so no further cutting is needed.
-    chain = OrderedBlocks(ends, blocks.by, BLOCK, limit=WHOLE_GROUPS)
+    chain = OrderedBlocks(ends, blocks.by, blocks.keys[-1], limit=WHOLE_GROUPS)
     chained = _composed(_sorted_rows(chain, chain.df))
     entering = chained.select(*blocks.keys, F.lag(_SHIFT).over(chain.window()).alias("__enter"))
     joined = lookup_join(local, entering, blocks.keys, small=True)

@@ -15,7 +15,7 @@ from loomframe.functions.missing import standard_score
 from loomframe.functions.scalars import change_ratio
 from loomframe.plans.blocks import WHOLE_GROUPS, OrderedBlocks, parse_order
 from loomframe.plans.matching import attach_group_stats, lookup_join
-from loomframe.plans.sizing import groups_fit, large_groups, rows_per_block, table_fits
+from loomframe.plans.sizing import groups_fit, large_groups, rows_per_block
 
 
 def lag(
@@ -97,7 +97,7 @@ def _rank(df, x, by, out, limit, window_rank, table_rank) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("__n"))
     )
     ranked = table_rank(values).select(*by, name, F.col("__rank").cast("int").alias(out))
-    return lookup_join(df, ranked, [*by, name], small=table_fits(ranked))
+    return lookup_join(df, ranked, [*by, name])
 
 
 def _ranking(x: str) -> list[Column]:

@@ -7,10 +7,11 @@ its own, and what a block needs to know about earlier rows is brought to it:
 * ``carry``         a summary of all earlier blocks (running sums, last values)
 * ``with_lookback`` copies of the last k rows before the block (lags, rolling frames)
 
-Cut points come from a sample, are collected once and then stay constants of the
-plan, so re-running a lost task places every row in the same block. The sample only
-decides how even the blocks are, never what a row's result is: the place of a row is
-found by comparing its order key with the cut points, and equal keys stay together.
+Which groups are large, and where to cut them, comes from a sample. The cut points are
+collected once and then stay constants of the plan, so re-running a lost task places
+every row in the same block. The sample only decides how even the blocks are, never
+what a row's result is: the place of a row is found by comparing its order key with the
+cut points, and equal keys stay together.
 """
 
 from __future__ import annotations
@@ -23,15 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomframe.plans.matching import lookup_join
-from loomframe.plans.sizing import large_groups, rows_per_block
+from loomframe.plans.sizing import row_share, rows_per_block, seen_as_large, some_rows
 
 # As a limit: the caller knows every group to be small, so nothing is counted or cut.
 WHOLE_GROUPS = 2**62
 
 BLOCK = "__block"
 COPY = "__copy"
+LARGE = "__large"
 _CUTS = "__cuts"
-_SAMPLES_PER_BLOCK = 32
 _SMALLEST_BLOCK = 1_000
 
 Order = list[tuple[str, bool]]
@@ -81,48 +82,41 @@ def _block_number(cuts: Column, most_cuts: int, order: Order) -> Column:
     return F.when(cuts.isNotNull(), found)
 
 
-def _cut_points(df: DataFrame, by: list[str], order: Order, sizes: list, limit: int):
-    """Table (by..., cuts) for the given large groups, and the largest cut count."""
-    spark = df.sparkSession
-    key_fields = [df.schema[c] for c in by]
-    wanted = [(*[r[c] for c in by], -(-r["n"] // limit)) for r in sizes]
-    targets = spark.createDataFrame(
-        wanted, T.StructType([*key_fields, T.StructField("__want", T.LongType())])
-    )
-    keys = df.select(*by, *[F.col(c).alias(f"k{i}") for i, (c, _) in enumerate(order)])
-    if by:
-        keys = lookup_join(keys, targets, by, how="inner", small=True)
-    else:
-        keys = keys.withColumn("__want", F.lit(wanted[0][0]))
-    share = min(1.0, _SAMPLES_PER_BLOCK / limit)
-    if share < 1.0:
-        keys = keys.where(F.rand(11) < share)
+def _cut_points(df: DataFrame, by: list[str], order: Order, limit: int):
+    """Table (by..., cuts) of the large groups and the largest number of cuts, or None.
+
+    One job over the key and order columns of a sample, from which at most about
+    (rows / limit) cut points reach the driver.
+    """
+    share = row_share(limit)
+    names = [f"k{i}" for i in range(len(order))]
+    keys = df.select(*by, *[F.col(c).alias(k) for k, (c, _) in zip(names, order)])
     along = Window.partitionBy(*by).orderBy(
-        *sort_columns([(f"k{i}", desc) for i, (_, desc) in enumerate(order)])
+        *sort_columns([(k, desc) for k, (_, desc) in zip(names, order)])
     )
+    seen, place, parts = F.col("__seen"), F.col("__rn"), F.ceil(F.col("__seen") / share / limit)
     picked = (
-        keys.withColumn("__rn", F.row_number().over(along))
-        .withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+        some_rows(keys, share)
+        .withColumn("__seen", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+        .where(seen_as_large(seen, limit, share))
+        .withColumn("__rn", F.row_number().over(along))
         .where(
-            (F.floor(F.col("__rn") * F.col("__want") / F.col("__n"))
-             > F.floor((F.col("__rn") - 1) * F.col("__want") / F.col("__n")))
-            & (F.col("__rn") < F.col("__n"))
+            (F.floor(place * parts / seen) > F.floor((place - 1) * parts / seen)) & (place < seen)
         )
         .orderBy(*by, "__rn")
     )
-    names = [f"k{i}" for i in range(len(order))]
     found: dict[tuple, list] = defaultdict(list)
     for r in picked.select(*by, *names).collect():
         found[tuple(r[c] for c in by)].append(tuple(r[c] for c in names))
-    for r in wanted:
-        found.setdefault(tuple(r[:-1]), [])
+    if not found:
+        return None
     cut_type = T.StructType(
-        [T.StructField(f"k{i}", df.schema[c].dataType) for i, (c, _) in enumerate(order)]
+        [T.StructField(k, df.schema[c].dataType) for k, (c, _) in zip(names, order)]
     )
-    table = spark.createDataFrame(
-        [(*g, cuts) for g, cuts in found.items()],
-        T.StructType([*key_fields, T.StructField(_CUTS, T.ArrayType(cut_type))]),
+    schema = T.StructType(
+        [*[df.schema[c] for c in by], T.StructField(_CUTS, T.ArrayType(cut_type))]
     )
+    table = df.sparkSession.createDataFrame([(*g, cuts) for g, cuts in found.items()], schema)
     return table, max(len(c) for c in found.values())
 
 
@@ -136,21 +130,19 @@ def assign_blocks(
     if limit >= WHOLE_GROUPS:
         return df, False
     if not by:
-        n = df.count()
+        # A table without groups is spread over the tasks even when it is not large.
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        limit = min(limit, max(_SMALLEST_BLOCK, -(-n // tasks)))
-        sizes = [{"n": n}] if n > limit else []
-    else:
-        sizes = large_groups(df, by, limit)
-    if not sizes:
+        limit = min(limit, max(_SMALLEST_BLOCK, -(-df.count() // tasks)))
+    cut = _cut_points(df, by, order, limit)
+    if cut is None:
         return df, False
-    cuts, most = _cut_points(df, by, order, sizes, limit)
+    cuts, most = cut
     if by:
         marked = lookup_join(df, cuts, by, small=True)
     else:
         marked = df.withColumn(_CUTS, cuts.select(_CUTS).scalar())
-    marked = marked.withColumn(BLOCK, _block_number(F.col(_CUTS), most, order))
-    return marked.drop(_CUTS), True
+    number = _block_number(F.col(_CUTS), most, order)
+    return marked.withColumns({BLOCK: number, LARGE: F.col(_CUTS).isNotNull()}).drop(_CUTS), True
 
 
 class OrderedBlocks:
@@ -195,7 +187,7 @@ class OrderedBlocks:
                 {n: F.lit(None).cast(_type_of(df, self.keys, agg)) for n, (agg, _) in parts.items()}
             )
         totals = (
-            df.where(F.col(BLOCK).isNotNull())
+            df.where(LARGE)
             .groupBy(*self.keys)
             .agg(*[agg.alias(n) for n, (agg, _) in parts.items()])
         )
@@ -214,11 +206,13 @@ class OrderedBlocks:
         rows = self.df.withColumn(COPY, F.lit(False))
         if not self.split or k < 1:
             return rows
-        large = self.df.where(F.col(BLOCK).isNotNull())
+        large = self.df.where(LARGE)
         tails = large.withColumn("__back", F.row_number().over(self.window(True))).where(
             F.col("__back") <= k
         )
         in_order = self._blocks_in_order()
+        # Blocks that start within k rows of where a block starts, itself included.
+        reach = Window.partitionBy(*self.by).orderBy("__start").rangeBetween(0, k - 1)
         ends = (
             large.groupBy(*self.keys)
             .agg(F.count(F.lit(1)).alias("__n"))
@@ -230,11 +224,9 @@ class OrderedBlocks:
                 ),
             )
             .withColumn("__end", F.col("__start") + F.col("__n"))
-            .withColumn(
-                "__later",
-                F.collect_list(F.struct(BLOCK, "__start")).over(in_order.rowsBetween(1, k)),
-            )
-            .drop("__n", "__start")
+            .withColumn("__here", F.collect_list(F.struct(BLOCK, "__start")).over(reach))
+            .withColumn("__later", F.lead("__here").over(in_order))
+            .drop("__n", "__start", "__here")
         )
         copies = (
             lookup_join(tails, ends, self.keys, how="inner", small=True)
@@ -252,7 +244,7 @@ class OrderedBlocks:
         """Drop the copies and helper columns."""
         if COPY in df.columns:
             df = df.where(~F.col(COPY)).drop(COPY)
-        return df.drop(BLOCK)
+        return df.drop(BLOCK, LARGE)
 
     def ordered(self, value: Column) -> Column:
         """``value``, or an error if two rows of a group share their order key.
