@@ -30,33 +30,35 @@ def _sorted_rows(blocks: OrderedBlocks, df: DataFrame) -> DataFrame:
     return df.withColumn(_ROW, blocks.ordered(F.row_number().over(blocks.window())))
 
 
-def _compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _composed(rows: DataFrame) -> DataFrame:
     """Replace each row's step (a, b) by the composition of all steps of its block."""
-    scale = shift = 0.0
-    for batch in batches:
-        numbers = batch.column(_ROW).to_numpy(zero_copy_only=False).tolist()
-        mults = batch.column(_MULT).to_numpy(zero_copy_only=False).tolist()
-        adds = batch.column(_ADD).to_numpy(zero_copy_only=False).tolist()
-        scales, shifts = np.empty(len(numbers)), np.empty(len(numbers))
-        for i, (number, a, b) in enumerate(zip(numbers, mults, adds)):
-            if number == 1:
-                scale, shift = a, b
-            else:
-                scale, shift = a * scale, a * shift + b
-            scales[i], shifts[i] = scale, shift
-        kept = [n for n in batch.schema.names if n not in (_MULT, _ADD)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(n) for n in kept] + [pa.array(scales), pa.array(shifts)],
-            names=[*kept, _SCALE, _SHIFT],
-        )
 
+    # Defined here, so that it travels to the workers as code and not as an import.
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scale = shift = 0.0
+        for batch in batches:
+            numbers, mults, adds = (
+                batch.column(c).to_numpy(zero_copy_only=False).tolist()
+                for c in (_ROW, _MULT, _ADD)
+            )
+            scales, shifts = np.empty(len(numbers)), np.empty(len(numbers))
+            for i, (number, a, b) in enumerate(zip(numbers, mults, adds)):
+                if number == 1:
+                    scale, shift = a, b
+                else:
+                    scale, shift = a * scale, a * shift + b
+                scales[i], shifts[i] = scale, shift
+            kept = [n for n in batch.schema.names if n not in (_MULT, _ADD)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(n) for n in kept] + [pa.array(scales), pa.array(shifts)],
+                names=[*kept, _SCALE, _SHIFT],
+            )
 
-def _composed(rows: DataFrame) -> DataFrame:
     kept = [f for f in rows.schema if f.name not in (_MULT, _ADD)]
     schema = T.StructType(
         [*kept, T.StructField(_SCALE, T.DoubleType()), T.StructField(_SHIFT, T.DoubleType())]
     )
-    return rows.mapInArrow(_compose, schema)
+    return rows.mapInArrow(compose, schema)
 
 
 def accumulate_affine(

@@ -280,26 +280,26 @@ def period_set_change(
 ) -> DataFrame:
     """Per group and period, how many items went and came since the previous period.
 
-    Counted by joining presence rows with those of the previous period; no set of items
-    is ever gathered. The first period of a group has nothing to compare with.
+    Each item carries the period it was last seen in; it stayed if that is the group's
+    previous period. No set of items is ever gathered. The first period of a group has
+    nothing to compare with.
     """
     keys = [*by, period]
     present = df.select(*keys, item).distinct()
+    seen = lag(present, period, [*by, item], period, out="__seen", limit=limit)
     periods = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     periods = lag(periods, [period, "__n"], by, period, out=["__prev", "__prev_n"], limit=limit)
-    small = groups_fit(present, keys, 3)
-    now = lookup_join(present, periods.select(*keys, "__prev"), keys, small=small)
-    then = present.withColumnRenamed(period, "__prev")
-    stayed = lookup_join(
-        now.where(F.col("__prev").isNotNull()), then, [*by, "__prev", item], how="left_semi"
+    periods = periods.drop("__n")
+    both = lookup_join(seen, periods, keys, small=groups_fit(present, keys, 3))
+    counts = both.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.count_if(F.col("__seen") == F.col("__prev")).alias("__stay"),
+        F.max("__prev_n").alias("__prev_n"),
     )
-    stayed = stayed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__stay"))
-    both = lookup_join(periods, stayed, keys)
-    stay = F.coalesce(F.col("__stay"), F.lit(0))
-    return both.select(
+    return counts.select(
         *keys,
-        (F.col("__prev_n") - stay).alias(lost),
-        F.when(F.col("__prev_n").isNotNull(), F.col("__n") - stay).alias(gained),
+        (F.col("__prev_n") - F.col("__stay")).alias(lost),
+        F.when(F.col("__prev_n").isNotNull(), F.col("__n") - F.col("__stay")).alias(gained),
     )
 
 
