@@ -70,12 +70,13 @@ def join_group_roster(spark, sf):
 def nation_levels(spark, sf):
     """A threshold per nation: its mean account balance."""
     customer, nation = table(spark, sf, "customer"), table(spark, sf, "nation")
-    means = customer.groupBy("c_nationkey").agg(F.round(F.avg("c_acctbal"), 2).alias("level"))
+    mean = money("c_acctbal") / F.count(F.lit(1))
+    means = customer.groupBy("c_nationkey").agg(mean.alias("level"))
     named = means.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return named.select("n_name", "level")
 
 
-_LEVELS = """(select n_name, round(avg(c_acctbal), 2) as level from customer
+_LEVELS = f"""(select n_name, {MONEY.format('c_acctbal')} / count(*) as level from customer
   join nation on c_nationkey = n_nationkey group by n_name)"""
 
 
@@ -119,7 +120,7 @@ def join_closest_scan(spark, sf):
 
 @query(
     """select p.event_id, p.user_id, c.event_id as click_id,
-         round(epoch_us(p.ts) / 1e6 - epoch_us(c.ts) / 1e6, 3) as seconds
+         epoch_us(p.ts) - epoch_us(c.ts) as micros
        from (select * from events where event_type = 'purchase') p
          asof left join (select * from events where event_type = 'click') c
            on p.user_id = c.user_id and p.ts >= c.ts"""
@@ -132,9 +133,7 @@ def join_asof_by_user(spark, sf):
     )
     joined = op.join_closest(bought, clicks, "ts", ">=", "click_ts", by=["user_id"])
     micros = F.timestamp_diff("MICROSECOND", F.col("click_ts"), F.col("ts"))
-    return joined.select(
-        "event_id", "user_id", "click_id", F.round(micros / 1e6, 3).alias("seconds")
-    )
+    return joined.select("event_id", "user_id", "click_id", micros.alias("micros"))
 
 
 @query(
