@@ -1,5 +1,6 @@
 """Table operators: every one takes and returns a DataFrame."""
 
+from loomframe.operators.arrange import arrange
 from loomframe.operators.checks import check_order_key, check_shape, join_relation
 from loomframe.operators.grid import complete, expand_grid, missing_cells
 from loomframe.operators.grouped import (

@@ -11,12 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomframe.operators.grid import product
-from loomframe.plans.blocks import WHOLE_GROUPS, OrderedBlocks
+from loomframe.plans.blocks import (
+    EXACT_JSON,
+    WHOLE_GROUPS,
+    OrderedBlocks,
+    constant_list,
+    leading_count,
+)
 from loomframe.plans.matching import lookup_join
 from loomframe.plans.sizing import large_groups, rows_per_block, table_fits
 
 _COMPARE = {">=": operator.ge, ">": operator.gt, "<=": operator.le, "<": operator.lt}
 _INLINE_STEPS = 256
+_LISTED_STEPS = 200_000
 
 
 def _pairs(on) -> list[tuple[str, str]]:
@@ -128,24 +135,17 @@ def join_inequality(
     usable = lookup.where(F.col(rcol).isNotNull())
     n = usable.count()
     parts = max(1, min(64, n))
-    cuts = usable.select(
-        F.percentile_approx(rcol, [(i + 1) / parts for i in range(parts - 1)] or [0.5], 10_000)
-        .alias("c")
-    ).select("c").scalar()
+    marks = [(i + 1) / parts for i in range(parts - 1)] or [0.5]
+    found = usable.agg(F.percentile_approx(rcol, marks, 10_000).alias("c")).first()["c"]
+    cuts = F.array(*[F.lit(c) for c in found or []])
 
     def place(c: str) -> Column:
-        return F.size(F.filter(F.array_distinct("__cuts"), lambda cut: cut < F.col(c)))
+        return F.size(F.filter(cuts, lambda cut: cut < F.col(c))) if found else F.lit(0)
 
-    right = usable.withColumn("__cuts", cuts).withColumn("__bin", place(rcol)).drop("__cuts")
+    right = usable.withColumn("__bin", place(rcol))
     own = place(lcol)
     reach = F.sequence(own, F.lit(parts)) if upward else F.sequence(F.lit(0), own)
-    probes = (
-        left.where(F.col(lcol).isNotNull())
-        .withColumn("__cuts", cuts)
-        .withColumn("__bin", F.explode(reach))
-        .drop("__cuts")
-        .withColumnRenamed("__bin", "__probe")
-    )
+    probes = left.where(F.col(lcol).isNotNull()).withColumn("__probe", F.explode(reach))
     if table_fits(right):
         right = F.broadcast(right)
     same = (F.col("__probe") == F.col("__bin")) & compare(F.col(lcol), F.col(rcol))
@@ -164,8 +164,12 @@ def join_inequality(
 # ---------------------------------------------------------------- closest
 
 
-def _decision_tree(v: Column, compare, steps: list, dtype: T.DataType) -> Column:
-    """The last of the ordered steps that ``v`` satisfies, as nested conditions."""
+def _by_conditions(v: Column, op: str, values: DataFrame, n: int, dtype: T.DataType) -> Column:
+    """The closest value as nested conditions, which stay in generated code."""
+    compare = _COMPARE[op]
+    steps = sorted((r[0] for r in values.collect()), reverse=op in ("<=", "<"))
+    if not steps:
+        return F.lit(None).cast(dtype)
 
     def pick(lo: int, hi: int) -> Column:
         if hi - lo == 1:
@@ -176,6 +180,19 @@ def _decision_tree(v: Column, compare, steps: list, dtype: T.DataType) -> Column
     return F.when(compare(v, F.lit(steps[0])), pick(0, len(steps)))
 
 
+def _by_search(v: Column, op: str, values: DataFrame, n: int, dtype: T.DataType) -> Column:
+    """The closest value by binary search in one sorted list shared by all rows."""
+    compare = _COMPARE[op]
+    backwards = op in ("<=", "<")
+    ordered = values.orderBy(F.col("__at").desc() if backwards else F.col("__at").asc())
+    texts = ordered.select(F.to_json(F.struct("__at"), EXACT_JSON).alias("j")).collect()
+    steps = constant_list([r["j"] for r in texts], values.schema)
+    passed = leading_count(
+        F.lit(n), n, lambda i: F.coalesce(compare(v, F.get(steps, i)["__at"]), F.lit(False))
+    )
+    return F.get(steps, passed - 1)["__at"].cast(dtype)
+
+
 def join_closest(
     left: DataFrame,
     lookup: DataFrame,
@@ -190,13 +207,13 @@ def join_closest(
     All lookup rows tied at that value join; a row without a match keeps nulls. With
     ``by`` the match is sought within equal keys.
 
-    Up to 256 lookup values become nested conditions in generated code and the left
-    table is not shuffled. Otherwise both tables are put in one order and the last
+    Without ``by``, up to 256 lookup values become nested conditions in generated code
+    and up to 200,000 a sorted list that each row searches; the left table is not
+    shuffled. Otherwise both tables are put in one order and the last
     lookup value is carried forward; large groups and an ungrouped table are scanned in
     blocks over distinct values.
     """
     by = list(by)
-    compare = _COMPARE[op]
     lookup = lookup.where(F.col(right_col).isNotNull())
     bys = [f"__by_{i}" for i in range(len(by))]
     lookup = lookup.withColumnsRenamed(dict(zip(by, bys)))
@@ -207,16 +224,12 @@ def join_closest(
     at_type = lookup.schema["__at"].dataType
 
     if not by:
-        found = lookup.select("__at").distinct().limit(_INLINE_STEPS + 1).collect()
-        if len(found) <= _INLINE_STEPS:
-            steps = sorted((r["__at"] for r in found), reverse=op in ("<=", "<"))
-            best = (
-                _decision_tree(F.col(left_col), compare, steps, at_type)
-                if steps
-                else F.lit(None).cast(at_type)
-            )
-            chosen = left.withColumn("__best", best)
-            return _attach_at(chosen, lookup, [], [], shown)
+        values = lookup.select("__at").distinct()
+        n = values.count()
+        if n <= _LISTED_STEPS:
+            find = _by_conditions if n <= _INLINE_STEPS else _by_search
+            best = find(F.col(left_col), op, values, n, at_type)
+            return _attach_at(left.withColumn("__best", best), lookup, [], [], shown)
 
     unique = not lookup.groupBy(*bys, "__at").count().where("count > 1").limit(1).count()
     payload = [c for c in lookup.columns if c not in bys] if unique else ["__at"]

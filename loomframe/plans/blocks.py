@@ -16,7 +16,6 @@ cut points, and equal keys stay together.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -32,11 +31,17 @@ WHOLE_GROUPS = 2**62
 BLOCK = "__block"
 COPY = "__copy"
 LARGE = "__large"
-_CUTS = "__cuts"
+_FIRST, _COUNT = "__first", "__count"
 _SMALLEST_BLOCK = 1_000
 
 Order = list[tuple[str, bool]]
 
+# Formats that keep every digit of a timestamp.
+EXACT_JSON = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
 
 def parse_order(order_by: str | Sequence[str]) -> Order:
     """Column names, a leading minus meaning descending."""
@@ -68,24 +73,32 @@ def _comes_after(order: Order, cut: Column) -> Column:
     return result
 
 
-def _block_number(cuts: Column, most_cuts: int, order: Order) -> Column:
-    """Number of cut points before the row, by binary search in the array."""
-    steps = [1 << i for i in reversed(range(max(most_cuts, 1).bit_length()))]
+def constant_list(items: list[str], item_type: T.StructType) -> Column:
+    """An array constant from the JSON texts of its items, parsed once when planning."""
+    text = F.lit("[" + ",".join(items) + "]")
+    return F.from_json(text, T.ArrayType(item_type), EXACT_JSON)
+
+
+def leading_count(n: Column, most: int, holds: Callable[[Column], Column]) -> Column:
+    """How many of ``n`` ordered items come before the first for which ``holds`` fails.
 
-    def advance(pos: Column, step: Column) -> Column:
-        inside = pos + step <= F.size(cuts)
-        return F.when(
-            inside & _comes_after(order, F.get(cuts, pos + step - 1)), pos + step
-        ).otherwise(pos)
+    ``holds`` takes an item's zero-based place and must be true up to some place and
+    false from there on. Binary search, by the powers of two up to ``most``.
+    """
+    steps = [1 << i for i in reversed(range(max(most, 1).bit_length()))]
+
+    def advance(done: Column, step: Column) -> Column:
+        more = (done + step <= n) & holds(done + step - 1)
+        return F.when(more, done + step).otherwise(done)
 
-    found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
-    return F.when(cuts.isNotNull(), found)
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
 
 
 def _cut_points(df: DataFrame, by: list[str], order: Order, limit: int):
-    """Table (by..., cuts) of the large groups and the largest number of cuts, or None.
+    """The large groups' cut points, or None if there is no large group.
 
-    One job over the key and order columns of a sample, from which at most about
+    Returns a table (by..., first, count) that says where a group's cuts lie in a list,
+    the list as a constant, and the largest count. One job over the key and order columns of a sample, from which at most about
     (rows / limit) cut points reach the driver.
     """
     share = row_share(limit)
@@ -105,19 +118,28 @@ def _cut_points(df: DataFrame, by: list[str], order: Order, limit: int):
         )
         .orderBy(*by, "__rn")
     )
-    found: dict[tuple, list] = defaultdict(list)
-    for r in picked.select(*by, *names).collect():
-        found[tuple(r[c] for c in by)].append(tuple(r[c] for c in names))
-    if not found:
+    cut = F.to_json(F.struct(*names), EXACT_JSON).alias("__cut")
+    rows = picked.select(*by, cut).collect()
+    if not rows:
         return None
     cut_type = T.StructType(
         [T.StructField(k, df.schema[c].dataType) for k, (c, _) in zip(names, order)]
     )
-    schema = T.StructType(
-        [*[df.schema[c] for c in by], T.StructField(_CUTS, T.ArrayType(cut_type))]
+    cuts = constant_list([r["__cut"] for r in rows], cut_type)
+    spans: dict[tuple, list[int]] = {}
+    for i, r in enumerate(rows):
+        spans.setdefault(tuple(r[c] for c in by), [i, 0])[1] += 1
+    table = df.sparkSession.createDataFrame(
+        [(*g, first, count) for g, (first, count) in spans.items()],
+        T.StructType(
+            [
+                *[df.schema[c] for c in by],
+                T.StructField(_FIRST, T.IntegerType()),
+                T.StructField(_COUNT, T.IntegerType()),
+            ]
+        ),
     )
-    table = df.sparkSession.createDataFrame([(*g, cuts) for g, cuts in found.items()], schema)
-    return table, max(len(c) for c in found.values())
+    return table, cuts, max(count for _, count in spans.values())
 
 
 def assign_blocks(
@@ -133,16 +155,23 @@ def assign_blocks(
         # A table without groups is spread over the tasks even when it is not large.
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
         limit = min(limit, max(_SMALLEST_BLOCK, -(-df.count() // tasks)))
-    cut = _cut_points(df, by, order, limit)
-    if cut is None:
+    found = _cut_points(df, by, order, limit)
+    if found is None:
         return df, False
-    cuts, most = cut
+    spans, cuts, most = found
     if by:
-        marked = lookup_join(df, cuts, by, small=True)
+        marked = lookup_join(df, spans, by, small=True)
     else:
-        marked = df.withColumn(_CUTS, cuts.select(_CUTS).scalar())
-    number = _block_number(F.col(_CUTS), most, order)
-    return marked.withColumns({BLOCK: number, LARGE: F.col(_CUTS).isNotNull()}).drop(_CUTS), True
+        marked = df.withColumns({_FIRST: F.lit(0), _COUNT: F.lit(most)})
+    # The list of cuts is one constant of the plan; a row carries only its place in it.
+    number = leading_count(
+        F.col(_COUNT),
+        most,
+        lambda i: _comes_after(order, F.get(cuts, F.col(_FIRST) + i)),
+    )
+    large = F.col(_COUNT).isNotNull()
+    marked = marked.withColumns({BLOCK: F.when(large, number), LARGE: large})
+    return marked.drop(_FIRST, _COUNT), True
 
 
 class OrderedBlocks:

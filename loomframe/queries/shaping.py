@@ -417,4 +417,4 @@ def sort_numeric_cast(spark, sf):
     customers = table(spark, sf, "customer").select(
         "c_custkey", "c_name", L.as_integer(F.substring("c_name", 10, 9)).alias("number")
     )
-    return customers.orderBy(F.col("number").desc_nulls_last())
+    return op.arrange(customers, "-number")

@@ -10,10 +10,12 @@ from loomframe import operators as op
 from loomframe.operators import grid, joins
 
 
-@pytest.fixture(params=["conditions", "scan"])
+@pytest.fixture(params=["conditions", "search", "scan"])
 def closest_form(request, monkeypatch):
-    if request.param == "scan":
+    if request.param != "conditions":
         monkeypatch.setattr(joins, "_INLINE_STEPS", 0)
+    if request.param == "scan":
+        monkeypatch.setattr(joins, "_LISTED_STEPS", 0)
 
 
 TIERS = [(0, "lo"), (50, "mid"), (100, "hi"), (50, "mid2")]

@@ -72,6 +72,8 @@ def test_n8_missing_values_sort_last_both_ways(frame, layout):
     df = frame([(None, 1), (2, 2), (1, 3)], "x int, o int")
     same(op.slice_head(df, 2, [], "x"), [(1, 3), (2, 2)])
     same(op.slice_head(df, 2, [], "-x"), [(1, 3), (2, 2)])
+    assert [r["x"] for r in op.arrange(df, "x").collect()] == [1, 2, None]
+    assert [r["x"] for r in op.arrange(df, ["-x", "o"]).collect()] == [2, 1, None]
     df = df.withColumn("one", F.lit(1))
     up = op.cumsum(df, "one", order_by="x")
     same(up, [(1, 1), (2, 2), (None, 3)], "x", "cum")
