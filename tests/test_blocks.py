@@ -31,7 +31,8 @@ def agree(got, want, *cols):
     assert rows(got, "id", *cols) == rows(want, "id", *cols)
 
 
-ALONG = Window.partitionBy("g").orderBy("o", "id")
+def along():
+    return Window.partitionBy("g").orderBy("o", "id")
 
 
 def test_large_group_is_found_and_cut_evenly(skewed, limit):
@@ -53,19 +54,19 @@ def test_same_block_on_every_evaluation(skewed):
 
 def test_running_sum(skewed, limit):
     got = op.cumsum(skewed, "x", ["g"], ["o", "id"], out="c", na_rm=True, limit=limit)
-    running = ALONG.rowsBetween(Window.unboundedPreceding, 0)
+    running = along().rowsBetween(Window.unboundedPreceding, 0)
     agree(got, skewed.withColumn("c", F.coalesce(F.sum("x").over(running), F.lit(0.0))), "c")
 
 
 @pytest.mark.parametrize("n", [1, 150])
 def test_lag(skewed, limit, n):
     got = op.lag(skewed, "x", ["g"], ["o", "id"], n, out="c", limit=limit)
-    agree(got, skewed.withColumn("c", F.lag("x", n).over(ALONG)), "c")
+    agree(got, skewed.withColumn("c", F.lag("x", n).over(along())), "c")
 
 
 def test_rolling_reaches_over_several_blocks(skewed, limit):
     got = op.rolling(skewed, "x", "max", 250, ["g"], ["o", "id"], out="c", na_rm=True, limit=limit)
-    frame = ALONG.rowsBetween(-250, 0)
+    frame = along().rowsBetween(-250, 0)
     full = F.when(F.count(F.lit(1)).over(frame) == 251, F.max("x").over(frame))
     agree(got, skewed.withColumn("c", full), "c")
 
