@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomframe.plans.blocks import EXACT_JSON, constant_list
 from loomframe.plans.matching import lookup_join
 from loomframe.plans.sizing import table_fits
 
@@ -14,27 +15,26 @@ _CHUNK = 10_000
 
 
 def product(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every row of ``left`` with every row of ``right``.
+    """Every row of ``left`` with every row of ``right``, whose rows are distinct.
 
-    The right rows are packed into arrays of about 10,000 and unpacked on the left
-    side: what moves is the packed table, once, and the left rows times the number of
-    arrays (one, unless the right table is large).
+    Up to 10,000 right rows become a constant that each left row unpacks. More are
+    packed into arrays of about that length, and the left rows meet each array once.
     """
-    n = right.count()
-    chunks = max(1, -(-n // _CHUNK))
-    row = F.struct(*right.columns)
-    if chunks == 1:
-        packed = right.agg(F.collect_list(row).alias("p")).select("p").scalar()
+    texts = right.select(F.to_json(F.struct(*right.columns), EXACT_JSON).alias("j"))
+    found = texts.limit(_CHUNK + 1).collect()
+    if len(found) <= _CHUNK:
+        packed = constant_list([r["j"] for r in found], right.schema)
         return left.select("*", F.inline(packed))
+    chunks = -(-right.count() // _CHUNK)
     packs = (
         right.withColumn("__chunk", F.pmod(F.xxhash64(*right.columns), F.lit(chunks)))
         .groupBy("__chunk")
-        .agg(F.collect_list(row).alias("__pack"))
+        .agg(F.collect_list(F.struct(*right.columns)).alias("__pack"))
     )
-    spread = left.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    spread = spread.withColumn("__chunk", F.col("__chunk").cast("long"))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))
+    spread = left.withColumn("__chunk", F.explode(every))
     joined = lookup_join(spread, packs, ["__chunk"], how="inner", small=table_fits(packs))
-    return joined.drop("__chunk").select(*left.columns, F.inline("__pack"))
+    return joined.select(*left.columns, F.inline("__pack"))
 
 
 def expand_grid(base: DataFrame, **axes: Column | Sequence) -> DataFrame:

@@ -8,20 +8,29 @@ from pyspark.sql import functions as F
 from loomframe import functions as L
 from loomframe import operators as op
 from loomframe.operators import grid, joins
+from loomframe.plans import blocks
 
 
-@pytest.fixture(params=["conditions", "search", "scan"])
-def closest_form(request, monkeypatch):
+@pytest.fixture(params=["conditions", "search", "scan", "scan in blocks"])
+def closest_form(spark, request, monkeypatch):
+    """Each way to find the closest value, whatever the size of the lookup table."""
     if request.param != "conditions":
         monkeypatch.setattr(joins, "_INLINE_STEPS", 0)
-    if request.param == "scan":
+    if request.param.startswith("scan"):
         monkeypatch.setattr(joins, "_LISTED_STEPS", 0)
+    if request.param == "scan in blocks":
+        spark.conf.set("loomframe.rowsPerBlock", "2")
+        spark.conf.set("loomframe.broadcastBytes", "-1")
+        monkeypatch.setattr(blocks, "_SMALLEST_BLOCK", 2)
+    yield
+    spark.conf.unset("loomframe.rowsPerBlock")
+    spark.conf.unset("loomframe.broadcastBytes")
 
 
 TIERS = [(0, "lo"), (50, "mid"), (100, "hi"), (50, "mid2")]
 
 
-def test_j1_closest_with_ties_and_no_match(frame, layout, closest_form):
+def test_j1_closest_with_ties_and_no_match(frame, closest_form):
     df = frame([(5,), (55,), (105,), (50,), (-1,), (None,), (55,)], "value int")
     look = frame(TIERS, "threshold int, tier string")
     got = op.join_closest(df, look, "value", ">=", "threshold")
@@ -31,7 +40,7 @@ def test_j1_closest_with_ties_and_no_match(frame, layout, closest_form):
 
 
 @pytest.mark.parametrize("sign", [">=", ">", "<=", "<"])
-def test_closest_against_brute_force(frame, layout, closest_form, sign):
+def test_closest_against_brute_force(frame, closest_form, sign):
     compare = joins._COMPARE[sign]
     values, steps = [3, 1, 4, 1, 5, 9, 2, 6, 0], [2, 4, 5, 8]
     df = frame([(v,) for v in values], "v int")
@@ -65,7 +74,7 @@ def test_closest_within_key(frame, layout, sign, tied):
     same(got, want)
 
 
-def test_j2_j3_two_lookups_and_row_minimum(frame, layout, closest_form):
+def test_j2_j3_two_lookups_and_row_minimum(frame, closest_form):
     df = frame([(30,), (90,), (200,)], "hours int")
     look = frame([(0, 1), (50, 2), (100, 3), (300, 4)], "hours int, coef int")
     got = op.join_closest(df, look, "hours", ">=", "hours")
