@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 from loomframe.functions.missing import all_true, max_of, missing_share
 from loomframe.operators.select import resolve
-from loomframe.operators.windows import cumsum
+from loomframe.operators.windows import cumsum, number_rows
 from loomframe.plans.blocks import parse_order, sort_columns
 from loomframe.plans.matching import attach_group_stats, keep_groups
 from loomframe.plans.sizing import large_groups, rows_per_block
 
 
+# Spark limits row numbers before the shuffle up to this many rows.
+_LIMITED_ROWS = 1000
+
+
 def filter_at_max(
     df: DataFrame,
     x: str,
@@ -60,23 +64,33 @@ def slice_max(
     """
     if not with_ties:
         return slice_head(df, n, by, [f"-{x}", *tiebreak])
-    along = Window.partitionBy(*by).orderBy(F.col("__x").desc_nulls_last())
-    top = (
-        df.select(*by, F.col(x).alias("__x"))
-        .withColumn("__rn", F.row_number().over(along))
-        .where(F.col("__rn") <= n)
-    )
     if n == 1:
         marked = attach_group_stats(df, by, {"__cut": F.max(x), "__open": F.max(x).isNull()})
     else:
         stats = {"__cut": F.min("__x"), "__open": F.max(F.isnull("__x"))}
-        marked = attach_group_stats(df, by, stats, source=top)
+        marked = attach_group_stats(df, by, stats, source=_top_values(df, x, n, by))
     kept = marked.where(F.col("__open") | (F.col(x) >= F.col("__cut")))
     return kept.drop("__cut", "__open")
 
 
+def _top_values(df: DataFrame, x: str, n: int, by: Sequence[str]) -> DataFrame:
+    """The values of the first ``n`` rows per group from the largest down."""
+    values = df.select(*by, F.col(x).alias("__x"))
+    if n <= _LIMITED_ROWS:
+        return slice_head(values, n, by, "-__x")
+    counts = values.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__n"))
+    reached = cumsum(counts, "__n", by, "-__x", out="__upto")
+    return reached.where(F.col("__upto") - F.col("__n") < n)
+
+
 def slice_head(df: DataFrame, n: int, by: Sequence[str], order_by) -> DataFrame:
-    """The first ``n`` rows of each group in the given order."""
+    """The first ``n`` rows of each group in the given order.
+
+    Up to 1,000 rows each task keeps only the first ``n`` it sees of a group before the
+    shuffle; for more, rows are numbered in blocks, which wants an unambiguous order.
+    """
+    if n > _LIMITED_ROWS:
+        return number_rows(df, by, order_by, "__rn").where(F.col("__rn") <= n).drop("__rn")
     along = Window.partitionBy(*by).orderBy(*sort_columns(parse_order(order_by)))
     numbered = df.withColumn("__rn", F.row_number().over(along))
     return numbered.where(F.col("__rn") <= n).drop("__rn")

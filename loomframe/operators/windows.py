@@ -142,14 +142,19 @@ def row_number(
     limit: int | None = None,
 ) -> DataFrame:
     """Position in the order of ``x`` and ``tiebreak``; missing values have none."""
-    order = [x, *tiebreak]
     name = parse_order(x)[0][0]
-    blocks = OrderedBlocks(df, by, order, limit)
-    numbered = blocks.df.withColumn("__rn", blocks.ordered(F.row_number().over(blocks.window())))
-    numbered = blocks.carry(numbered, {"__before": (F.count(F.lit(1)), F.sum)})
-    place = F.col("__rn") + F.coalesce(F.col("__before"), F.lit(0))
-    ranked = numbered.withColumn(out, F.when(F.col(name).isNotNull(), place.cast("int")))
-    return blocks.finish(ranked).drop("__rn", "__before")
+    numbered = number_rows(df, by, [x, *tiebreak], "__rn", limit)
+    place = F.when(F.col(name).isNotNull(), F.col("__rn").cast("int"))
+    return numbered.withColumn(out, place).drop("__rn")
+
+
+def number_rows(df: DataFrame, by, order_by, out: str, limit: int | None = None) -> DataFrame:
+    """Each row's position in its group."""
+    blocks = OrderedBlocks(df, by, order_by, limit)
+    rows = blocks.df.withColumn("__own", blocks.ordered(F.row_number().over(blocks.window())))
+    rows = blocks.carry(rows, {"__before": (F.count(F.lit(1)), F.sum)})
+    place = F.col("__own") + F.coalesce(F.col("__before"), F.lit(0))
+    return blocks.finish(rows.withColumn(out, place)).drop("__own", "__before")
 
 
 def cumulate(

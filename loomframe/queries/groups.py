@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from loomframe import functions as L
 from loomframe import operators as op
-from loomframe.plans.matching import attach_group_stats
 from loomframe.queries.registry import GAPPY, MONEY, events_with_gaps, money, query
 from loomframe.queries.shaping import line_amounts
 from loomframe.sources import table
@@ -218,7 +217,7 @@ def slice_head(spark, sf):
 )
 def nest_above_mean(spark, sf):
     events = table(spark, sf, "events").select("event_id", "user_id", "value")
-    marked = attach_group_stats(events, ["user_id"], {"mean": F.avg("value")})
+    marked = op.attach_group_stats(events, ["user_id"], {"mean": F.avg("value")})
     return marked.where(F.col("value") > F.col("mean")).drop("mean")
 
 

@@ -183,7 +183,8 @@ def join_within(spark, sf):
     spread = op.row_number(
         events.select("event_type", "value", "event_id"), "value", ["event_type"], ["event_id"]
     )
-    bounds = attach_size(spread).groupBy("event_type").agg(
+    sized = op.attach_group_stats(spread, ["event_type"], {"size": F.count(F.lit(1))})
+    bounds = sized.groupBy("event_type").agg(
         F.min(F.when(F.col("rank") >= F.ceil(F.col("size") * 0.1), F.col("value"))).alias("from"),
         F.max("value").alias("to"),
     )
@@ -193,12 +194,6 @@ def join_within(spark, sf):
     )
 
 
-def attach_size(df):
-    from loomframe.plans.matching import attach_group_stats
-
-    return attach_group_stats(df, ["event_type"], {"size": F.count(F.lit(1))})
-
-
 @query(
     """with p as (select p_partkey, p_retailprice as s, p_retailprice + p_size / 10.0::double as e
                   from part)

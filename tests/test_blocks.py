@@ -87,6 +87,17 @@ def test_recurrence(skewed, limit):
     agree(got, want, "c")
 
 
+@pytest.mark.parametrize("n", [20, 1500])
+def test_first_rows(spark, skewed, n):
+    spark.conf.set("loomframe.rowsPerBlock", "100")
+    by_x = Window.partitionBy("g").orderBy(F.col("x").desc_nulls_last())
+    got = op.slice_max(skewed, "x", n, ["g"])
+    agree(got, skewed.withColumn("r", F.rank().over(by_x)).where(F.col("r") <= n))
+    got = op.slice_head(skewed, n, ["g"], ["o", "id"])
+    agree(got, skewed.withColumn("r", F.row_number().over(along())).where(F.col("r") <= n))
+    spark.conf.unset("loomframe.rowsPerBlock")
+
+
 def test_quantiles(skewed, limit):
     got = op.reframe_quantiles(skewed, "x", [0.1, 0.5, 0.99], ["g"], limit=limit)
     want = op.reframe_quantiles(skewed, "x", [0.1, 0.5, 0.99], ["g"], limit=op.WHOLE_GROUPS)
