@@ -91,8 +91,8 @@ def filter_if_all(df: DataFrame, cols, f: Callable[[Column], Column]) -> DataFra
 def filter_not_any(df: DataFrame, cols, f: Callable[[Column], Column]) -> DataFrame:
     """Rows where no selected column passes.
 
-    Where ``f`` is unknown for a column the row is dropped, as SQL and the tidy verbs
-    both do; use ``drop_matching_rows`` for text that may be missing.
+    Where ``f`` is unknown for a column the row is dropped, as in SQL; use
+    ``drop_matching_rows`` for text that may be missing.
     """
     return df.where(~reduce(lambda a, b: a | b, [f(F.col(c)) for c in resolve(df, cols)]))
 
