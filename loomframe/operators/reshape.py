@@ -94,7 +94,8 @@ def _cell_values(
         if callable(how):
             return how(F.when(here, x))
         if how == "error":
-            return F.first(F.when(here, x), ignorenulls=True)
+            # The cell holds one value; the largest of one needs the smaller buffer.
+            return F.max(F.when(here, x))
         if how == "first":
             if not order:
                 raise ValueError("values_fn='first' needs order_by")
@@ -157,6 +158,14 @@ def pivot_wider(
     return wide
 
 
+def _for_types(df: DataFrame, measures: Sequence[str], values_fn):
+    """Values without an order, such as maps, are taken as they come."""
+    kinds = " ".join(df.schema[m].dataType.simpleString() for m in measures)
+    if values_fn == "error" and ("map<" in kinds or "variant" in kinds):
+        return lambda x: F.first(x, ignorenulls=True)
+    return values_fn
+
+
 def _stop_on_collision(count: Column, value: Column) -> Column:
     text = F.lit("a cell of pivot_wider holds several rows; set values_fn or add an id column")
     return F.when(count > 1, F.raise_error(text)).otherwise(value)
@@ -164,7 +173,7 @@ def _stop_on_collision(count: Column, value: Column) -> Column:
 
 def _pivot_inline(df, key, ids, measures, wanted, out_name, values_fn, order_by) -> DataFrame:
     """Few columns: one aggregation, one shuffle on the ids."""
-    make = _cell_values(values_fn, order_by)
+    make = _cell_values(_for_types(df, measures, values_fn), order_by)
     aggs, checks = [], []
     for v in wanted:
         here = key == F.lit(v)
@@ -185,7 +194,7 @@ def _pivot_inline(df, key, ids, measures, wanted, out_name, values_fn, order_by)
 
 def _pivot_many(df, key, ids, measures, wanted, out_name, values_fn, order_by) -> DataFrame:
     """Many columns: cells first, then Spark's pivot over unique cells."""
-    make = _cell_values(values_fn, order_by)
+    make = _cell_values(_for_types(df, measures, values_fn), order_by)
     here = F.lit(True)
     cells = df.withColumn("__key", key).groupBy(*ids, "__key").agg(
         F.count(F.lit(1)).alias("__n"),

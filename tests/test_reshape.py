@@ -91,6 +91,13 @@ def test_collision_is_an_error_unless_resolved(frame, pivot_form):
         op.pivot_wider(df, "k", "v", id_cols=["id"], values_fn="first")
 
 
+def test_cells_may_hold_maps_and_arrays(frame, pivot_form):
+    df = frame([(1, "a", {"p": 1}, [1, 2]), (1, "b", {"q": 2}, [3])],
+               "id int, k string, m map<string,int>, l array<int>")
+    wide = op.pivot_wider(df, "k", ["m", "l"])
+    same(wide.select("id", F.col("m_a")["p"], F.col("m_b")["q"], "l_a", "l_b"), [(1, 1, 2, (1, 2), (3,))])
+
+
 def test_wider_fill_missing_key_and_value_list(frame, pivot_form):
     df = frame([(1, "a", 1), (2, None, 2)], "id int, k string, v int")
     got = op.pivot_wider(df, "k", "v", values=["b", "a", "NA"], values_fill=0)
