@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .grace import grace_dedup
+from .licences import scan_licences
 from .mixing import mix_sources
+from .repetition import quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -75,3 +77,44 @@ def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op6_grace_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return grace_dedup(documents(spark, folder)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query(
+    "op9_suffix_repetition",
+    r"""
+    WITH cut AS (
+      SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    at8 AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM cut),
+    again AS (
+      SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, hash(list_slice(ws, i, i + 7))) AS c FROM at8) WHERE c > 1),
+    places AS (SELECT DISTINCT doc_id, i + k AS p FROM again, range(0, 8) t(k)),
+    covered AS (
+      SELECT doc_id, count(*) AS n_repeat_words, sum(length(ws[p])) AS repeat_chars FROM places JOIN cut USING (doc_id) GROUP BY doc_id),
+    at101 AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 99)) AS i FROM cut),
+    long AS (
+      SELECT DISTINCT doc_id FROM at101 GROUP BY doc_id, hash(list_slice(ws, i, i + 100)) HAVING count(*) > 1),
+    lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM cut),
+    dup AS (
+      SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+    measured AS (
+      SELECT cut.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+             CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+             coalesce(repeat_chars, 0) AS repeat_chars, long.doc_id IS NOT NULL AS too_long
+      FROM cut LEFT JOIN covered USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN long USING (doc_id))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+           n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+           NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
+             AND repeat_chars / greatest(word_chars, 1) <= 0.3 AND NOT too_long AS kept
+    FROM measured
+    """,
+)
+def op9_suffix_repetition(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules(documents(spark, folder)).drop("longest_repeat", "repeat_fraction", "spans")
+
+
+@query("op10_license_rules")
+def op10_license_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licences(documents(spark, folder)).drop("n_found", "found")
