@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .grace import grace_dedup
 from .licences import scan_licences
+from .lsh_forest import ngram_join
 from .mixing import mix_sources
 from .repetition import quality_rules
 
@@ -84,15 +85,18 @@ def op6_grace_dedup(spark: SparkSession, folder: str) -> DataFrame:
     r"""
     WITH cut AS (
       SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-    at8 AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM cut),
+    at8 AS (
+      SELECT doc_id, unnest(range(1, len(ws) - 6)) AS i,
+             unnest(list_transform(range(1, len(ws) - 6), lambda i: hash(ws[i:i + 7]))) AS h FROM cut),
     again AS (
-      SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, hash(list_slice(ws, i, i + 7))) AS c FROM at8) WHERE c > 1),
+      SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) AS c FROM at8) WHERE c > 1),
     places AS (SELECT DISTINCT doc_id, i + k AS p FROM again, range(0, 8) t(k)),
     covered AS (
       SELECT doc_id, count(*) AS n_repeat_words, sum(length(ws[p])) AS repeat_chars FROM places JOIN cut USING (doc_id) GROUP BY doc_id),
-    at101 AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 99)) AS i FROM cut),
+    at101 AS (
+      SELECT doc_id, unnest(list_transform(range(1, len(ws) - 99), lambda i: hash(ws[i:i + 100]))) AS h FROM cut),
     long AS (
-      SELECT DISTINCT doc_id FROM at101 GROUP BY doc_id, hash(list_slice(ws, i, i + 100)) HAVING count(*) > 1),
+      SELECT DISTINCT doc_id FROM at101 GROUP BY doc_id, h HAVING count(*) > 1),
     lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM cut),
     dup AS (
       SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
@@ -118,3 +122,8 @@ def op9_suffix_repetition(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_license_rules")
 def op10_license_rules(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licences(documents(spark, folder)).drop("n_found", "found")
+
+
+@query("op3_ngram_join")
+def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join(documents(spark, folder))
