@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,9 @@ from .grace import grace_dedup
 from .licences import scan_licences
 from .lsh_forest import ngram_join
 from .mixing import mix_sources
+from .packing import pack_documents
 from .repetition import quality_rules
+from .simple8b import read_tokens, write_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -127,3 +130,13 @@ def op10_license_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_ngram_join")
 def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join(documents(spark, folder))
+
+
+@query("op4_simple8b_tokens")
+def op4_simple8b_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return read_tokens(write_tokens(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json")), with_ids=False)
+
+
+@query("op7_pattern_packing")
+def op7_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
