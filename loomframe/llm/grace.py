@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import SLICE_BYTES, slices, staged, text_or_empty
+from .base import SLICE_BYTES, ship_package, slices, staged, text_or_empty
 
 _CLASS = "digest string, text string, keep long, n long"
 
@@ -134,6 +134,7 @@ def grace_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bucket_bytes: text that the table of one bucket may hold. A single longer text is a
     bucket of its own.
     """
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("digest", F.sha2("text", 256))
     ids = staged(rows.select("id", "digest", F.octet_length("text").alias("bytes")), "grace-ids")
     depth = bucket_depth(ids.groupBy("digest").agg(F.max("bytes").alias("bytes")), bucket_bytes)

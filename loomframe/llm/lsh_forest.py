@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import slices, staged, text_or_empty
+from .base import ship_package, slices, staged, text_or_empty
 from .components import components
 
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -197,6 +197,7 @@ def ngram_join(
     Copies are joined once. A set of connected candidates of more than part_texts texts is cut
     into parts, and each pair of parts is a task of its own; pairs are counted, not emitted.
     """
+    ship_package(docs.sparkSession)
     depth = prefix_depth(similarity, recall, trees, longest)
     key = F.substring(F.unhex(F.sha2("text", 256)), 1, 16)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("key", key)

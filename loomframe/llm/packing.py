@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import slices, staged, text_or_empty
+from .base import ship_package, slices, staged, text_or_empty
 from .bpe import ENCODE_BYTES, encode_rows
 
 _BUCKET_ROWS = 4096
@@ -199,6 +199,7 @@ def pack_documents(
     without gaps. A null text is empty (one token); repeated rows are packed each. Other
     columns are not looked at. An empty table gives no rows.
     """
+    ship_package(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")

@@ -15,6 +15,7 @@ from .mixing import mix_sources
 from .packing import pack_documents
 from .repetition import quality_rules
 from .simple8b import read_tokens, write_tokens
+from .toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -140,3 +141,8 @@ def op4_simple8b_tokens(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_pattern_packing")
 def op7_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op8_deobfuscated_toxicity")
+def op8_deobfuscated_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import slices, text_or_empty
+from .base import ship_package, slices, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
 
@@ -167,6 +167,7 @@ def quality_rules(
     each give a row; other columns of docs are not looked at. Texts are whole, nothing is
     shuffled; a task holds a few megabytes of text, or one longer text.
     """
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return (

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import new_folder, slices, staged, text_or_empty
+from .base import new_folder, ship_package, slices, staged, text_or_empty
 from .bpe import ENCODE_BYTES, encode_rows
 
 #: Fixed by the format: ids per word and bits per id of selectors 0 to 15.
@@ -180,6 +180,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int = 0, folder: str | No
     task replaces a file by the same. folder: one that all executors share, by default in
     spark.checkpoint.dir; anything that pyarrow's file systems open. An empty table has no files.
     """
+    ship_package(docs.sparkSession)
     folder = folder or new_folder(docs.sparkSession, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     written = rows.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(_write(tokenizer, end, folder, file_ids), "part int, seq int, path string, n_docs long, n_ids long")
