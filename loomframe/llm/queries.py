@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .grace import grace_dedup
+from .hmm import hmm_scores
 from .licences import scan_licences
 from .lsh_forest import ngram_join
 from .mixing import mix_sources
@@ -16,6 +17,7 @@ from .packing import pack_documents
 from .repetition import quality_rules
 from .simple8b import read_tokens, write_tokens
 from .toxicity import toxicity
+from .trie_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -146,3 +148,13 @@ def op7_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_deobfuscated_toxicity")
 def op8_deobfuscated_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+@query("op1_hmm_scores")
+def op1_hmm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return hmm_scores(documents(spark, folder))
+
+
+@query("op2_trie_token_counts")
+def op2_trie_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
