@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import ship_package, slices, staged, text_or_empty
@@ -173,7 +173,12 @@ def _verify(similarity: float, n: int):
     return run
 
 
-def ngram_join(
+def text_key(text: Column) -> Column:
+    """Sixteen bytes that stand for a text."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
+def ngram_classes(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -184,23 +189,14 @@ def ngram_join(
     longest: int = 12,
     part_texts: int = 1000,
 ) -> DataFrame:
-    """One row per row of docs: doc_id, class_id, n_links, n_copies.
-
-    Texts are linked if the sets of their word n-grams have a Jaccard similarity of at least
-    `similarity`; words stand between ASCII white space, as they are written. n_links counts
-    the other texts linked to a row's text, n_copies the rows with exactly its text; classes
-    are the connected components of links and copies, named after their smallest id (null if
-    all ids are null). A text of fewer than n words is one n-gram; texts without words, null
-    among them, link to nothing and share a class only as copies. Repeated rows count as
-    copies. Other columns of docs are not looked at.
+    """One row per different text: key (text_key of it), class_id, n_links, n_copies, stays.
 
-    Copies are joined once. A set of connected candidates of more than part_texts texts is cut
-    into parts, and each pair of parts is a task of its own; pairs are counted, not emitted.
+    What ngram_join() says of rows, for texts. stays holds for one text of each class, that
+    with the smallest id (of those without, the smallest key).
     """
     ship_package(docs.sparkSession)
     depth = prefix_depth(similarity, recall, trees, longest)
-    key = F.substring(F.unhex(F.sha2("text", 256)), 1, 16)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("key", key)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("key", text_key(F.col("text")))
     texts = staged(
         rows.mapInArrow(_sign(n, trees, depth), "key binary, id long, buckets array<long>")
         .groupBy("key")
@@ -229,6 +225,29 @@ def ngram_join(
     classes = components(checked.select(F.col("key").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "key")
 
     rooted = texts.select("key", "first_id", "n_copies").join(classes, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    verdict = rooted.join(named, "root").join(links, "key", "left").select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    return rows.select("id", "key").join(verdict, "key").select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_copies")
+    first = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "key")).alias("first")
+    named = rooted.groupBy("root").agg(first).select("root", F.col("first.first_id").alias("class_id"), F.col("first.key").alias("stay"))
+    return (
+        rooted.join(named, "root")
+        .join(links, "key", "left")
+        .select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", (F.col("key") == F.col("stay")).alias("stays"))
+    )
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per row of docs: doc_id, class_id, n_links, n_copies.
+
+    Texts are linked if the sets of their word n-grams have a Jaccard similarity of at least
+    `similarity`; words stand between ASCII white space, as they are written. n_links counts
+    the other texts linked to a row's text, n_copies the rows with exactly its text; classes
+    are the connected components of links and copies, named after their smallest id (null if
+    all ids are null). A text of fewer than n words is one n-gram; texts without words, null
+    among them, link to nothing and share a class only as copies. Repeated rows count as
+    copies. Other columns of docs are not looked at. options: those of ngram_classes().
+
+    Copies are joined once. A set of connected candidates of more than part_texts texts is cut
+    into parts, and each pair of parts is a task of its own; pairs are counted, not emitted.
+    """
+    classes = ngram_classes(docs, id_col, text_col, **options)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_or_empty(text_col)).alias("key"))
+    return rows.join(classes, "key").select("doc_id", "class_id", "n_links", "n_copies")

@@ -21,7 +21,7 @@ SYMBOLS = "#*$%&|<>"
 
 _OUT = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "longest_repeat long, repeat_fraction double, spans array<struct<start:int,length:int>>"
+    "longest_repeat long, repeat_fraction double, spans array<struct<start:int,length:int>>, base_failed boolean, kept boolean"
 )
 
 
@@ -87,63 +87,75 @@ def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _measure(min_words: int):
+class Measures:
+    """What the rules look at, an array entry per text."""
+
+    def __init__(self, texts: list[str], min_words: int) -> None:
+        number: dict[bytes, int] = {}
+        words, counts, symbols, lines = [], [], [], []
+        for text in texts:
+            mine = text.encode().split()
+            counts.append(len(mine))
+            words += [number.setdefault(w, len(number)) for w in mine]
+            symbols.append(sum(text.count(c) for c in SYMBOLS))
+            seen: set[str] = set()
+            again = 0
+            for line in text.split("\n") if "\n" in text else ():
+                if line in seen:
+                    again += bool(line.encode().split())
+                seen.add(line)
+            lines.append(again)
+        self.n_words = np.array(counts, np.int64)
+        self.n_symbols, self.n_dup_lines = np.array(symbols, np.int64), np.array(lines, np.int64)
+        self.stops = np.cumsum(self.n_words)
+        self.text = np.repeat(np.arange(len(texts)), self.n_words)
+        ids = np.array(words, np.int64)
+        letters = np.fromiter((len(w.decode()) for w in number), np.int64, len(number))
+        length = letters[ids] if len(ids) else np.zeros(0, np.int64)
+        best = longest_repeats(ids, np.repeat(self.stops, self.n_words))
+
+        def per_text(values: np.ndarray) -> np.ndarray:
+            return np.bincount(self.text, values, len(texts)).astype(np.int64)
+
+        self.word_chars = per_text(length)
+        starts = np.flatnonzero(best >= 8)
+        self.n_repeat_words = per_text(covered(starts, np.full(len(starts), 8), len(ids)))
+        starts = np.flatnonzero(best >= min_words)
+        self.inside = covered(starts, best[starts], len(ids))
+        self.repeat_fraction = per_text(length * self.inside) / np.maximum(self.word_chars, 1)
+        self.longest_repeat = np.zeros(len(texts), np.int64)
+        np.maximum.at(self.longest_repeat, self.text, best)
+
+    def base_failed(self) -> np.ndarray:
+        return (self.n_words < 20) | (100 * self.n_repeat_words > 30 * self.n_words)
+
+    def kept(self, most_fraction: float, most_words: int) -> np.ndarray:
+        return ~self.base_failed() & (self.repeat_fraction <= most_fraction) & (self.longest_repeat <= most_words)
+
+    def spans(self) -> pa.ListArray:
+        """Runs of repeated words, cut where the text ends."""
+        inside, text = self.inside, self.text
+        opens = inside.copy()
+        opens[1:] &= ~(inside[:-1] & (text[1:] == text[:-1]))
+        begin = np.flatnonzero(opens)
+        runs = np.bincount(np.cumsum(opens)[inside] - 1, minlength=len(begin))
+        base = (self.stops - self.n_words)[text[begin]]
+        rows = pa.StructArray.from_arrays([pa.array(begin - base, pa.int32()), pa.array(runs, pa.int32())], ["start", "length"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(begin, np.append(0, self.stops)), pa.int32()), rows)
+
+
+def _measure(min_words: int, most_fraction: float, most_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            texts = batch.column("text").to_pylist()
-            number: dict[bytes, int] = {}
-            words, counts, chars, symbols, lines = [], [], [], [], []
-            for text in texts:
-                mine = text.encode().split()
-                counts.append(len(mine))
-                words += [number.setdefault(w, len(number)) for w in mine]
-                symbols.append(sum(text.count(c) for c in SYMBOLS))
-                seen: set[str] = set()
-                again = 0
-                for line in text.split("\n") if "\n" in text else ():
-                    if line in seen:
-                        again += bool(line.encode().split())
-                    seen.add(line)
-                lines.append(again)
-            size = np.array(counts, np.int64)
-            stop = np.cumsum(size)
-            ends = np.repeat(stop, size)
-            doc = np.repeat(np.arange(len(texts)), size)
-            letters = np.fromiter((len(w.decode()) for w in number), np.int64, len(number))
-            ids = np.array(words, np.int64)
-            length = letters[ids] if len(ids) else np.zeros(0, np.int64)
-            best = longest_repeats(ids, ends)
-
-            def per_text(values: np.ndarray, doc: np.ndarray = doc, rows: int = len(texts)) -> np.ndarray:
-                return np.bincount(doc, values, rows).astype(np.int64)
-
-            chars = per_text(length)
-            starts = np.flatnonzero(best >= 8)
-            windows = covered(starts, np.full(len(starts), 8), len(ids))
-            starts = np.flatnonzero(best >= min_words)
-            inside = covered(starts, best[starts], len(ids))
-            longest = np.zeros(len(texts), np.int64)
-            np.maximum.at(longest, doc, best)
-            fraction = per_text(length * inside) / np.maximum(chars, 1)
-            # Spans: runs of covered words, cut where the text ends.
-            opens = inside & ~np.concatenate(([False], inside[:-1] & (doc[1:] == doc[:-1]))) if len(ids) else inside
-            begin = np.flatnonzero(opens)
-            runs = np.bincount(np.cumsum(opens)[inside] - 1, minlength=len(begin)) if len(begin) else np.zeros(0, np.int64)
-            offsets = np.searchsorted(begin, np.append(0, stop))
-            base = np.append(0, stop[:-1])[doc[begin]] if len(begin) else begin
-            spans = pa.ListArray.from_arrays(
-                pa.array(offsets, pa.int32()),
-                pa.StructArray.from_arrays([pa.array(begin - base, pa.int32()), pa.array(runs, pa.int32())], ["start", "length"]),
-            )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    *(pa.array(x, pa.int64()) for x in (size, chars, np.array(symbols), np.array(lines), per_text(windows), longest)),
-                    pa.array(fraction, pa.float64()),
-                    spans,
-                ],
-                names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat", "repeat_fraction", "spans"],
-            )
+            m = Measures(batch.column("text").to_pylist(), min_words)
+            columns = {
+                "doc_id": batch.column("doc_id"),
+                **{c: pa.array(getattr(m, c)) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat", "repeat_fraction")},
+                "spans": m.spans(),
+                "base_failed": pa.array(m.base_failed()),
+                "kept": pa.array(m.kept(most_fraction, most_words)),
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
@@ -169,9 +181,16 @@ def quality_rules(
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return (
-        rows.mapInArrow(_measure(min_words), _OUT)
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("repeat_fraction") <= most_fraction) & (F.col("longest_repeat") <= most_words))
-    )
+    return rows.mapInArrow(_measure(min_words, most_fraction, most_words), _OUT)
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", min_words: int = 8, most_fraction: float = 0.3, most_words: int = 100) -> DataFrame:
+    """The rows of docs that quality_rules() keeps, with all their columns."""
+    ship_package(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            texts = [t or "" for t in batch.column(text_col).to_pylist()]
+            yield batch.filter(pa.array(Measures(texts, min_words).kept(most_fraction, most_words)))
+
+    return docs.mapInArrow(run, docs.schema)
