@@ -19,10 +19,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _SPACE = r"[\s\v\x{1c}-\x{1f}\x{85}\p{Z}]"
 _UNCUT = f"{_SPACE} (?:{_SPACE}|$)"
 
-_MOST_WORDS = 400_000
+_MOST_WORDS = 300_000
 
 #: Texts are encoded in slices of so many bytes; the longer, the fewer words come twice.
-ENCODE_BYTES = 12 << 20
+ENCODE_BYTES = 8 << 20
 
 
 def _byte_letters() -> dict[int, int]:

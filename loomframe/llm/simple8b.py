@@ -34,16 +34,29 @@ _WIDTHS = np.searchsorted(_POWERS, np.arange(1 << 16, dtype=np.uint64), side="ri
 MAGIC = b"LOOMS8B1"
 BLOCK_WORDS = 1024
 FILE_IDS = 1 << 22
+#: Ids that are packed at once.
+_PACK_IDS = 1 << 18
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """words, how many ids each holds, and positions and values of the escapes."""
     ids = np.asarray(ids, np.uint64)
-    n = len(ids)
     escaped = np.flatnonzero(ids >= np.uint64(1) << np.uint64(60))
     values = ids[escaped]
-    padded = np.concatenate([ids, np.zeros(240, np.uint64)])
-    padded[escaped] = 0
+    words, counts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(ids):
+        more, held = _pack_some(ids[at : at + _PACK_IDS + 240])
+        words.append(more)
+        counts.append(held)
+        at += int(held.sum())
+    return np.concatenate(words), np.concatenate(counts), escaped.astype(np.uint64), values
+
+
+def _pack_some(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words that begin among the first _PACK_IDS ids, with 240 more ids to look ahead."""
+    n = min(len(ids), _PACK_IDS)
+    padded = np.concatenate([ids, np.zeros(n + 240 - len(ids), np.uint64)])
+    padded[padded >= np.uint64(1) << np.uint64(60)] = 0
     widths = _WIDTHS[np.minimum(padded, np.uint64(len(_WIDTHS) - 1))]
     wide = np.flatnonzero(padded >= len(_WIDTHS))
     widths[wide] = np.searchsorted(_POWERS, padded[wide], side="right")
@@ -57,8 +70,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
             tops.append(np.maximum(last[: len(last) - 2**k], last[2**k :]))
             k += 1
         top, step = tops[-1], count - 2**k
-        most = np.maximum(top[:n], top[step : step + n])
-        fits = most <= BITS[s]
+        fits = np.maximum(top[:n], top[step : step + n]) <= BITS[s]
         if not fits.any():
             break
         selector[fits] = s
@@ -68,14 +80,14 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         begin.append(at)
         at = after[at]
     begin = np.array(begin, np.int64)
-    chosen = selector[begin] if n else begin
+    chosen = selector[begin]
     words = chosen.astype(np.uint64) << np.uint64(60)
     for s in np.unique(chosen):
         mine = np.flatnonzero(chosen == s)
         if BITS[s]:
             shifts = np.arange(COUNTS[s], dtype=np.uint64) * np.uint64(BITS[s])
             words[mine] |= np.bitwise_or.reduce(padded[begin[mine][:, None] + np.arange(COUNTS[s])] << shifts, axis=1)
-    return words, COUNTS[chosen], escaped.astype(np.uint64), values
+    return words, COUNTS[chosen]
 
 
 def unpack(words: np.ndarray, n: int, escaped: np.ndarray, values: np.ndarray) -> np.ndarray:

@@ -82,6 +82,7 @@ def test_round_trip(ids):
 
 def test_every_selector_and_blocks(monkeypatch):
     monkeypatch.setattr(simple8b, "BLOCK_WORDS", 3)
+    monkeypatch.setattr(simple8b, "_PACK_IDS", 37)
     rng = np.random.default_rng(3)
     parts = [np.zeros(700, np.uint64)] + [rng.integers(0, 1 << int(b), 50, dtype=np.uint64) for b in simple8b.BITS[2:]]
     ids = np.concatenate([*parts, np.array([2**60, 2**64 - 1, 5], np.uint64)])
