@@ -9,8 +9,8 @@ from loomframe.functions.missing import col_of, safe_div
 
 
 def str_squish(x: Column | str) -> Column:
-    """Strip the ends and shrink inner runs of white space to one space."""
-    return F.trim(F.regexp_replace(col_of(x), r"\s+", " "))
+    """Strip the ends and shrink inner runs of white space, of any script, to one space."""
+    return F.trim(F.regexp_replace(col_of(x), r"(?U)\s+", " "))
 
 
 def str_detect(x: Column | str, pattern: str) -> Column:
@@ -23,8 +23,9 @@ def str_extract(x: Column | str, pattern: str) -> Column:
 
 
 def as_integer(x: Column | str) -> Column:
-    """Integer value, null when the text is not a number."""
-    return col_of(x).try_cast("int")
+    """Integer value, a fraction cut off; null when the text is not a number that fits."""
+    whole = col_of(x).try_cast("double")
+    return F.when(~F.isnan(whole), F.when(whole >= 0, F.floor(whole)).otherwise(F.ceil(whole))).try_cast("int")
 
 
 def paste(*parts) -> Column:

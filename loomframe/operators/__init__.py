@@ -24,7 +24,7 @@ from loomframe.operators.joins import (
     right_join,
     stack_rows,
 )
-from loomframe.operators.nest import group_apply, nest, unnest
+from loomframe.operators.nest import group_apply, nest, nest_parts, unnest
 from loomframe.operators.reshape import (
     pivot_longer,
     pivot_wider,
@@ -36,6 +36,7 @@ from loomframe.operators.select import (
     drop_matching_rows,
     drop_positions,
     filter_if_all,
+    filter_if_any,
     filter_not_any,
     mutate_across,
     numeric,

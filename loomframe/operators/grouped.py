@@ -30,7 +30,8 @@ def filter_at_max(
 
     A group with a missing value has no known maximum and goes, unless ``na_rm``.
     """
-    marked = attach_group_stats(df, by, {"__max": max_of(x, na_rm)}, few_groups=few_groups)
+    stats = {"__max": max_of(x, na_rm)}
+    marked = attach_group_stats(df, by, stats, few_groups=few_groups, wide=[x])
     return marked.where(F.col(x) == F.col("__max")).drop("__max")
 
 
@@ -60,7 +61,8 @@ def slice_max(
 
     With ties the n-th value is found first and rows are kept by comparing with it,
     so any number of tied rows stays where it is. Without ties ``tiebreak`` columns
-    settle which row stays. Row limits apply inside each task before the shuffle.
+    settle which row stays, and what they leave open is an error. Row limits apply inside
+    each task before the shuffle.
     """
     if not with_ties:
         return slice_head(df, n, by, [f"-{x}", *tiebreak])
@@ -77,23 +79,42 @@ def _top_values(df: DataFrame, x: str, n: int, by: Sequence[str]) -> DataFrame:
     """The values of the first ``n`` rows per group from the largest down."""
     values = df.select(*by, F.col(x).alias("__x"))
     if n <= _LIMITED_ROWS:
-        return slice_head(values, n, by, "-__x")
+        return _head(values, n, by, "-__x", lambda kept, tied: kept)
     counts = values.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__n"))
     reached = cumsum(counts, "__n", by, "-__x", out="__upto")
     return reached.where(F.col("__upto") - F.col("__n") < n)
 
 
+def _head(df: DataFrame, n: int, by: Sequence[str], order_by, keep) -> DataFrame:
+    """Rows numbered up to n + 1; ``keep(first n, tied with the row ahead)`` says which stay.
+
+    Up to 1,000 rows each task keeps only the first it sees of a group before the shuffle;
+    for more, rows are numbered in blocks.
+    """
+    place, rank = F.col("__rn"), F.col("__rk")
+    if n > _LIMITED_ROWS:
+        numbered = number_rows(df, by, order_by, "__rn", tied="__tied")
+        tied = F.col("__tied")
+    else:
+        along = Window.partitionBy(*by).orderBy(*sort_columns(parse_order(order_by)))
+        numbered = df.withColumns({"__rn": F.row_number().over(along), "__rk": F.rank().over(along)})
+        tied = rank < place
+    numbered = numbered.where(place <= n + 1)
+    return numbered.where(keep(place <= n, tied)).select(*df.columns)
+
+
 def slice_head(df: DataFrame, n: int, by: Sequence[str], order_by) -> DataFrame:
     """The first ``n`` rows of each group in the given order.
 
-    Up to 1,000 rows each task keeps only the first ``n`` it sees of a group before the
-    shuffle; for more, rows are numbered in blocks, which wants an unambiguous order.
+    Stops where the order does not tell the n-th row from the next, whatever ``n`` is.
     """
-    if n > _LIMITED_ROWS:
-        return number_rows(df, by, order_by, "__rn").where(F.col("__rn") <= n).drop("__rn")
-    along = Window.partitionBy(*by).orderBy(*sort_columns(parse_order(order_by)))
-    numbered = df.withColumn("__rn", F.row_number().over(along))
-    return numbered.where(F.col("__rn") <= n).drop("__rn")
+    names = ", ".join(c for c, _ in parse_order(order_by))
+    text = F.lit(f"order_by ({names}) does not fix which rows are the first {n} of a group")
+
+    def keep(first: Column, tied: Column) -> Column:
+        return F.when(~first & tied, F.raise_error(text)).otherwise(first)
+
+    return _head(df, n, by, order_by, keep)
 
 
 def reframe_quantiles(

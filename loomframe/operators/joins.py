@@ -6,7 +6,7 @@ import operator
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,11 +19,12 @@ from loomframe.plans.blocks import (
     leading_count,
 )
 from loomframe.plans.matching import lookup_join
-from loomframe.plans.sizing import large_groups, rows_per_block, table_fits
+from loomframe.plans.sizing import large_groups, row_bytes, rows_per_block, table_fits
 
 _COMPARE = {">=": operator.ge, ">": operator.gt, "<=": operator.le, "<": operator.lt}
 _INLINE_STEPS = 256
-_LISTED_STEPS = 200_000
+_LISTED_BYTES = 8 * 1024 * 1024
+_RANGE_ROWS, _MOST_RANGES = 1_000, 4_096
 
 
 def _pairs(on) -> list[tuple[str, str]]:
@@ -112,6 +113,21 @@ def stack_rows(*tables: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- inequality
 
 
+def _usable(df: DataFrame, c: str) -> Column:
+    """The column with NaN as a missing value."""
+    kind = df.schema[c].dataType
+    return F.nanvl(c, F.lit(None)) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.col(c)
+
+
+def _sorted_steps(values: DataFrame, backwards: bool = False) -> tuple[Column, int]:
+    """The values of a one-column table, sorted by Spark, as a list constant of their own type."""
+    (name,) = values.columns
+    at = F.col(name)
+    ordered = values.orderBy(at.desc() if backwards else at.asc())
+    texts = ordered.select(F.to_json(F.struct(name), EXACT_JSON).alias("j")).collect()
+    return constant_list([r["j"] for r in texts], values.schema), len(texts)
+
+
 def join_inequality(
     left: DataFrame,
     lookup: DataFrame,
@@ -120,77 +136,95 @@ def join_inequality(
     right_col: str,
     how: str = "left",
     suffix: tuple[str, str] = ("_x", "_y"),
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """All lookup rows with ``left_col op right_col``.
+    """All lookup rows with ``left_col op right_col``, of equal keys if ``by`` names any.
 
-    The lookup's values are cut into ranges. A left row is sent to the ranges it can
-    match (whole ranges, and one in which the condition is checked), so only pairs
-    that belong to the result are made, but for the one boundary range.
+    The lookup's values are cut into ranges of about a thousand rows (at most 4,096 ranges),
+    at values of a sample that Spark sorts, so any type with an order will do. A left row is
+    sent to the ranges it can match (whole ranges, and one in which the condition is
+    checked), so hardly any pairs are made that do not belong to the result. Missing values,
+    NaN among them, match nothing.
     """
     compare = _COMPARE[op]
     upward = op in ("<=", "<")
+    bys = [f"__by_{i}" for i in range(len(by))]
+    lookup = lookup.withColumnsRenamed(dict(zip(by, bys)))
     left, lookup = _suffixed(left, lookup, suffix)
     rcol = right_col if right_col in lookup.columns else right_col + suffix[1]
     lcol = left_col if left_col in left.columns else left_col + suffix[0]
-    usable = lookup.where(F.col(rcol).isNotNull())
+    value = _usable(left, lcol)
+    usable = lookup.where(_usable(lookup, rcol).isNotNull())
     n = usable.count()
-    parts = max(1, min(64, n))
-    marks = [(i + 1) / parts for i in range(parts - 1)] or [0.5]
-    found = usable.agg(F.percentile_approx(rcol, marks, 10_000).alias("c")).first()["c"]
-    cuts = F.array(*[F.lit(c) for c in found or []])
-
-    def place(c: str) -> Column:
-        return F.size(F.filter(cuts, lambda cut: cut < F.col(c))) if found else F.lit(0)
-
-    right = usable.withColumn("__bin", place(rcol))
-    own = place(lcol)
-    reach = F.sequence(own, F.lit(parts)) if upward else F.sequence(F.lit(0), own)
-    probes = left.where(F.col(lcol).isNotNull()).withColumn("__probe", F.explode(reach))
+    parts = max(1, min(_MOST_RANGES, -(-n // _RANGE_ROWS)))
+    seen = usable.select(F.col(rcol).alias("c"))
+    if n > 32 * parts:
+        seen = seen.where(F.rand(7) < 32 * parts / n)
+    along = F.row_number().over(Window.orderBy("c"))
+    count = F.count(F.lit(1)).over(Window.partitionBy())
+    # One value in about 32, of a sample of at most 32 for each range.
+    marks = seen.withColumns({"r": along, "n": count}).where(
+        F.floor(F.col("r") * parts / F.col("n")) > F.floor((F.col("r") - 1) * parts / F.col("n"))
+    )
+    cuts, n_cuts = _sorted_steps(marks.where("r < n").select("c").distinct())
+
+    def place(v: Column) -> Column:
+        if not n_cuts:
+            return F.lit(0)
+        return leading_count(F.lit(n_cuts), n_cuts, lambda i: F.get(cuts, i)["c"] < v)
+
+    right = usable.withColumn("__bin", place(F.col(rcol)))
+    own = place(value)
+    reach = F.sequence(own, F.lit(n_cuts)) if upward else F.sequence(F.lit(0), own)
+    equal = [F.col(b) == F.col(r) for b, r in zip(by, bys)]
+    if by:
+        # Whether a group has a match is seen from its outermost value.
+        outer = usable.groupBy(*bys).agg((F.max if upward else F.min)(rcol).alias("__edge"))
+        outer = outer.withColumnsRenamed({r: f"__edge{r}" for r in bys})
+        met = [F.col(b) == F.col(f"__edge{r}") for b, r in zip(by, bys)]
+        edged = left.join(outer, reduce(lambda a, b: a & b, met), "left").drop(*[f"__edge{r}" for r in bys])
+    else:
+        edge = usable.agg((F.max if upward else F.min)(rcol).alias("e")).select("e").scalar()
+        edged = left.withColumn("__edge", edge)
+    has = F.coalesce(compare(value, F.col("__edge")), F.lit(False))
+    # A row without any match goes to no range, and comes back alone.
+    probes = edged.withColumn("__probe", F.explode(F.when(has, reach).otherwise(F.array(F.lit(-1)))))
+    probes = probes.drop("__edge")
+    if how == "inner":
+        probes = probes.where("__probe >= 0")
     if table_fits(right):
         right = F.broadcast(right)
-    same = (F.col("__probe") == F.col("__bin")) & compare(F.col(lcol), F.col(rcol))
-    matched = probes.join(right, same).drop("__probe", "__bin")
-    if how == "inner":
-        return matched
-    edge = usable.agg((F.max(rcol) if upward else F.min(rcol)).alias("e")).select("e").scalar()
-    alone = (
-        left.withColumn("__edge", edge)
-        .where(~F.coalesce(compare(F.col(lcol), F.col("__edge")), F.lit(False)))
-        .drop("__edge")
-    )
-    return matched.unionByName(alone, allowMissingColumns=True)
+    same = (F.col("__probe") == F.col("__bin")) & compare(value, F.col(rcol))
+    joined = probes.join(right, reduce(lambda a, b: a & b, [same, *equal]), "left")
+    return joined.where("__probe < 0 OR __bin IS NOT NULL").drop("__probe", "__bin", *bys)
 
 
 # ---------------------------------------------------------------- closest
 
 
-def _by_conditions(v: Column, op: str, values: DataFrame, n: int, dtype: T.DataType) -> Column:
+def _by_conditions(v: Column, op: str, steps: Column, n: int) -> Column:
     """The closest value as nested conditions, which stay in generated code."""
     compare = _COMPARE[op]
-    steps = sorted((r[0] for r in values.collect()), reverse=op in ("<=", "<"))
-    if not steps:
-        return F.lit(None).cast(dtype)
+
+    def step(i: int) -> Column:
+        return F.get(steps, F.lit(i))["__at"]
 
     def pick(lo: int, hi: int) -> Column:
         if hi - lo == 1:
-            return F.lit(steps[lo]).cast(dtype)
+            return step(lo)
         mid = (lo + hi) // 2
-        return F.when(compare(v, F.lit(steps[mid])), pick(mid, hi)).otherwise(pick(lo, mid))
+        return F.when(compare(v, step(mid)), pick(mid, hi)).otherwise(pick(lo, mid))
 
-    return F.when(compare(v, F.lit(steps[0])), pick(0, len(steps)))
+    return F.when(compare(v, step(0)), pick(0, n))
 
 
-def _by_search(v: Column, op: str, values: DataFrame, n: int, dtype: T.DataType) -> Column:
+def _by_search(v: Column, op: str, steps: Column, n: int) -> Column:
     """The closest value by binary search in one sorted list shared by all rows."""
     compare = _COMPARE[op]
-    backwards = op in ("<=", "<")
-    ordered = values.orderBy(F.col("__at").desc() if backwards else F.col("__at").asc())
-    texts = ordered.select(F.to_json(F.struct("__at"), EXACT_JSON).alias("j")).collect()
-    steps = constant_list([r["j"] for r in texts], values.schema)
     passed = leading_count(
         F.lit(n), n, lambda i: F.coalesce(compare(v, F.get(steps, i)["__at"]), F.lit(False))
     )
-    return F.get(steps, passed - 1)["__at"].cast(dtype)
+    return F.get(steps, passed - 1)["__at"]
 
 
 def join_closest(
@@ -201,34 +235,45 @@ def join_closest(
     right_col: str,
     by: Sequence[str] = (),
     suffix: tuple[str, str] = ("_x", "_y"),
+    strategy: str = "auto",
 ) -> DataFrame:
     """Each left row with the lookup rows at the closest value for which ``op`` holds.
 
     All lookup rows tied at that value join; a row without a match keeps nulls. With
-    ``by`` the match is sought within equal keys.
-
-    Without ``by``, up to 256 lookup values become nested conditions in generated code
-    and up to 200,000 a sorted list that each row searches; the left table is not
-    shuffled. Otherwise both tables are put in one order and the last
-    lookup value is carried forward; large groups and an ungrouped table are scanned in
-    blocks over distinct values.
+    ``by`` the match is sought within equal keys. Missing values and keys, NaN among the
+    values, match nothing.
+
+    ``strategy`` may be "conditions" (the lookup's values as nested conditions in generated
+    code), "list" (a sorted constant that each row searches) or "scan": both tables are put
+    in one order and the last lookup value is carried forward; large groups and an ungrouped
+    table are scanned in blocks over distinct values. The first two take no ``by`` and do
+    not shuffle the left table. Left alone, up to 256 values become conditions and up to
+    8 MB of them a list. All give the same rows.
     """
     by = list(by)
-    lookup = lookup.where(F.col(right_col).isNotNull())
+    if strategy not in ("auto", "conditions", "list", "scan"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    if by and strategy in ("conditions", "list"):
+        raise ValueError(f"strategy {strategy!r} takes no by")
+    lookup = lookup.where(_usable(lookup, right_col).isNotNull())
+    lookup = lookup.dropna(subset=by) if by else lookup
     bys = [f"__by_{i}" for i in range(len(by))]
     lookup = lookup.withColumnsRenamed(dict(zip(by, bys)))
     left, lookup = _suffixed(left, lookup, suffix)
     left_col = left_col if left_col in left.columns else left_col + suffix[0]
     shown = right_col if right_col in lookup.columns else right_col + suffix[1]
     lookup = lookup.withColumnRenamed(shown, "__at")
-    at_type = lookup.schema["__at"].dataType
-
-    if not by:
+    if not by and strategy != "scan":
         values = lookup.select("__at").distinct()
-        n = values.count()
-        if n <= _LISTED_STEPS:
-            find = _by_conditions if n <= _INLINE_STEPS else _by_search
-            best = find(F.col(left_col), op, values, n, at_type)
+        size = values.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(values.schema)).alias("b")).first()
+        if strategy != "auto" or (size["b"] or 0) <= _LISTED_BYTES:
+            steps, n = _sorted_steps(values, backwards=op in ("<=", "<"))
+            if strategy == "auto":
+                strategy = "conditions" if n <= _INLINE_STEPS else "list"
+            find = _by_conditions if strategy == "conditions" else _by_search
+            value = _usable(left, left_col)
+            best = find(value, op, steps, n) if n else F.lit(None)
+            best = best.cast(lookup.schema["__at"].dataType)
             return _attach_at(left.withColumn("__best", best), lookup, [], [], shown)
 
     unique = not lookup.groupBy(*bys, "__at").count().where("count > 1").limit(1).count()
@@ -275,7 +320,7 @@ def _scan_closest(probes, lookup, by, bys, left_col, op, payload, limit) -> Data
         rights = rights.distinct()
     lefts = probes.withColumns(
         {
-            "__t": F.col(left_col),
+            "__t": _usable(probes, left_col),
             "__side": F.lit(1 if right_first else 0),
             "__probe": F.lit(True),
         }
@@ -315,53 +360,64 @@ def _number(c: str, dtype: T.DataType) -> Column:
 
 
 def _points_in_intervals(
-    points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, cond: Column
+    points: DataFrame,
+    intervals: DataFrame,
+    at: str,
+    start: str,
+    end: str,
+    cond: Column,
+    equal: Sequence[tuple[str, str]],
 ) -> DataFrame:
     """Pairs with start <= at <= end that also meet ``cond``; every pair comes up once.
 
     The axis is cut into bins whose width doubles from level to level. An interval is
-    filed on the level where it touches at most two bins, a point once on each level in
-    use, and the two meet by equality of (level, bin). Long intervals therefore cost no
-    more rows than short ones, and a crowded bin is a join key that adaptive execution
-    can cut.
+    filed on the level of its own length, where it touches at most two bins (one without
+    length under its value), a point once on each level in use, and the two meet by equality
+    of level, bin and the columns ``equal`` pairs up. Intervals of one length therefore never
+    share a bin with much shorter ones, and a crowded bin is a join key that adaptive
+    execution can cut.
     """
     ptype, stype = points.schema[at].dataType, intervals.schema[start].dataType
     etype = intervals.schema[end].dataType
     low, high = _number(start, stype), _number(end, etype)
-    intervals = intervals.where(low <= high)
     length = high - low
-    # Width of the finest bins: the median length, or any width if all are points.
-    spans = intervals.agg(F.percentile_approx(length, 0.5).alias("mid"), F.max(length).alias("max"))
-    width = next((w for w in spans.first() if w), 1.0)
-    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(length, F.lit(width)) / width)))
+    # Lengths below the smallest normal number count as none; ends are compared exactly.
+    level = F.when(length > _TINY, F.ceil(F.log2(length)).cast("int")).otherwise(_NO_LENGTH)
+    filed = intervals.where(low <= high).withColumn("__level", level)
 
     def bin_of(x: Column, lev: Column) -> Column:
-        return F.floor(x / (F.lit(float(width)) * F.pow(F.lit(2.0), lev))).cast("long")
+        cut = F.floor(x / F.pow(F.lit(2.0), lev)).cast("double")
+        return F.when(lev == _NO_LENGTH, x).otherwise(cut)
 
-    filed = intervals.withColumn("__level", level.cast("int"))
-    used = sorted(r["__level"] for r in filed.select("__level").distinct().collect())
-    filed = filed.withColumn(
-        "__bin",
-        F.explode(F.sequence(bin_of(low, F.col("__level")), bin_of(high, F.col("__level")))),
-    )
+    used = filed.agg(F.sort_array(F.collect_set("__level")).alias("u")).first()["u"]
+    ends = F.array_distinct(F.array(bin_of(low, F.col("__level")), bin_of(high, F.col("__level"))))
+    filed = filed.withColumn("__bin", F.explode(ends))
     spread = (
         points.where(F.col(at).isNotNull())
         .withColumn("__plevel", F.explode(F.array(*[F.lit(v) for v in used or [0]])))
         .withColumn("__pbin", bin_of(_number(at, ptype), F.col("__plevel")))
     )
     meet = (F.col("__plevel") == F.col("__level")) & (F.col("__pbin") == F.col("__bin"))
+    for a, b in equal:
+        meet = meet & (F.col(a) == F.col(b))
     inside = (F.col(start) <= F.col(at)) & (F.col(at) <= F.col(end))
     return spread.join(filed, meet & inside & cond).drop("__plevel", "__pbin", "__level", "__bin")
 
 
-def _interval_join(x, y, x_span, y_span, how, key, suffix, pairs) -> DataFrame:
+# What level intervals without length are filed on, and what counts as no length.
+_NO_LENGTH, _TINY = -10_000, 2.3e-308
+
+
+def _interval_join(x, y, x_span, y_span, how, key, suffix, by, pairs) -> DataFrame:
     if how == "left" and not key:
         raise ValueError("how='left' needs the key columns of the left table")
+    bys = [f"__by_{i}" for i in range(len(by))]
+    y = y.withColumnsRenamed(dict(zip(by, bys)))
     x, y = _suffixed(x, y, suffix)
     xs, xe = (c if c in x.columns else c + suffix[0] for c in x_span)
     ys, ye = (c if c in y.columns else c + suffix[1] for c in y_span)
-    columns = [*x.columns, *y.columns]
-    matched = pairs(x, y, xs, xe, ys, ye).select(*columns)
+    columns = [*x.columns, *[c for c in y.columns if c not in bys]]
+    matched = pairs(x, y, xs, xe, ys, ye, list(zip(by, bys))).select(*columns)
     if how == "inner":
         return matched
     keys = [c if c in x.columns else c + suffix[0] for c in key]
@@ -377,14 +433,18 @@ def join_within(
     how: str = "inner",
     key: Sequence[str] = (),
     suffix: tuple[str, str] = ("_x", "_y"),
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Pairs in which the interval of ``x`` lies within that of ``y``, ends included."""
+    """Pairs in which the interval of ``x`` lies within that of ``y``, ends included.
 
-    def pairs(x, y, xs, xe, ys, ye):
+    With ``by`` only rows of equal keys are paired.
+    """
+
+    def pairs(x, y, xs, xe, ys, ye, equal):
         inside = (F.col(xs) <= F.col(xe)) & (F.col(xe) <= F.col(ye))
-        return _points_in_intervals(x, y, xs, ys, ye, inside)
+        return _points_in_intervals(x, y, xs, ys, ye, inside, equal)
 
-    return _interval_join(x, y, x_span, y_span, how, key, suffix, pairs)
+    return _interval_join(x, y, x_span, y_span, how, key, suffix, by, pairs)
 
 
 def join_overlap(
@@ -395,17 +455,18 @@ def join_overlap(
     how: str = "inner",
     key: Sequence[str] = (),
     suffix: tuple[str, str] = ("_x", "_y"),
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Pairs of intervals that share a point, ends included.
 
     Either y starts in x, or x starts in y after y's start: two joins without common
-    pairs.
+    pairs. With ``by`` only rows of equal keys are paired.
     """
 
-    def pairs(x, y, xs, xe, ys, ye):
-        first = _points_in_intervals(y, x, ys, xs, xe, F.col(ys) <= F.col(ye))
+    def pairs(x, y, xs, xe, ys, ye, equal):
+        first = _points_in_intervals(y, x, ys, xs, xe, F.col(ys) <= F.col(ye), equal)
         starts_later = (F.col(ys) < F.col(xs)) & (F.col(xs) <= F.col(xe))
-        second = _points_in_intervals(x, y, xs, ys, ye, starts_later)
+        second = _points_in_intervals(x, y, xs, ys, ye, starts_later, equal)
         return first.unionByName(second)
 
-    return _interval_join(x, y, x_span, y_span, how, key, suffix, pairs)
+    return _interval_join(x, y, x_span, y_span, how, key, suffix, by, pairs)

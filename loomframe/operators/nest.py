@@ -6,49 +6,44 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from loomframe.plans.matching import lookup_join
-from loomframe.plans.sizing import large_groups, rows_per_block
+from loomframe.plans.matching import attach_group_stats
 
 
-def nest(
-    df: DataFrame, by: Sequence[str], into: str = "data", limit: int | None = None
-) -> DataFrame:
+def nest(df: DataFrame, by: Sequence[str], into: str = "data") -> DataFrame:
     """One row per group, its other columns as an array of structs.
 
-    A group above ``loomframe.rowsPerBlock`` rows would not fit one array; it comes as
-    several rows with the same key, each holding a part. Repeated rows of such a group
-    are counted before they move and unfolded in the parts, so copies spread as well.
+    A group's rows meet in one array; use ``nest_parts`` where that is too long.
+    """
+    fields = [c for c in df.columns if c not in by]
+    return df.groupBy(*by).agg(F.collect_list(F.struct(*fields)).alias(into))
+
+
+def nest_parts(
+    df: DataFrame, by: Sequence[str], rows: int, into: str = "data", part: str = "part"
+) -> DataFrame:
+    """``nest`` with arrays of about ``rows`` rows: one row per group and numbered part.
+
+    A group has as many parts as its number of rows asks for, and every row says which
+    one it is. Repeated rows are counted before they move and unfolded in the parts, so
+    copies spread as well.
     """
     by = list(by)
     fields = [c for c in df.columns if c not in by]
-    limit = rows_per_block(df.sparkSession, limit)
-    sizes = large_groups(df, by, limit)
-    row = F.struct(*fields)
-    if not sizes:
-        return df.groupBy(*by).agg(F.collect_list(row).alias(into))
-    schema = T.StructType([*[df.schema[c] for c in by], T.StructField("__parts", T.LongType())])
-    parts = df.sparkSession.createDataFrame(
-        [(*[r[c] for c in by], -(-r["n"] // limit)) for r in sizes], schema
-    )
-    marked = lookup_join(df, parts, by, small=True)
-    usual = marked.where(F.col("__parts").isNull())
-    usual = usual.groupBy(*by).agg(F.collect_list(row).alias(into))
-    counted = marked.where(F.col("__parts").isNotNull()).groupBy(*df.columns, "__parts").agg(
-        F.count(F.lit(1)).alias("__n")
-    )
-    pieces = counted.withColumn(
-        "__piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__n - 1) div {limit}")))
-    ).withColumn("__times", F.least(F.lit(limit), F.col("__n") - F.col("__piece") * limit))
-    part = F.pmod(F.xxhash64(*df.columns), F.col("__parts"))
-    copies = F.array_repeat(row, F.col("__times").cast("int"))
-    spread = (
-        pieces.withColumn("__part", part)
-        .groupBy(*by, "__part", "__piece")
-        .agg(F.flatten(F.collect_list(copies)).alias(into))
+    sizes = {"__parts": F.ceil(F.count(F.lit(1)) / F.lit(rows))}
+    marked = attach_group_stats(df, by, sizes)
+    counted = marked.groupBy(*df.columns, "__parts").agg(F.count(F.lit(1)).alias("__n"))
+    # Equal rows fill pieces of at most `rows` copies; pieces are dealt to the parts.
+    last = F.expr(f"(__n - 1) div {int(rows)}")
+    pieces = counted.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    times = F.least(F.lit(rows), F.col("__n") - F.col("__piece") * rows).cast("int")
+    dealt = F.pmod(F.xxhash64(*df.columns, "__piece"), F.col("__parts"))
+    packed = (
+        pieces.withColumn("__dealt", dealt)
+        .groupBy(*by, "__dealt")
+        .agg(F.flatten(F.collect_list(F.array_repeat(F.struct(*fields), times))).alias(into))
     )
-    return usual.unionByName(spread.select(*by, into))
+    return packed.select(*by, F.col("__dealt").alias(part), into)
 
 
 def unnest(df: DataFrame, col: str = "data") -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from loomframe.operators.select import resolve
 
 VALUE = ".value"
-_MOST_COLUMNS = 10_000
 _INLINE_CELLS = 24
 
 
@@ -84,31 +83,17 @@ def pivot_longer(
     return long
 
 
-def _cell_values(
-    how: str | Callable[[Column], Column], order_by: Sequence[str]
-) -> Callable[[Column, Column], Column]:
-    """Aggregate that makes one cell from the value column and its cell condition."""
-    order = [F.col(c) for c in order_by]
-
-    def cell(x: Column, here: Column) -> Column:
-        if callable(how):
-            return how(F.when(here, x))
-        if how == "error":
-            # The cell holds one value; the largest of one needs the smaller buffer.
-            return F.max(F.when(here, x))
-        if how == "first":
-            if not order:
-                raise ValueError("values_fn='first' needs order_by")
-            return F.min_by(x, F.when(here, F.struct(*order)))
-        if how == "list":
-            if order:
-                got = F.collect_list(F.when(here, F.struct(*order, x.alias("__x"))))
-                return F.transform(F.array_sort(got), lambda s: s["__x"])
-            got = F.collect_list(F.when(here, F.struct(x.alias("__x"))))
-            return F.transform(F.array_sort(got), lambda s: s["__x"])
-        raise ValueError(f"unknown values_fn {how!r}")
-
-    return cell
+def _cell_value(how: str, x: Column, here: Column, order_by: Sequence[str]) -> Column:
+    """Aggregate that makes one cell of the rows for which ``here`` holds; null without any."""
+    if how == "error":
+        # The cell holds one value; the largest of one needs the smaller buffer.
+        return F.max(F.when(here, x))
+    if how == "list":
+        order = [F.col(c) for c in order_by]
+        got = F.collect_list(F.when(here, F.struct(*order, x.alias("__x"))))
+        items = F.transform(F.array_sort(got), lambda s: s["__x"])
+        return F.when(F.count_if(here) > 0, items)
+    raise ValueError(f"unknown values_fn {how!r}")
 
 
 def pivot_wider(
@@ -121,13 +106,18 @@ def pivot_wider(
     values_fn: str | Callable[[Column], Column] = "error",
     values_fill=None,
     order_by: Sequence[str] = (),
+    unlisted: str = "error",
+    most_columns: int | None = None,
 ) -> DataFrame:
     """Turn the values of ``names_from`` into columns.
 
-    ``values`` fixes the columns and their order; without it one distinct job finds
-    them, and with more than 10,000 it stops. A cell with several rows is an error
-    unless ``values_fn`` is "list", "first" (by ``order_by``) or an aggregate. Cells are
-    aggregated before the shuffle, so a heavy id costs one row per task.
+    ``values`` fixes the columns and their order, and a value that is not among them is an
+    error unless ``unlisted`` is "drop"; without ``values`` one distinct job finds them, and
+    stops above ``most_columns`` if that is given. A cell with several rows is an error
+    unless ``values_fn`` is "list", "first" (by ``order_by``, tied first rows being an error)
+    or an aggregate, which sees the rows of its cell only. A cell without rows is null, or
+    ``values_fill``. Cells are aggregated before the shuffle, so a heavy id costs one row
+    per task.
     """
     measures = [values_from] if isinstance(values_from, str) else list(values_from)
     ids = (
@@ -137,33 +127,39 @@ def pivot_wider(
     )
     key = F.coalesce(F.col(names_from).cast("string"), F.lit("NA"))
     if values is None:
-        rows = df.select(key.alias("k")).distinct().orderBy("k").limit(_MOST_COLUMNS + 1).collect()
-        if len(rows) > _MOST_COLUMNS:
-            raise ValueError(f"more than {_MOST_COLUMNS} values of {names_from} to make columns of")
+        found = df.select(key.alias("k")).distinct().orderBy("k")
+        rows = (found if most_columns is None else found.limit(most_columns + 1)).collect()
+        if most_columns is not None and len(rows) > most_columns:
+            raise ValueError(f"more than {most_columns} values of {names_from} to make columns of")
         wanted = [r["k"] for r in rows]
     else:
         wanted = [str(v) for v in values]
+        if unlisted == "error":
+            text = F.concat(F.lit(f"pivot_wider has no column for this value of {names_from}: "), key)
+            key = F.when(key.isin(wanted), key).otherwise(F.raise_error(text))
+        elif unlisted == "drop":
+            key = F.when(key.isin(wanted), key)
+        else:
+            raise ValueError(f"unlisted is 'error' or 'drop', not {unlisted!r}")
 
     def out_name(measure: str, value: str) -> str:
         tail = f"{names_prefix}{value}"
         return tail if len(measures) == 1 else f"{measure}_{tail}"
 
-    if len(wanted) * len(measures) > _INLINE_CELLS:
-        wide = _pivot_many(df, key, ids, measures, wanted, out_name, values_fn, order_by)
-    else:
-        wide = _pivot_inline(df, key, ids, measures, wanted, out_name, values_fn, order_by)
+    few = len(wanted) * len(measures) <= _INLINE_CELLS
+    one_pass = few and values_fn in ("error", "list")
+    make = _pivot_inline if one_pass else _pivot_many
+    wide = make(df, key, ids, measures, wanted, out_name, values_fn, order_by)
     if values_fill is not None:
         made = [out_name(m, v) for m in measures for v in wanted]
         wide = wide.withColumns({c: F.coalesce(F.col(c), F.lit(values_fill)) for c in made})
     return wide
 
 
-def _for_types(df: DataFrame, measures: Sequence[str], values_fn):
-    """Values without an order, such as maps, are taken as they come."""
+def _unordered(df: DataFrame, measures: Sequence[str]) -> bool:
+    """Whether values have no order, such as maps, and are taken as they come."""
     kinds = " ".join(df.schema[m].dataType.simpleString() for m in measures)
-    if values_fn == "error" and ("map<" in kinds or "variant" in kinds):
-        return lambda x: F.first(x, ignorenulls=True)
-    return values_fn
+    return "map<" in kinds or "variant" in kinds
 
 
 def _stop_on_collision(count: Column, value: Column) -> Column:
@@ -173,17 +169,24 @@ def _stop_on_collision(count: Column, value: Column) -> Column:
 
 def _pivot_inline(df, key, ids, measures, wanted, out_name, values_fn, order_by) -> DataFrame:
     """Few columns: one aggregation, one shuffle on the ids."""
-    make = _cell_values(_for_types(df, measures, values_fn), order_by)
+    plain = _unordered(df, measures) and values_fn == "error"
+    keyed = df.withColumn("__key", key)
     aggs, checks = [], []
     for v in wanted:
-        here = key == F.lit(v)
+        here = F.coalesce(F.col("__key") == F.lit(v), F.lit(False))
         for m in measures:
-            aggs.append(make(F.col(m), here).alias(out_name(m, v)))
+            x = F.col(m)
+            cell = (
+                F.first(F.when(here, x), ignorenulls=True)
+                if plain
+                else _cell_value(values_fn, x, here, order_by)
+            )
+            aggs.append(cell.alias(out_name(m, v)))
         checks.append(F.count_if(here).alias(f"__n_{v}"))
     made = [out_name(m, v) for m in measures for v in wanted]
     if values_fn != "error":
-        return df.groupBy(*ids).agg(*aggs).select(*ids, *made)
-    counted = df.groupBy(*ids).agg(*aggs, *checks)
+        return keyed.groupBy(*ids).agg(*aggs).select(*ids, *made)
+    counted = keyed.groupBy(*ids).agg(*aggs, *checks)
     out = [
         _stop_on_collision(F.col(f"`__n_{v}`"), F.col(f"`{out_name(m, v)}`")).alias(out_name(m, v))
         for m in measures
@@ -192,21 +195,49 @@ def _pivot_inline(df, key, ids, measures, wanted, out_name, values_fn, order_by)
     return counted.select(*ids, *out)
 
 
-def _pivot_many(df, key, ids, measures, wanted, out_name, values_fn, order_by) -> DataFrame:
-    """Many columns: cells first, then Spark's pivot over unique cells."""
-    make = _cell_values(_for_types(df, measures, values_fn), order_by)
+def _cells(keyed: DataFrame, ids, measures, values_fn, order_by) -> DataFrame:
+    """One row per id and key, the cell of measure i as __v{i}."""
+    groups = keyed.groupBy(*ids, "__key")
+    names = [f"__v{i}" for i in range(len(measures))]
+    if values_fn == "first":
+        if not order_by:
+            raise ValueError("values_fn='first' needs order_by")
+        along = [c for o in order_by for c in (F.col(o).isNull(), F.col(o))]
+        ranked = keyed.groupBy(*ids, "__key", *order_by).agg(
+            F.count(F.lit(1)).alias("__n"), F.first(F.struct(*measures)).alias("__x")
+        )
+        first = F.min_by(F.struct("__n", "__x"), F.struct(*along)).alias("__f")
+        text = F.lit(f"order_by ({', '.join(order_by)}) does not fix the first row of a cell")
+        tied = F.when(F.col("__f")["__n"] > 1, F.raise_error(text))
+        return ranked.groupBy(*ids, "__key").agg(first).select(
+            *ids, "__key",
+            *[tied.otherwise(F.col("__f")["__x"][m]).alias(n) for m, n in zip(measures, names)],
+        )
+    if callable(values_fn):
+        return groups.agg(*[values_fn(F.col(m)).alias(n) for m, n in zip(measures, names)])
     here = F.lit(True)
-    cells = df.withColumn("__key", key).groupBy(*ids, "__key").agg(
+    if values_fn == "list":
+        return groups.agg(
+            *[_cell_value("list", F.col(m), here, order_by).alias(n) for m, n in zip(measures, names)]
+        )
+    if values_fn != "error":
+        raise ValueError(f"unknown values_fn {values_fn!r}")
+    plain = _unordered(keyed, measures)
+    counted = groups.agg(
         F.count(F.lit(1)).alias("__n"),
-        *[make(F.col(m), here).alias(f"__v{i}") for i, m in enumerate(measures)],
+        *[
+            (F.first(m, ignorenulls=True) if plain else F.max(m)).alias(n)
+            for m, n in zip(measures, names)
+        ],
     )
-    if values_fn == "error":
-        cells = cells.withColumns(
-            {
-                f"__v{i}": _stop_on_collision(F.col("__n"), F.col(f"__v{i}"))
-                for i in range(len(measures))
-            }
-        )
+    # Rows of values that get no column may collide.
+    several = F.when(F.col("__key").isNotNull(), F.col("__n"))
+    return counted.withColumns({n: _stop_on_collision(several, F.col(n)) for n in names}).drop("__n")
+
+
+def _pivot_many(df, key, ids, measures, wanted, out_name, values_fn, order_by) -> DataFrame:
+    """Any columns: cells first, then Spark's pivot over unique cells."""
+    cells = _cells(df.withColumn("__key", key), ids, measures, values_fn, order_by)
     aggs = [F.first(f"__v{i}", ignorenulls=True).alias(f"__v{i}") for i in range(len(measures))]
     wide = cells.groupBy(*ids).pivot("__key", wanted).agg(*aggs)
     names = {}

@@ -37,20 +37,41 @@ def _composed(rows: DataFrame) -> DataFrame:
     def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scale = shift = 0.0
         for batch in batches:
-            numbers, mults, adds = (
-                batch.column(c).to_numpy(zero_copy_only=False).tolist()
-                for c in (_ROW, _MULT, _ADD)
+            if not batch.num_rows:
+                continue
+            number, a, b = (
+                batch.column(c).to_numpy(zero_copy_only=False).astype(t, copy=True)
+                for c, t in ((_ROW, np.int64), (_MULT, float), (_ADD, float))
             )
-            scales, shifts = np.empty(len(numbers)), np.empty(len(numbers))
-            for i, (number, a, b) in enumerate(zip(numbers, mults, adds)):
-                if number == 1:
-                    scale, shift = a, b
+            # What came before the batch goes on until its first new block.
+            if number[0] != 1:
+                a[0], b[0] = a[0] * scale, a[0] * shift + b[0]
+            rows = np.arange(len(a))
+            place = rows - np.maximum.accumulate(np.where(number == 1, rows, 0))
+            longest = int(place.max())
+            with np.errstate(over="ignore", invalid="ignore"):
+                if longest * 20 < len(a):
+                    # Many short blocks: their second rows at once, then their third rows ...
+                    order = np.argsort(place, kind="stable")
+                    ends = np.searchsorted(place[order], np.arange(1, longest + 2))
+                    for lo, hi in zip(ends[:-1], ends[1:]):
+                        at = order[lo:hi]
+                        b[at] = a[at] * b[at - 1] + b[at]
+                        a[at] = a[at] * a[at - 1]
                 else:
-                    scale, shift = a * scale, a * shift + b
-                scales[i], shifts[i] = scale, shift
+                    scales, shifts = a.tolist(), b.tolist()
+                    for i, fresh in enumerate((place == 0).tolist()):
+                        if fresh:
+                            scale, shift = scales[i], shifts[i]
+                        else:
+                            shift = scales[i] * shift + shifts[i]
+                            scale = scales[i] * scale
+                            scales[i], shifts[i] = scale, shift
+                    a, b = np.array(scales), np.array(shifts)
+            scale, shift = a[-1], b[-1]
             kept = [n for n in batch.schema.names if n not in (_MULT, _ADD)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(n) for n in kept] + [pa.array(scales), pa.array(shifts)],
+                [batch.column(n) for n in kept] + [pa.array(a), pa.array(b)],
                 names=[*kept, _SCALE, _SHIFT],
             )
 
@@ -151,7 +172,8 @@ def accumulate(
     """Fold any function along each group, starting at ``init`` or the first value.
 
     The step may be anything, so a group cannot be divided; memory stays at one batch.
-    Prefer ``accumulate_affine``, ``cumsum`` or ``cumprod`` where they say the same.
+    Prefer ``accumulate_affine``, ``cumsum`` or ``cumprod`` where they say the same: they
+    cut large groups, and an ungrouped table, into blocks.
     """
     blocks = OrderedBlocks(df, by, order_by, limit=WHOLE_GROUPS)
     rows = _sorted_rows(blocks, df.withColumn("__x", F.col(x)))

@@ -88,6 +88,11 @@ def filter_if_all(df: DataFrame, cols, f: Callable[[Column], Column]) -> DataFra
     return df.where(reduce(lambda a, b: a & b, [f(F.col(c)) for c in resolve(df, cols)]))
 
 
+def filter_if_any(df: DataFrame, cols, f: Callable[[Column], Column]) -> DataFrame:
+    """Rows where at least one selected column passes, whatever is unknown of the others."""
+    return df.where(reduce(lambda a, b: a | b, [f(F.col(c)) for c in resolve(df, cols)]))
+
+
 def filter_not_any(df: DataFrame, cols, f: Callable[[Column], Column]) -> DataFrame:
     """Rows where no selected column passes.
 

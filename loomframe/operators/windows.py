@@ -148,10 +148,17 @@ def row_number(
     return numbered.withColumn(out, place).drop("__rn")
 
 
-def number_rows(df: DataFrame, by, order_by, out: str, limit: int | None = None) -> DataFrame:
-    """Each row's position in its group."""
+def number_rows(
+    df: DataFrame, by, order_by, out: str, limit: int | None = None, tied: str | None = None
+) -> DataFrame:
+    """Each row's position in its group; a tie is an error, or marked in column ``tied``."""
     blocks = OrderedBlocks(df, by, order_by, limit)
-    rows = blocks.df.withColumn("__own", blocks.ordered(F.row_number().over(blocks.window())))
+    own = F.row_number().over(blocks.window())
+    if tied is None:
+        rows = blocks.df.withColumn("__own", blocks.ordered(own))
+    else:
+        # Equal keys share a block.
+        rows = blocks.df.withColumns({"__own": own, tied: F.rank().over(blocks.window()) < own})
     rows = blocks.carry(rows, {"__before": (F.count(F.lit(1)), F.sum)})
     place = F.col("__own") + F.coalesce(F.col("__before"), F.lit(0))
     return blocks.finish(rows.withColumn(out, place)).drop("__own", "__before")
@@ -181,7 +188,9 @@ def cumulate(
     if not na_rm:
         gaps = F.col("__gaps") + F.coalesce(F.col("__gaps0"), F.lit(0))
         value = F.when(gaps == 0, value)
-    done = rows.withColumn(out, value).drop("__part", "__gaps", "__part0", "__gaps0")
+    # The same type whether or not there are blocks: that of the aggregate.
+    kind = rows.agg(agg(F.col(x)).alias("v")).schema["v"].dataType
+    done = rows.withColumn(out, value.cast(kind)).drop("__part", "__gaps", "__part0", "__gaps0")
     return blocks.finish(done)
 
 
@@ -316,17 +325,27 @@ def first_last(
     first: str = "first",
     last: str = "last",
 ) -> DataFrame:
-    """The group's first and last value along the order, on every row."""
+    """The group's first and last value along the order, on every row.
+
+    Stops where several rows share the first or the last place.
+    """
     order = parse_order(order_by)
     if len({desc for _, desc in order}) > 1:
         raise ValueError("first_last takes one direction for all order columns")
     descending = order[0][1]
+    names = [c for c, _ in order]
+    # A row per order key tells how many rows share it.
+    places = df.groupBy(*by, *names).agg(F.count(F.lit(1)).alias("__n"), F.max(x).alias("__v"))
     key = F.struct(*[
         part
         for c, desc in order
         for part in ((F.col(c).isNotNull() if desc else F.col(c).isNull()), F.col(c))
     ])
-    value = F.struct(F.col(x).alias("v"))
-    low, high = F.min_by(value, key)["v"], F.max_by(value, key)["v"]
+    value = F.struct("__n", "__v")
+    low, high = F.min_by(value, key), F.max_by(value, key)
     ends = {first: high, last: low} if descending else {first: low, last: high}
-    return attach_group_stats(df, by, ends)
+    text = F.lit(f"order_by ({', '.join(names)}) does not fix the first and last row of a group")
+    marked = attach_group_stats(df, by, ends, source=places, wide=[x])
+    return marked.withColumns(
+        {c: F.when(F.col(c)["__n"] > 1, F.raise_error(text)).otherwise(F.col(c)["__v"]) for c in ends}
+    )

@@ -48,6 +48,7 @@ def attach_group_stats(
     stats: dict[str, Column],
     source: DataFrame | None = None,
     few_groups: bool | None = None,
+    wide: Sequence[str] = (),
 ) -> DataFrame:
     """Add per-group aggregates to every row without gathering any group.
 
@@ -55,7 +56,8 @@ def attach_group_stats(
     The aggregates combine on the map side, so a group of any size costs one row per
     task; they are joined back rather than computed in a window, which would pull the
     whole group into one task. ``few_groups`` says that the groups are known to be few
-    (or many); otherwise they are counted to decide how to join.
+    (or many); otherwise they are counted to decide how to join, and columns that a
+    statistic takes values from are measured if named in ``wide``.
     """
     named = [agg.alias(name) for name, agg in stats.items()]
     source = df if source is None else source
@@ -66,7 +68,7 @@ def attach_group_stats(
             .select(*df.columns, *[F.col("__total")[n].alias(n) for n in stats])
         )
     table = source.groupBy(*by).agg(*named)
-    small = groups_fit(df, by, len(stats)) if few_groups is None else few_groups
+    small = groups_fit(df, by, len(stats), wide) if few_groups is None else few_groups
     return lookup_join(df, table, by, small=small)
 
 

@@ -51,18 +51,24 @@ def table_fits(df: DataFrame) -> bool:
     return (size or 0) <= broadcast_bytes(df.sparkSession)
 
 
-def groups_fit(df: DataFrame, by: Sequence[str], n_values: int) -> bool:
+def groups_fit(
+    df: DataFrame, by: Sequence[str], n_values: int, wide: Sequence[str] = ()
+) -> bool:
     """Whether one row of ``n_values`` statistics per group may be broadcast.
 
+    A statistic counts as 16 bytes, or as the widest value of ``wide`` where it may be one.
+
     Reads the key columns only and needs no shuffle of keys: the number of groups is
     estimated by a sketch, and twice the estimate is held against the limit.
     """
     keys = T.StructType([df.schema[c] for c in by])
+    values = T.StructType([df.schema[c] for c in wide])
     probe = df.agg(
         F.approx_count_distinct(F.struct(*by)).alias("n"),
         F.max(row_bytes(keys)).alias("width"),
+        F.max(row_bytes(values)).alias("value"),
     ).first()
-    width = (probe["width"] or 0) + 16 * n_values
+    width = (probe["width"] or 0) + max(16, probe["value"] or 0) * n_values
     return 2 * probe["n"] * width <= broadcast_bytes(df.sparkSession)
 
 

@@ -106,9 +106,11 @@ def test_quantiles(skewed, limit):
 
 def test_copies_in_a_nested_group(spark):
     copies = spark.range(3000).select(F.lit("a").alias("g"), (F.col("id") % 2).alias("v"))
-    nested = op.nest(copies, ["g"], limit=200)
-    assert max(r["n"] for r in nested.select(F.size("data").alias("n")).collect()) <= 400
-    assert rows(op.unnest(nested).groupBy("v").count()) == [(0, 1500), (1, 1500)]
+    nested = op.nest_parts(copies, ["g"], 200)
+    assert max(r["n"] for r in nested.select(F.size("data").alias("n")).collect()) <= 1000
+    parts = [r["part"] for r in nested.collect()]
+    assert len(parts) > 1 and len(set(parts)) == len(parts) and max(parts) < 15
+    assert rows(op.unnest(nested.drop("part")).groupBy("v").count()) == [(0, 1500), (1, 1500)]
 
 
 @pytest.mark.parametrize("kind", ["date", "timestamp", "timestamp_ntz", "decimal(12,3)", "string", "float"])

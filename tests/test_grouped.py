@@ -139,11 +139,41 @@ def test_m2_nest_and_unnest(frame, layout):
     df = frame(data, "g string, x int, y double")
     nested = op.nest(df, ["g"])
     assert nested.columns == ["g", "data"]
-    if layout == "whole groups":
-        assert nested.count() == 3
-    else:
-        assert max(len(r["data"]) for r in nested.collect()) <= 4
+    assert nested.count() == 3
     same(op.unnest(nested), data)
+    parts = op.nest_parts(df, ["g"], 2)
+    assert parts.columns == ["g", "part", "data"]
+    same(op.unnest(parts), data, "g", "x", "y")
+
+
+@pytest.mark.parametrize("n", [1, 2, 1001])
+def test_first_rows_stop_on_a_tie_at_the_cut(frame, layout, n):
+    tied = frame([("A", i, float(i)) for i in range(n)] + [("A", n - 1, -1.0), ("B", 0, 0.0)], "g string, o int, x double")
+    with pytest.raises(Exception, match="does not fix which rows are the first"):
+        op.slice_head(tied, n, ["g"], "o").collect()
+    assert op.slice_head(tied, n + 1, ["g"], "o").count() == n + 2
+    assert op.slice_head(tied, n, ["g"], ["o", "x"]).count() == n + 1
+    with pytest.raises(Exception, match="does not fix which rows are the first"):
+        op.slice_max(tied.withColumn("o", -F.col("o")), "o", n, ["g"], with_ties=False).collect()
+
+
+def test_first_and_last_stop_on_a_tie(frame, layout):
+    df = frame([("A", 1, 5.0), ("A", 2, 6.0), ("A", 2, 7.0), ("A", 3, 8.0)], "g string, o int, x double")
+    same(op.first_last(df, "x", ["g"], "o"), [(5.0, 8.0)] * 4, "first", "last")
+    for bad in (df.where("o < 3"), df.where("o > 1")):
+        with pytest.raises(Exception, match="does not fix the first and last row"):
+            op.first_last(bad, "x", ["g"], "o").collect()
+
+
+def test_running_sums_have_one_type(frame, spark):
+    df = frame([("A", i, i) for i in range(6)], "g string, o int, x int").withColumn("x", F.col("x").cast("decimal(18,2)"))
+    types = {op.cumsum(df, "x", ["g"], "o", limit=n).schema["cum"].dataType.simpleString() for n in (2, op.WHOLE_GROUPS)}
+    assert types == {"decimal(28,2)"}
+
+
+def test_any_column_passes(frame):
+    df = frame([(1, None, 5), (2, 1, None), (3, None, None), (4, 0, 0)], "id int, a int, b int")
+    same(op.filter_if_any(df, ["a", "b"], lambda c: c > 0), [(1,), (2,)], "id")
 
 
 def test_across(frame):

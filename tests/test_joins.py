@@ -17,7 +17,7 @@ def closest_form(spark, request, monkeypatch):
     if request.param != "conditions":
         monkeypatch.setattr(joins, "_INLINE_STEPS", 0)
     if request.param.startswith("scan"):
-        monkeypatch.setattr(joins, "_LISTED_STEPS", 0)
+        monkeypatch.setattr(joins, "_LISTED_BYTES", -1)
     if request.param == "scan in blocks":
         spark.conf.set("loomframe.rowsPerBlock", "2")
         spark.conf.set("loomframe.broadcastBytes", "-1")
@@ -197,3 +197,116 @@ def test_complete_fills_made_rows_or_all(frame):
 def test_expand_grid(frame):
     base = frame([("E",), ("W",)], "region string")
     assert op.expand_grid(base, month=range(1, 13), kind=["a", "b"]).count() == 48
+
+
+@pytest.mark.parametrize("strategy", ["conditions", "list", "scan"])
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp", "date", "decimal(12,3)", "string", "double"])
+def test_closest_of_any_type_in_any_zone(spark, strategy, kind):
+    """No form goes through the Python process's own clock."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        texts = {
+            "string": ["b", "d", "d", "f"], "decimal(12,3)": ["1.5", "3.25", "3.25", "9"], "double": ["1.5", "3.25", "3.25", "9"],
+            "date": ["2021-03-01", "2021-03-14", "2021-03-14", "2021-04-01"],
+        }.get(kind, ["2021-03-14 01:30:00", "2021-03-14 11:30:00", "2021-03-14 11:30:00", "2021-03-15 00:00:00"])
+        probes = {
+            "string": ["a", "b", "e"], "decimal(12,3)": ["1", "1.5", "4"], "double": ["1", "1.5", "4"],
+            "date": ["2021-02-01", "2021-03-01", "2021-03-20"],
+        }.get(kind, ["2021-03-14 00:00:00", "2021-03-14 01:30:00", "2021-03-14 12:00:00"])
+        look = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", F.col("t").cast(kind).alias("t"))
+        left = spark.createDataFrame([(i, v) for i, v in enumerate([*probes, None])], "i int, v string").select("i", F.col("v").cast(kind).alias("v"))
+        want = [(0, None), (1, 0), (2, 1), (2, 2), (3, None)]
+        same(op.join_closest(left, look, "v", ">=", "t", strategy=strategy), want, "i", "n")
+        alone = look.where("n <> 2")
+        same(op.join_closest(left, alone, "v", ">=", "t", strategy=strategy), [w for w in want if w[1] != 2], "i", "n")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+@pytest.mark.parametrize("strategy", ["conditions", "list", "scan"])
+@pytest.mark.parametrize("sign", [">=", "<"])
+def test_closest_leaves_nan_out(frame, strategy, sign):
+    nan = float("nan")
+    look = frame([(1.0, "a"), (nan, "x"), (3.0, "b"), (5.0, "c"), (None, "y")], "s double, name string")
+    df = frame([(1, 1.5), (2, 3.5), (3, 9.0), (4, nan), (5, None), (6, 0.0)], "i int, v double")
+    names = ["a", "b", "c", None, None, None] if sign == ">=" else ["b", "c", None, None, None, "a"]
+    same(op.join_closest(df, look, "v", sign, "s", strategy=strategy), list(enumerate(names, 1)), "i", "name")
+
+
+@pytest.mark.parametrize("tied", [False, True])
+def test_closest_never_matches_missing_keys(frame, layout, tied):
+    look = frame([(None, 1, "n"), ("A", 1, "a"), *([("A", 1, "a2")] if tied else [])], "g string, s int, name string")
+    df = frame([(None, 5), ("A", 5)], "g string, v int")
+    want = [(None, None), ("A", "a"), *([("A", "a2")] if tied else [])]
+    same(op.join_closest(df, look, "v", ">=", "s", by=["g"]), want, "g", "name")
+
+
+def test_closest_strategies_are_checked(frame):
+    df = frame([("A", 5)], "g string, v int")
+    with pytest.raises(ValueError, match="unknown strategy"):
+        op.join_closest(df, df.withColumnRenamed("v", "s"), "v", ">=", "s", strategy="guess")
+    with pytest.raises(ValueError, match="takes no by"):
+        op.join_closest(df, df.withColumnRenamed("v", "s"), "v", ">=", "s", by=["g"], strategy="list")
+
+
+@pytest.mark.parametrize("sign", [">=", ">", "<=", "<"])
+@pytest.mark.parametrize("kind", ["string", "date", "double"])
+def test_inequality_of_any_type_and_key(spark, monkeypatch, sign, kind):
+    monkeypatch.setattr(joins, "_RANGE_ROWS", 2)
+
+    def typed(c):
+        if kind == "string":
+            return F.lpad(c, 3, "0")
+        return F.date_add(F.lit("2020-01-01"), c.cast("int")) if kind == "date" else c.cast("double")
+
+    left = spark.range(12).select(F.col("id").alias("i"), (F.col("id") % 3).alias("g"), typed(F.col("id") * 2).alias("a"))
+    look = spark.range(15).select(F.col("id").alias("j"), (F.col("id") % 2).alias("g"), typed(F.col("id") + 3).alias("b"))
+    look = look.unionByName(spark.range(1).select(F.lit(99).alias("j"), F.lit(0).alias("g"), F.lit(None).cast(look.schema["b"].dataType).alias("b")))
+    compare = joins._COMPARE[sign]
+    pairs = [(i, j) for i in range(12) for j in range(15) if compare(2 * i, j + 3)]
+    every = pairs + [(i, None) for i in range(12) if i not in {p[0] for p in pairs}]
+    same(op.join_inequality(left, look, "a", sign, "b"), every, "i", "j")
+    same(op.join_inequality(left, look, "a", sign, "b", how="inner"), pairs, "i", "j")
+    keyed = [(i, j) for i, j in pairs if i % 3 == j % 2]
+    alone = [(i, None) for i in range(12) if i not in {p[0] for p in keyed}]
+    got = op.join_inequality(left, look, "a", sign, "b", by=["g"])
+    assert got.columns == ["i", "g", "a", "j", "b"]
+    same(got, keyed + alone, "i", "j")
+
+
+def spans_against_brute_force(x, y, by):
+    def pairs(test):
+        return [(a[0], b[0]) for a in x for b in y if test(a, b) and (not by or a[3] is not None and a[3] == b[3])]
+
+    overlap = pairs(lambda a, b: a[1] <= a[2] and b[1] <= b[2] and a[1] <= b[2] and b[1] <= a[2])
+    within = pairs(lambda a, b: a[1] <= a[2] and b[1] <= a[1] and a[2] <= b[2])
+    return overlap, within
+
+
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_intervals_of_all_lengths(frame, by):
+    spans = [(0, 0.0, 0.0), (1, 0.0, 1e6), (2, 5.0, 5.0), (3, 5.0, 5.25), (4, -3.0, 1e-9), (5, 7.0, 6.0), (6, 1e6, 1e6), (7, 2.0, 4.0), (8, 5.25, 900.0)]
+    x = [(i, a, b, "AB"[i % 2] if i != 2 else None) for i, a, b in spans]
+    y = [(i, a, b, "AB"[i % 3 % 2] if i != 3 else None) for i, a, b in spans]
+    overlap, within = spans_against_brute_force(x, y, by)
+    schema = "i int, s double, e double, k string"
+    left, right = frame(x, schema), frame([(i, a, b, k) for i, a, b, k in y], schema.replace("i int", "j int"))
+    same(op.join_overlap(left, right, ("s", "e"), ("s", "e"), by=by), overlap, "i", "j")
+    same(op.join_within(left, right, ("s", "e"), ("s", "e"), by=by), within, "i", "j")
+    left_only = [(a[0], None) for a in x if a[0] not in {p[0] for p in within}]
+    same(op.join_within(left, right, ("s", "e"), ("s", "e"), how="left", key=["i"], by=by), within + left_only, "i", "j")
+
+
+def test_one_long_interval_does_not_gather_the_points(spark):
+    """Candidate pairs stay within a small multiple of the pairs that belong to the result."""
+    n = 50_000
+    points = spark.range(n).select(F.col("id").alias("p"), F.col("id").cast("double").alias("s"), F.col("id").cast("double").alias("e"))
+    every = points.union(spark.createDataFrame([(n, 0.0, float(n))], "p long, s double, e double"))
+    made = op.join_overlap(every, every, ("s", "e"), ("s", "e"))
+    made.write.format("noop").mode("overwrite").save()
+    level = joins._NO_LENGTH
+    assert made.count() == 3 * n + 1
+    # Filed bins: every point interval under its own value, the long one on a level of its own.
+    filed = every.select(F.when(F.col("e") > F.col("s"), 1).otherwise(level).alias("l"), F.when(F.col("e") > F.col("s"), F.lit(0.0)).otherwise(F.col("s")).alias("b"))
+    assert filed.groupBy("l", "b").count().agg(F.max("count")).first()[0] == 1

@@ -142,3 +142,51 @@ def test_months_in_column_names_are_numbers(frame):
     )
     assert [r["m"] for r in got.orderBy("m").collect()] == [2, 10]
     assert rows(got, "m") == [(10,), (2,)]
+
+
+CELLS = [(1, "a", 1.0), (1, "b", 2.0), (1, "a", 5.0), (2, "b", 3.0), (2, "b", None)]
+
+
+@pytest.fixture(params=[24, 0])
+def cell_limit(request, monkeypatch):
+    """Few columns in one pass, and any number by cells."""
+    from loomframe.operators import reshape
+
+    monkeypatch.setattr(reshape, "_INLINE_CELLS", request.param)
+
+
+@pytest.mark.parametrize(
+    ("how", "want"),
+    [
+        (lambda x: F.count(x), [(1, 2, 1), (2, None, 1)]),
+        (L.sum_of, [(1, 6.0, 2.0), (2, None, None)]),
+        (lambda x: L.sum_of(x, na_rm=True), [(1, 6.0, 2.0), (2, None, 3.0)]),
+        (L.mean_of, [(1, 3.0, 2.0), (2, None, None)]),
+        (L.missing_share, [(1, 0.0, 0.0), (2, None, 0.5)]),
+        ("list", [(1, (1.0, 5.0), (2.0,)), (2, None, (None, 3.0))]),
+    ],
+)
+def test_a_cell_sees_its_own_rows(frame, cell_limit, how, want):
+    df = frame(CELLS, "id int, k string, x double")
+    same(op.pivot_wider(df, "k", "x", values=["a", "b"], values_fn=how), want)
+    same(op.pivot_wider(df, "k", "x", values_fn=how), want)
+
+
+def test_collisions_of_listed_values_only(frame, cell_limit):
+    df = frame(CELLS[:4], "id int, k string, x double")
+    same(op.pivot_wider(df, "k", "x", values=["b"], unlisted="drop"), [(1, 2.0), (2, 3.0)])
+    with pytest.raises(Exception, match="no column for this value of k: a"):
+        op.pivot_wider(df, "k", "x", values=["b"]).collect()
+    with pytest.raises(Exception, match="several rows"):
+        op.pivot_wider(df, "k", "x", values=["a", "b"]).collect()
+    with pytest.raises(ValueError, match="more than 1 values"):
+        op.pivot_wider(df, "k", "x", most_columns=1)
+
+
+def test_first_row_of_a_cell(frame, cell_limit):
+    df = frame([(1, "a", 3, "x"), (1, "a", 2, "y"), (1, "b", None, "z"), (1, "b", 9, "w")], "id int, k string, o int, v string")
+    wide = op.pivot_wider(df, "k", "v", id_cols=["id"], values_fn="first", order_by=["o"])
+    same(wide, [(1, "y", "w")])
+    tied = df.union(frame([(1, "a", 2, "u")], "id int, k string, o int, v string"))
+    with pytest.raises(Exception, match="does not fix the first row of a cell"):
+        op.pivot_wider(tied, "k", "v", id_cols=["id"], values_fn="first", order_by=["o"]).collect()
