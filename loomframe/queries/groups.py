@@ -221,6 +221,21 @@ def nest_above_mean(spark, sf):
     return marked.where(F.col("value") > F.col("mean")).drop("mean")
 
 
+@query(
+    """select event_id, user_id, value from
+         (select *, median(value) over (partition by user_id) as m from events) where value > m"""
+)
+def nest_map(spark, sf):
+    """Any function of a group's rows: a user's events are few, whatever the number of users."""
+    import pandas as pd
+
+    def above(events: pd.DataFrame) -> pd.DataFrame:
+        return events[events["value"] > events["value"].median()]
+
+    events = table(spark, sf, "events").select("event_id", "user_id", "value")
+    return op.group_apply(events, ["user_id"], above, events.schema)
+
+
 @query("select user_id, event_id, event_type, value from events")
 def nest_unnest_roundtrip(spark, sf):
     events = table(spark, sf, "events").select("user_id", "event_id", "event_type", "value")

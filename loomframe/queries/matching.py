@@ -37,15 +37,15 @@ def join_suffix(spark, sf):
 
 
 @query(
-    """select p_partkey as part, n, p_brand from
-         (select l_partkey as part, count(*) as n from lineitem where l_quantity > 45
-          group by 1) l right join part on part = p_partkey"""
+    """select o_orderkey as line_order, n, o_orderpriority from
+         (select l_orderkey, count(*) as n from lineitem group by 1) l
+         right join orders on l_orderkey = o_orderkey"""
 )
 def join_right(spark, sf):
-    lines = table(spark, sf, "lineitem").where(F.col("l_quantity") > 45)
-    sold = lines.groupBy(F.col("l_partkey").alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    parts = table(spark, sf, "part").select("p_partkey", "p_brand")
-    return op.right_join(sold, parts, {"part": "p_partkey"})
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("line_order"))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    counts = lines.agg(F.count(F.lit(1)).alias("n"))
+    return op.right_join(counts, orders, {"line_order": "o_orderkey"})
 
 
 @query(
@@ -115,7 +115,24 @@ def join_closest_scan(spark, sf):
     prices = table(spark, sf, "part").groupBy(F.col("p_retailprice").alias("p_price")).agg(
         F.count(F.lit(1)).alias("n_parts")
     )
-    return op.join_closest(orders, prices, "scaled", ">=", "p_price").drop("scaled")
+    joined = op.join_closest(orders, prices, "scaled", ">=", "p_price", strategy="scan")
+    return joined.drop("scaled")
+
+
+@query(
+    """select p.event_id, c.n_clicks, epoch_us(p.ts) - epoch_us(c.ts) as micros
+       from (select * from events where event_type = 'purchase') p
+         asof left join (select ts, count(*) as n_clicks from events
+           where event_type = 'click' group by 1) c on p.ts >= c.ts"""
+)
+def join_closest_time(spark, sf):
+    events = table(spark, sf, "events")
+    bought = events.where(F.col("event_type") == "purchase").select("event_id", "ts")
+    clicks = events.where(F.col("event_type") == "click").groupBy(F.col("ts").alias("click_ts"))
+    counts = clicks.agg(F.count(F.lit(1)).alias("n_clicks"))
+    joined = op.join_closest(bought, counts, "ts", ">=", "click_ts")
+    micros = F.timestamp_diff("MICROSECOND", F.col("click_ts"), F.col("ts"))
+    return joined.select("event_id", "n_clicks", micros.alias("micros"))
 
 
 @query(
@@ -180,12 +197,11 @@ def join_within(spark, sf):
         F.min("value").alias("low"), F.max("value").alias("high")
     )
     # The value at 10% of the ordered values, as a value of the table.
-    spread = op.row_number(
-        events.select("event_type", "value", "event_id"), "value", ["event_type"], ["event_id"]
-    )
-    sized = op.attach_group_stats(spread, ["event_type"], {"size": F.count(F.lit(1))})
+    counts = events.groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("n"))
+    upto = op.cumsum(counts, "n", ["event_type"], "value", out="upto")
+    sized = op.attach_group_stats(upto, ["event_type"], {"size": F.sum("n")})
     bounds = sized.groupBy("event_type").agg(
-        F.min(F.when(F.col("rank") >= F.ceil(F.col("size") * 0.1), F.col("value"))).alias("from"),
+        F.min(F.when(F.col("upto") >= F.ceil(F.col("size") * 0.1), F.col("value"))).alias("from"),
         F.max("value").alias("to"),
     )
     pairs = op.join_within(daily, bounds, ("low", "high"), ("from", "to"))
@@ -195,19 +211,36 @@ def join_within(spark, sf):
 
 
 @query(
-    """with p as (select p_partkey, p_retailprice as s, p_retailprice + p_size / 10.0::double as e
-                  from part)
-       select x.p_partkey, count(*) as n, cast(sum(y.p_partkey) as bigint) as others
-       from p x join p y on x.s <= y.e and y.s <= x.e group by 1"""
+    """with d as (select user_id, cast(ts as date) as day, min(value) as s, max(value) as e
+           from events group by all),
+         m as (select user_id, month(ts) as m, min(value) as s, max(value) as e
+           from events group by all)
+       select d.user_id, d.day, count(*) as n, cast(sum(m.m) as bigint) as months
+       from d join m on d.user_id = m.user_id and d.s >= m.s and d.e <= m.e group by all"""
+)
+def join_within_by_key(spark, sf):
+    events = table(spark, sf, "events")
+    ends = [F.min("value").alias("low"), F.max("value").alias("high")]
+    daily = events.groupBy("user_id", F.to_date("ts").alias("day")).agg(*ends)
+    monthly = events.groupBy("user_id", F.month("ts").alias("m")).agg(*ends)
+    pairs = op.join_within(daily, monthly, ("low", "high"), ("low", "high"), by=["user_id"])
+    return pairs.groupBy("user_id", "day").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("m").alias("months")
+    )
+
+
+@query(
+    """with v as (select event_id, user_id, value as s, value + 5 as e from events)
+       select x.event_id, count(*) as n, cast(sum(y.event_id) as bigint) as others
+       from v x join v y on x.user_id = y.user_id and x.s <= y.e and y.s <= x.e group by 1"""
 )
 def join_overlap(spark, sf):
-    spans = table(spark, sf, "part").select(
-        "p_partkey", F.col("p_retailprice").alias("s"),
-        (F.col("p_retailprice") + F.col("p_size") / 10.0).alias("e"),
+    spans = table(spark, sf, "events").select(
+        "event_id", "user_id", F.col("value").alias("s"), (F.col("value") + 5).alias("e")
     )
-    pairs = op.join_overlap(spans, spans, ("s", "e"), ("s", "e"))
-    return pairs.groupBy(F.col("p_partkey_x").alias("p_partkey")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("p_partkey_y").alias("others")
+    pairs = op.join_overlap(spans, spans, ("s", "e"), ("s", "e"), by=["user_id"])
+    return pairs.groupBy(F.col("event_id_x").alias("event_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event_id_y").alias("others")
     )
 
 

@@ -10,6 +10,7 @@ from loomframe import functions as L
 from loomframe import operators as op
 from loomframe.queries.registry import MONEY, SALES, money, query, sales
 from loomframe.queries.shaping import MONTHS, month_columns
+from loomframe.sources import table
 
 
 @query(
@@ -94,13 +95,14 @@ _MONTH_NUMBER = "(year(o_orderdate) - 1995) * 12 + month(o_orderdate)"
     f"""with recursive t as (select r_name as store, {_MONTH_NUMBER} as month,
           {MONEY.format('o_totalprice')} as sales from {SALES} group by all),
         long as (select g.store, m.month, t.sales from (select distinct store from t) g
-          cross join range(1, 81) m(month)
+          cross join (select unnest(range(min(month), max(month) + 1)) as month from t) m
           left join t on t.store = g.store and t.month = m.month),
         w as (select *, sales / nullif(lag(sales) over (partition by store order by month), 0)
             - 1 as change,
           bool_and(sales is not null) over (partition by store) as ok from long),
         clean as (select * from w where ok),
-        k as (select store, month, cast(100 as double) as base from clean where month = 1
+        k as (select store, month, cast(100 as double) as base from clean
+            where month = (select min(month) from t)
           union all select c.store, c.month, k.base * 0.9 + c.sales
             from k join clean c on c.store = k.store and c.month = k.month + 1),
         s as (select store, cast(sum(cast(sales as decimal(18,2))) as double) as total,
@@ -108,7 +110,7 @@ _MONTH_NUMBER = "(year(o_orderdate) - 1995) * 12 + month(o_orderdate)"
         select s.store, s.total, round(s.mean_change, 6) as mean_change,
           cast(rank() over (order by s.total desc) as integer) as place,
           round(k.base, 2) as last_base
-        from s join k on k.store = s.store and k.month = 80"""
+        from s join k on k.store = s.store and k.month = (select max(month) from t)"""
 )
 def x4_capstone(spark, sf):
     month = (F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate")
@@ -117,7 +119,10 @@ def x4_capstone(spark, sf):
         .groupBy(F.col("r_name").alias("store"), month.alias("month"))
         .agg(money("o_totalprice").alias("sales"))
     )
-    wide = op.pivot_wider(totals, "month", "sales", values=range(1, 81), names_prefix="m")
+    # All months from the first to the last of the data, also those without any sales.
+    first, last = table(spark, sf, "orders").agg(F.min(month), F.max(month)).first()
+    months = range(first, last + 1)
+    wide = op.pivot_wider(totals, "month", "sales", values=months, names_prefix="m")
     long = op.pivot_longer(
         wide, ids=["store"], names_to="month", values_to="sales",
         names_pattern=r"m(\d+)", names_cast={"month": "int"},

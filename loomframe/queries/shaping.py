@@ -8,7 +8,6 @@ from loomframe import operators as op
 from loomframe.queries.registry import GAPPY, MONEY, SALES, events_with_gaps, money, query, sales
 from loomframe.sources import table
 
-YEARS = list(range(1995, 2002))
 MONTHS = list(range(1, 13))
 TYPES = ["click", "error", "purchase", "signup", "view"]
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -181,11 +180,11 @@ _BY_YEAR = f"""select n_name, cast(year(o_orderdate) as integer) as year,
 @query(
     f"""with t as ({_BY_YEAR})
         select g.n_name, cast(y as varchar) as year, total
-        from (select distinct n_name from t) g cross join range(1995, 2002) r(y)
+        from (select distinct n_name from t) g cross join (select distinct year as y from t) r
           left join t on t.n_name = g.n_name and t.year = y"""
 )
 def reshape_longer(spark, sf):
-    wide = op.pivot_wider(_by_year(spark, sf), "year", "total", values=YEARS)
+    wide = op.pivot_wider(_by_year(spark, sf), "year", "total")
     return op.pivot_longer(wide, ids=["n_name"], names_to="year", values_to="total")
 
 
@@ -226,8 +225,11 @@ def reshape_longer_pattern(spark, sf):
          left join t on t.l_orderkey = g.l_orderkey and t.l_linenumber = k"""
 )
 def reshape_longer_value(spark, sf):
+    # Dealt by order once; both aggregations then find their rows in place.
     lines = (
         table(spark, sf, "lineitem")
+        .select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+        .repartition("l_orderkey")
         .groupBy("l_orderkey", "l_linenumber")
         .agg(F.sum("l_quantity").alias("qty"), money("l_extendedprice").alias("price"))
     )
@@ -315,8 +317,62 @@ def reshape_wider_list(spark, sf):
         counts, "c_mktsegment", "n", id_cols=["n_name"], values=SEGMENTS,
         values_fn="list", order_by=["y"],
     )
-    shown = {s: F.array_join(F.col(s).cast("array<string>"), ",") for s in SEGMENTS}
-    return wide.withColumns({s: F.when(F.size(s) > 0, text) for s, text in shown.items()})
+    return wide.withColumns({s: F.array_join(F.col(s).cast("array<string>"), ",") for s in SEGMENTS})
+
+
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_PRIORITY_LISTS = ", ".join(
+    f"array_to_string(list(y order by y) filter (o_orderpriority = '{s}'), ',') as \"{s}\""
+    for s in PRIORITIES
+)
+
+
+@query(
+    f"""select o_custkey, {_PRIORITY_LISTS} from (select o_custkey, o_orderpriority,
+          year(o_orderdate) as y from orders) group by o_custkey"""
+)
+def reshape_wider_list_sparse(spark, sf):
+    orders = table(spark, sf, "orders").select(
+        "o_custkey", "o_orderpriority", F.year("o_orderdate").alias("y")
+    )
+    wide = op.pivot_wider(
+        orders, "o_orderpriority", "y", id_cols=["o_custkey"], values=PRIORITIES, values_fn="list"
+    )
+    return wide.withColumns({s: F.array_join(F.col(s).cast("array<string>"), ",") for s in PRIORITIES})
+
+
+def _strict_mean(v: str, here: str, name: str) -> str:
+    cell = f"filter (where {here})"
+    return f"case when count(*) {cell} = count({v}) {cell} then round(avg({v}) {cell}, 6) end as \"{name}\""
+
+
+_TYPE_MEANS = ", ".join(_strict_mean("v", f"event_type = '{t}'", t) for t in TYPES)
+
+
+@query(f"select user_id, {_TYPE_MEANS} from {GAPPY} group by user_id")
+def reshape_wider_mean_strict(spark, sf):
+    cells = events_with_gaps(spark, sf).select("user_id", "event_type", "v")
+    wide = op.pivot_wider(
+        cells, "event_type", "v", id_cols=["user_id"], values=TYPES, values_fn=L.mean_of
+    )
+    return wide.withColumns({t: F.round(t, 6) for t in TYPES})
+
+
+_MONTH_MEANS = ", ".join(
+    _strict_mean(v, f"month(ts) = {m}", f"{v}_m{m}") for v in ("v", "value", "half") for m in MONTHS
+)
+
+
+@query(f"select user_id, {_MONTH_MEANS} from (select *, value / 2 as half from {GAPPY}) group by user_id")
+def reshape_wider_mean_strict_many(spark, sf):
+    cells = events_with_gaps(spark, sf).select(
+        "user_id", F.month("ts").alias("m"), "v", "value", (F.col("value") / 2).alias("half")
+    )
+    wide = op.pivot_wider(
+        cells, "m", ["v", "value", "half"], id_cols=["user_id"], values=MONTHS,
+        names_prefix="m", values_fn=L.mean_of,
+    )
+    return wide.withColumns({c: F.round(c, 6) for c in wide.columns if c != "user_id"})
 
 
 @query(
@@ -418,3 +474,26 @@ def sort_numeric_cast(spark, sf):
         "c_custkey", "c_name", L.as_integer(F.substring("c_name", 10, 9)).alias("number")
     )
     return op.arrange(customers, "-number")
+
+
+@query("select l_orderkey, l_linenumber from lineitem where l_discount > 0.09 or l_tax > 0.07")
+def filter_if_any(spark, sf):
+    lines = table(spark, sf, "lineitem")
+    limits = {"l_discount": 0.09, "l_tax": 0.07}
+    flags = lines.withColumns({f"{c}_high": F.col(c) > v for c, v in limits.items()})
+    kept = op.filter_if_any(flags, ["l_discount_high", "l_tax_high"], lambda c: c)
+    return kept.select("l_orderkey", "l_linenumber")
+
+
+@query(
+    """select user_id, cast(count(*) filter (where odd and not even) as integer) as only_odd from
+         (select user_id, event_type, bool_or(month(ts) % 2 = 1) as odd,
+            bool_or(month(ts) % 2 = 0) as even from events group by all) group by user_id"""
+)
+def scalar_set_difference(spark, sf):
+    odd = F.month("ts") % 2 == 1
+    sets = table(spark, sf, "events").groupBy("user_id").agg(
+        F.collect_set(F.when(odd, F.col("event_type"))).alias("odd"),
+        F.collect_set(F.when(~odd, F.col("event_type"))).alias("even"),
+    )
+    return sets.select("user_id", L.set_difference_size("odd", "even").alias("only_odd"))

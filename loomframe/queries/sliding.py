@@ -303,3 +303,65 @@ def check_join_relation(spark, sf):
 )
 def check_order_key(spark, sf):
     return op.check_order_key(table(spark, sf, "orders"), ["o_custkey"], ["o_orderdate"])
+
+
+# The same work with groups cut into blocks, as large groups are.
+_BLOCK_ROWS = 400
+
+
+def _numbered_events(spark, sf):
+    return table(spark, sf, "events").select("event_id", "event_type", "value", "ts")
+
+
+@query(
+    """select event_id, cast(rank() over (partition by event_type order by value) as integer)
+         as rank from events"""
+)
+def win_rank_blocks(spark, sf):
+    ranked = op.min_rank(_numbered_events(spark, sf), "value", ["event_type"], limit=_BLOCK_ROWS)
+    return ranked.select("event_id", "rank")
+
+
+@query(
+    """select event_id, lag(value, 3) over (partition by event_type order by ts, event_id)
+         as lagged from events"""
+)
+def win_lag_blocks(spark, sf):
+    events = _numbered_events(spark, sf)
+    got = op.lag(events, "value", ["event_type"], ["ts", "event_id"], n=3, limit=_BLOCK_ROWS)
+    return got.select("event_id", "lagged")
+
+
+@query(
+    """select event_id, case when count(*) over w = 5 then round(avg(value) over w, 6) end
+         as rolling from events window w as (partition by event_type order by ts, event_id
+           rows between 4 preceding and current row)"""
+)
+def win_rolling_blocks(spark, sf):
+    got = op.rolling(
+        _numbered_events(spark, sf), "value", "mean", 4, ["event_type"], ["ts", "event_id"],
+        limit=_BLOCK_ROWS,
+    )
+    return got.select("event_id", F.round("rolling", 6).alias("rolling"))
+
+
+@query(
+    """select event_id, cast(sum(cast(value as decimal(18,2))) over (partition by event_type
+         order by ts, event_id rows unbounded preceding) as double) as cum from events"""
+)
+def win_cumsum_blocks(spark, sf):
+    events = _numbered_events(spark, sf).withColumn("value", F.col("value").cast("decimal(18,2)"))
+    got = op.cumsum(events, "value", ["event_type"], ["ts", "event_id"], limit=_BLOCK_ROWS)
+    return got.select("event_id", F.col("cum").cast("double").alias("cum"))
+
+
+@query(
+    """with t as (select event_type, unnest([0.1::double, 0.5::double, 0.9::double]) as prob,
+           unnest(quantile_cont(value, [0.1, 0.5, 0.9])) as q from events group by event_type)
+       select event_type, prob, round(q, 6) as q from t"""
+)
+def agg_quantiles_blocks(spark, sf):
+    got = op.reframe_quantiles(
+        _numbered_events(spark, sf), "value", [0.1, 0.5, 0.9], ["event_type"], limit=_BLOCK_ROWS
+    )
+    return got.withColumn("q", F.round("q", 6))
