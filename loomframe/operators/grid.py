@@ -12,20 +12,23 @@ from loomframe.plans.matching import lookup_join
 from loomframe.plans.sizing import table_fits
 
 _CHUNK = 10_000
+_CONSTANT_BYTES = 4 * 1024 * 1024
 
 
 def product(left: DataFrame, right: DataFrame) -> DataFrame:
     """Every row of ``left`` with every row of ``right``, whose rows are distinct.
 
-    Up to 10,000 right rows become a constant that each left row unpacks. More are
-    packed into arrays of about that length, and the left rows meet each array once.
+    Up to 10,000 right rows of 4 MB in all become a constant that each left row unpacks.
+    More are packed into arrays of about that size, and the left rows meet each array once.
     """
     texts = right.select(F.to_json(F.struct(*right.columns), EXACT_JSON).alias("j"))
-    found = texts.limit(_CHUNK + 1).collect()
-    if len(found) <= _CHUNK:
+    size = texts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("j")).alias("b")).first()
+    n, weight = size["n"], size["b"] or 0
+    if n <= _CHUNK and weight <= _CONSTANT_BYTES:
+        found = texts.collect()
         packed = constant_list([r["j"] for r in found], right.schema)
         return left.select("*", F.inline(packed))
-    chunks = -(-right.count() // _CHUNK)
+    chunks = max(-(-n // _CHUNK), -(-weight // _CONSTANT_BYTES))
     packs = (
         right.withColumn("__chunk", F.pmod(F.xxhash64(*right.columns), F.lit(chunks)))
         .groupBy("__chunk")

@@ -128,7 +128,7 @@ def accumulate_affine(
     chain = OrderedBlocks(ends, blocks.by, blocks.keys[-1], limit=WHOLE_GROUPS)
     chained = _composed(_sorted_rows(chain, chain.df))
     entering = chained.select(*blocks.keys, F.lag(_SHIFT).over(chain.window()).alias("__enter"))
-    joined = lookup_join(local, entering, blocks.keys, small=True)
+    joined = lookup_join(local, entering, blocks.keys, small=blocks.fits(entering))
     value = F.when(
         F.col("__enter").isNotNull(), F.col(_SCALE) * F.col("__enter") + F.col(_SHIFT)
     ).otherwise(F.col(_SHIFT))

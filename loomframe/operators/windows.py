@@ -291,14 +291,24 @@ def period_set_change(
     lost: str = "lost",
     gained: str = "gained",
     limit: int | None = None,
+    small_sets: bool = False,
 ) -> DataFrame:
     """Per group and period, how many items went and came since the previous period.
 
     Each item carries the period it was last seen in; it stayed if that is the group's
-    previous period. No set of items is ever gathered. The first period of a group has
-    nothing to compare with.
+    previous period. No set of items is ever gathered, unless ``small_sets`` says that the
+    items of a period fit a row: then each period's set is held against the one before,
+    with one shuffle less for every step. The first period of a group has nothing to
+    compare with, and missing items are items.
     """
     keys = [*by, period]
+    if small_sets:
+        items = F.collect_set(F.struct(item)).alias("__now")
+        sets = lag(df.groupBy(*keys).agg(items), "__now", by, period, out="__then", limit=limit)
+        gone, come = F.array_except("__then", "__now"), F.array_except("__now", "__then")
+        known = F.col("__then").isNotNull()
+        sizes = {lost: F.when(known, F.size(gone)), gained: F.when(known, F.size(come))}
+        return sets.select(*keys, *[n.cast("long").alias(c) for c, n in sizes.items()])
     present = df.select(*keys, item).distinct()
     seen = lag(present, period, [*by, item], period, out="__seen", limit=limit)
     periods = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))

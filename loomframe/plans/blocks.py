@@ -23,7 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomframe.plans.matching import lookup_join
-from loomframe.plans.sizing import row_share, rows_per_block, seen_as_large, some_rows
+from loomframe.plans.sizing import (
+    broadcast_bytes,
+    row_share,
+    rows_per_block,
+    seen_as_large,
+    some_rows,
+    table_fits,
+)
 
 # As a limit: the caller knows every group to be small, so nothing is counted or cut.
 WHOLE_GROUPS = 2**62
@@ -139,28 +146,34 @@ def _cut_points(df: DataFrame, by: list[str], order: Order, limit: int):
             ]
         ),
     )
-    return table, cuts, max(count for _, count in spans.values())
+    # What one row per block weighs, by the keys alone.
+    width = max(sum(len(str(v).encode()) + 24 for v in g) + 32 for g in spans)
+    return table, cuts, max(count for _, count in spans.values()), (len(rows) + len(spans), width)
 
 
 def assign_blocks(
     df: DataFrame, by: Sequence[str], order_by, limit: int | None = None
-) -> tuple[DataFrame, bool]:
-    """Add the block number (null outside large groups) if any group is large."""
+) -> tuple[DataFrame, tuple[int, int] | None]:
+    """Add the block number (null outside large groups) if any group is large.
+
+    Also returns the number of blocks and the bytes of a block's key, or None.
+    """
     by, order = list(by), parse_order(order_by)
     spark = df.sparkSession
     limit = rows_per_block(spark, limit)
     if limit >= WHOLE_GROUPS:
-        return df, False
+        return df, None
     if not by:
         # A table without groups is spread over the tasks even when it is not large.
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
         limit = min(limit, max(_SMALLEST_BLOCK, -(-df.count() // tasks)))
     found = _cut_points(df, by, order, limit)
     if found is None:
-        return df, False
-    spans, cuts, most = found
+        return df, None
+    spans, cuts, most, size = found
     if by:
-        marked = lookup_join(df, spans, by, small=True)
+        small = size[0] * size[1] <= broadcast_bytes(spark)
+        marked = lookup_join(df, spans, by, small=small)
     else:
         marked = df.withColumns({_FIRST: F.lit(0), _COUNT: F.lit(most)})
     # The list of cuts is one constant of the plan; a row carries only its place in it.
@@ -171,7 +184,7 @@ def assign_blocks(
     )
     large = F.col(_COUNT).isNotNull()
     marked = marked.withColumns({BLOCK: F.when(large, number), LARGE: large})
-    return marked.drop(_FIRST, _COUNT), True
+    return marked.drop(_FIRST, _COUNT), size
 
 
 class OrderedBlocks:
@@ -180,9 +193,24 @@ class OrderedBlocks:
     def __init__(self, df: DataFrame, by, order_by, limit: int | None = None):
         self.by = list(by or [])
         self.order = parse_order(order_by)
-        self.df, self.split = assign_blocks(df, self.by, order_by, limit)
+        self.df, self.size = assign_blocks(df, self.by, order_by, limit)
+        self.split = self.size is not None
         self.keys = [*self.by, BLOCK] if self.split else self.by
 
+    def fits(self, table: DataFrame, item_bytes: int = 0) -> bool:
+        """Whether a table of one row per block may be broadcast.
+
+        Its rows are counted off the cut points; ``item_bytes`` is the most that arrays in a
+        row hold. Values of unknown width are measured.
+        """
+        blocks, width = self.size or (1, 32)
+        own = [f.dataType for f in table.schema if f.name not in self.keys]
+        wide = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)
+        if not item_bytes and any(isinstance(t, wide) for t in own):
+            return table_fits(table)
+        bytes_ = blocks * (width + 16 * len(own) + item_bytes)
+        return bytes_ <= broadcast_bytes(table.sparkSession)
+
     def window(self, backwards: bool = False) -> WindowSpec:
         # Without keys the window covers one block of rows whose number was checked.
         return Window.partitionBy(*self.keys).orderBy(*sort_columns(self.order, backwards))
@@ -224,7 +252,7 @@ class OrderedBlocks:
         before = totals.select(
             *self.keys, *[join(F.col(n)).over(earlier).alias(n) for n, (_, join) in parts.items()]
         )
-        return lookup_join(df, before, self.keys, small=True)
+        return lookup_join(df, before, self.keys, small=self.fits(before))
 
     def with_lookback(self, k: int) -> DataFrame:
         """The rows, plus marked copies of the k rows before each block.
@@ -257,8 +285,10 @@ class OrderedBlocks:
             .withColumn("__later", F.lead("__here").over(in_order))
             .drop("__n", "__start", "__here")
         )
+        # A block's list names the blocks that start within k rows, itself included.
+        reached = 48 * min(k + 1, self.size[0])
         copies = (
-            lookup_join(tails, ends, self.keys, how="inner", small=True)
+            lookup_join(tails, ends, self.keys, how="inner", small=self.fits(ends, reached))
             .withColumn("__reach", F.col("__end") - F.col("__back") + k)
             .withColumn(
                 "__target",

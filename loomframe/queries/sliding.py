@@ -230,8 +230,7 @@ def win_rolling_list(spark, sf):
     )
 
 
-@query(
-    """with s as (select user_id, cast(ts as date) as day, list(distinct event_type) as items
+_SET_CHANGE = """with s as (select user_id, cast(ts as date) as day, list(distinct event_type) as items
          from events group by all),
        p as (select *, lag(items) over (partition by user_id order by day) as prev from s)
        select user_id, day,
@@ -239,10 +238,21 @@ def win_rolling_list(spark, sf):
          case when prev is not null then cast(len(list_filter(items,
            lambda x: not list_contains(prev, x))) as bigint) end as gained
        from p"""
-)
+
+
+def _daily_events(spark, sf):
+    return table(spark, sf, "events").withColumn("day", F.to_date("ts"))
+
+
+@query(_SET_CHANGE)
 def win_set_diff(spark, sf):
-    events = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
-    return op.period_set_change(events, "event_type", ["user_id"], "day")
+    events = _daily_events(spark, sf)
+    return op.period_set_change(events, "event_type", ["user_id"], "day", small_sets=True)
+
+
+@query(_SET_CHANGE)
+def win_set_diff_split(spark, sf):
+    return op.period_set_change(_daily_events(spark, sf), "event_type", ["user_id"], "day")
 
 
 @query(

@@ -126,3 +126,25 @@ def test_cut_points_of_any_type(spark, kind):
     assert got.where("c = id + 1").count() == 3000
     down = op.cumsum(df, "one", order_by="-k", out="c", limit=500)
     assert down.where("c = 3000 - id").count() == 3000
+
+
+def test_nothing_is_broadcast_beyond_the_limit(spark, skewed):
+    spark.conf.set("loomframe.broadcastBytes", "10")
+    automatic = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        filled = skewed.na.fill({"x": 1.0})
+        made = [
+            op.lag(filled, "x", ["g"], ["o", "id"], limit=100),
+            op.cumsum(filled, "x", ["g"], ["o", "id"], limit=100),
+            op.accumulate_affine(filled, 0.7, "x", ["g"], ["o", "id"], limit=100),
+            op.min_rank(filled, "x", ["g"], limit=100),
+            op.first_last(filled, "x", ["g"], ["o", "id"]),
+            op.filter_at_max(filled, "x", ["g"]),
+        ]
+        for df in made:
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
+    finally:
+        spark.conf.unset("loomframe.broadcastBytes")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", automatic)

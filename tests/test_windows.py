@@ -132,6 +132,10 @@ def test_w10_lost_and_gained(frame, layout):
     got = op.period_set_change(df, "dest", ["from"], "year")
     same(got, [("BJ", 2019, None, None), ("BJ", 2020, 2, 0), ("BJ", 2021, 0, 1),
                ("SH", 2019, None, None), ("SH", 2021, 1, 0)])
+    same(op.period_set_change(df, "dest", ["from"], "year", small_sets=True), rows(got))
+    gone = df.union(frame([("BJ", 2021, None)], df.schema))
+    split, whole = (rows(op.period_set_change(gone, "dest", ["from"], "year", small_sets=s)) for s in (False, True))
+    assert split == whole and ("BJ", 2021, 0, 2) in whole
 
 
 def test_w11_centre_and_scale(frame, layout):
