@@ -3,10 +3,10 @@
 import hashlib
 from collections import Counter, defaultdict
 
-from test_lsh_forest import grams
-from test_mixing import targets
-from test_repetition import brute as measures
-from test_tokens import check_packing
+from .test_lsh_forest import grams
+from .test_mixing import targets
+from .test_repetition import brute as measures
+from .test_tokens import check_packing
 
 import corpus_pipeline
 from loomframe.llm import stages
