@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .base import id_text, ship_package, slices, staged, text_or_empty
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 _LANE_TOKENS = 1 << 20
 
 _BLOCK = "block long, words array<string>, kinds array<int>, n array<long>, id array<long>, held array<boolean>, length array<int>, ids binary"
@@ -207,7 +207,7 @@ def log_likelihoods(model: Model, symbols: np.ndarray, lengths: np.ndarray, segm
 
 
 def _symbols(shape: Shape, top: dict[str, int], words: list[str], kinds: np.ndarray) -> np.ndarray:
-    out = shape.words + 1 + kinds
+    out = (shape.words + 1 + kinds).astype(np.int32)
     out[0] = 0
     for k, w in enumerate(words):
         s = top.get(w)
@@ -223,7 +223,7 @@ def _count(shape: Shape, shared):
             for row in range(batch.num_rows):
                 words, kinds, length, held = (batch.column(c)[row].values for c in ("words", "kinds", "length", "held"))
                 local = _symbols(shape, model.top, words.to_pylist(), kinds.to_numpy().astype(np.int64))
-                symbols = local[np.frombuffer(batch.column("ids")[row].as_py(), np.uint32)]
+                symbols = local[np.frombuffer(batch.column("ids")[row].as_buffer(), np.uint32)]
                 length = length.to_numpy().astype(np.int64)
                 base, learn = np.cumsum(length) - length, ~held.to_numpy(zero_copy_only=False)
                 base, length = base[learn], length[learn]
@@ -272,24 +272,33 @@ def _score(shape: Shape, shared):
             kind = kinds[shared_symbol]
             inside[shared_symbol] = np.log((count[shared_symbol] + 1) / (kinds_n[kind] + kinds_v[kind] + 1))
             base = np.log10((count + 1) / (tokens + types + 1))
-            numbers = np.frombuffer(blocks["ids"].combine_chunks()[row].as_py(), np.uint32)
+            known = (count > 0).astype(np.int64)
+            numbers = np.frombuffer(blocks["ids"].combine_chunks()[row].as_buffer(), np.uint32)
             length = length.values.to_numpy().astype(np.int64)
-            begin = np.cumsum(length) - length
-            score = (log_likelihoods(model, local[numbers], length, shape.segment) + np.add.reduceat(inside[numbers], begin)) / np.log(10)
-            out.append(
-                pa.table(
-                    [
-                        ids,
-                        held,
-                        pa.array(length, pa.int64()),
-                        pa.array(np.add.reduceat((count > 0)[numbers].astype(np.int64), begin), pa.int64()),
-                        pa.array(np.full(len(length), tokens), pa.int64()),
-                        pa.array(np.add.reduceat(base[numbers], begin)),
-                        pa.array(score),
-                    ],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            stops = np.cumsum(length)
+            # Some texts at a time: about a million tokens, or one longer text.
+            first = 0
+            while first < len(length):
+                before = stops[first] - length[first]
+                last = max(first + 1, int(np.searchsorted(stops, before + _LANE_TOKENS, side="right")))
+                mine, size = numbers[before : stops[last - 1]], length[first:last]
+                begin = np.cumsum(size) - size
+                score = (log_likelihoods(model, local[mine], size, shape.segment) + np.add.reduceat(inside[mine], begin)) / np.log(10)
+                out.append(
+                    pa.table(
+                        [
+                            ids[first:last],
+                            held[first:last],
+                            pa.array(size, pa.int64()),
+                            pa.array(np.add.reduceat(known[mine], begin), pa.int64()),
+                            pa.array(np.full(len(size), tokens), pa.int64()),
+                            pa.array(np.add.reduceat(base[mine], begin)),
+                            pa.array(score),
+                        ],
+                        names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                    )
                 )
-            )
+                first = last
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         types_ = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.concat_tables(out) if out else pa.schema(list(zip(names, types_, strict=True))).empty_table()
