@@ -29,6 +29,10 @@ def shared_folder(spark: SparkSession) -> str:
     """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        # Set on the running context instead.
+        own = context._jsc.sc().getCheckpointDir()
+        folder = own.get() if own.isDefined() else None
     if folder:
         return folder.rstrip("/")
     if not context.master.startswith("local[") and context.master != "local":

@@ -231,4 +231,6 @@ def _read(with_ids: bool):
 def read_tokens(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     """One row per document of the files: doc_id, start, n_tokens, ids_crc32, and its ids."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return manifest.select("folder", "path", "before").repartition("path").mapInArrow(_read(with_ids), schema)
+    # A number of its own, as few small rows would else be read by one task.
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.select("folder", "path", "before").repartition(tasks, "path").mapInArrow(_read(with_ids), schema)
