@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .base import id_text, ship_package, slices, staged, text_or_empty
 
-BLOCK_BYTES = 16 << 20
-_LANE_TOKENS = 1 << 20
+BLOCK_BYTES = 10 << 20
+_LANE_TOKENS = 1 << 19
 
 _BLOCK = "block long, words array<string>, kinds array<int>, n array<long>, id array<long>, held array<boolean>, length array<int>, ids binary"
 _SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -110,7 +110,7 @@ def _to_blocks(classes: int):
 
 
 def _lanes(starts: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
-    """Numbers of segments, longest first, in groups of about a million tokens."""
+    """Numbers of segments, longest first, in groups of about half a million tokens."""
     order = np.argsort(-lengths, kind="stable")
     cuts = np.searchsorted(np.cumsum(lengths[order]), np.arange(_LANE_TOKENS, lengths.sum() + _LANE_TOKENS, _LANE_TOKENS))
     yield from (x for x in np.split(order, np.unique(cuts)) if len(x))
@@ -276,7 +276,7 @@ def _score(shape: Shape, shared):
             numbers = np.frombuffer(blocks["ids"].combine_chunks()[row].as_buffer(), np.uint32)
             length = length.values.to_numpy().astype(np.int64)
             stops = np.cumsum(length)
-            # Some texts at a time: about a million tokens, or one longer text.
+            # Some texts at a time: about half a million tokens, or one longer text.
             first = 0
             while first < len(length):
                 before = stops[first] - length[first]
@@ -299,6 +299,7 @@ def _score(shape: Shape, shared):
                     )
                 )
                 first = last
+            pa.default_memory_pool().release_unused()
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         types_ = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.concat_tables(out) if out else pa.schema(list(zip(names, types_, strict=True))).empty_table()
