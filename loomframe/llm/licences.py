@@ -2,9 +2,9 @@
 
 A text becomes a line of lower-case words between single spaces. Rules are regular
 expressions on that line, made from a table of licences and a list of forms in which notices
-name them. A text must hold one of a few anchor words before any rule is tried, and the
-keyword of a rule before that rule is. Where detections
-overlap, one that lies within another of the same or a better level gives way.
+name them. A rule is tried in the texts that hold one of its keywords; every match of its
+pattern holds one of them, so nothing is lost by that. Where detections overlap, one that
+lies within another of the same or a better level gives way.
 """
 
 from __future__ import annotations
@@ -28,70 +28,71 @@ class Rule(NamedTuple):
     label: str
     level: int  # 1 wins over 2 and so on
     score: float
-    keyword: str
+    keyword: str  # text that every match holds, maybe inside a word; empty if there is none
     pattern: str
+    keywords: tuple[str, ...] = ()  # whole words, of which every match holds one; () if not known
 
 
-#: label, words of its name, versions, keyword.
+#: label, words of its name, versions, keywords: one for each alternative of the name.
 LICENCES = (
-    ("apache", "apache(?: software)?", ("1 0", "1 1", "2 0"), "apache"),
-    ("mit", "(?:mit|expat)", (), "mit"),
-    ("x11", "(?:x11|x consortium)", (), "x11"),
-    ("isc", "(?:isc|internet systems consortium)", (), "isc"),
-    ("bsd", "(?:bsd|berkeley software distribution)", (), "bsd"),
-    ("bsd-2-clause", "(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)", (), "bsd"),
-    ("bsd-3-clause", "(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)", (), "bsd"),
-    ("bsd-4-clause", "(?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd)", (), "bsd"),
-    ("0bsd", "(?:0bsd|zero clause bsd|bsd zero clause)", (), "bsd"),
-    ("gpl", "(?:gnu )?(?:gpl|general public)", ("1 0", "2 0", "3 0", "2", "3"), "g"),
-    ("lgpl", "(?:gnu )?(?:lgpl|lesser general public|library general public)", ("2 0", "2 1", "3 0", "3"), "l"),
-    ("agpl", "(?:gnu )?(?:agpl|affero general public)", ("1 0", "3 0", "3"), "a"),
-    ("gfdl", "(?:gnu )?(?:gfdl|free documentation)", ("1 1", "1 2", "1 3"), "documentation"),
-    ("mpl", "(?:mpl|mozilla public)", ("1 0", "1 1", "2 0"), "mozilla"),
-    ("epl", "(?:epl|eclipse public)", ("1 0", "2 0"), "eclipse"),
-    ("cddl", "(?:cddl|common development and distribution)", ("1 0", "1 1"), "common development"),
-    ("cpl", "(?:cpl|common public)", ("1 0",), "common public"),
-    ("ipl", "ibm public", ("1 0",), "ibm public"),
-    ("eupl", "(?:eupl|european union public)", ("1 0", "1 1", "1 2"), "european union"),
-    ("cecill", "cecill(?: free software)?", ("1 0", "2 0", "2 1"), "cecill"),
-    ("osl", "(?:osl|open software)", ("1 0", "2 0", "2 1", "3 0"), "open software"),
-    ("afl", "(?:afl|academic free)", ("1 1", "2 0", "2 1", "3 0"), "academic free"),
-    ("artistic", "(?:perl )?artistic", ("1 0", "2 0"), "artistic"),
-    ("zlib", "(?:zlib|zlib libpng)", (), "zlib"),
-    ("libpng", "(?:libpng|png reference library)", ("2 0",), "png"),
-    ("boost", "boost(?: software)?", ("1 0",), "boost"),
-    ("unlicense", "(?:the )?unlicense", (), "unlicense"),
-    ("wtfpl", "(?:wtfpl|do what the fuck you want to public)", ("2 0",), "you want to public"),
-    ("cc0", "(?:cc0|cc zero|creative commons zero)", ("1 0",), "zero"),
-    ("cc-by-sa", "(?:cc by sa|creative commons attribution share ?alike)", ("1 0", "2 0", "2 5", "3 0", "4 0"), "sa"),
-    ("cc-by-nd", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)", ("2 0", "2 5", "3 0", "4 0"), "nd"),
-    ("cc-by-nc", "(?:cc by nc|creative commons attribution non ?commercial)", ("2 0", "2 5", "3 0", "4 0"), "nc"),
-    ("cc-by-nc-sa", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", ("2 0", "2 5", "3 0", "4 0"), "nc"),
-    ("cc-by-nc-nd", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)", ("2 0", "2 5", "3 0", "4 0"), "nc"),
-    ("cc-by", "(?:cc by|creative commons attribution)", ("1 0", "2 0", "2 5", "3 0", "4 0"), "c"),
-    ("ofl", "(?:ofl|sil open font|open font)", ("1 0", "1 1"), "open font"),
-    ("odbl", "(?:odbl|open database)", ("1 0",), "open database"),
-    ("odc-by", "(?:odc by|open data commons attribution)", ("1 0",), "open data commons"),
-    ("pddl", "(?:pddl|open data commons public domain dedication and)", ("1 0",), "dedication"),
-    ("ogl", "(?:ogl|open government)", ("1 0", "2 0", "3 0"), "open government"),
-    ("python", "(?:python software foundation|psf)", ("2",), "python"),
-    ("php", "php", ("3 0", "3 01"), "php"),
-    ("ruby", "ruby", (), "ruby"),
-    ("postgresql", "postgresql", (), "postgresql"),
-    ("openssl", "(?:openssl|ssleay)", (), "ssl"),
-    ("curl", "curl", (), "curl"),
-    ("ncsa", "(?:ncsa|university of illinois ncsa)(?: open source)?", (), "ncsa"),
-    ("ms-pl", "(?:ms pl|microsoft public)", (), "microsoft public"),
-    ("ms-rl", "(?:ms rl|microsoft reciprocal)", (), "microsoft reciprocal"),
-    ("sspl", "(?:sspl|server side public)", ("1",), "server side"),
-    ("busl", "(?:busl|business source)", ("1 1",), "business source"),
-    ("elastic", "elastic", ("2 0",), "elastic"),
-    ("json", "json", (), "json"),
-    ("qpl", "(?:qpl|q public)", ("1 0",), "q public"),
-    ("w3c", "w3c(?: software)?(?: notice and)?", (), "w3c"),
-    ("vim", "vim", (), "vim"),
-    ("nasa", "nasa open source(?: agreement)?", ("1 3",), "nasa"),
-    ("sleepycat", "(?:sleepycat|berkeley db)", (), "sleepycat"),
+    ("apache", "apache(?: software)?", ("1 0", "1 1", "2 0"), ("apache",)),
+    ("mit", "(?:mit|expat)", (), ("mit", "expat")),
+    ("x11", "(?:x11|x consortium)", (), ("x11", "x consortium")),
+    ("isc", "(?:isc|internet systems consortium)", (), ("isc", "internet systems consortium")),
+    ("bsd", "(?:bsd|berkeley software distribution)", (), ("bsd", "berkeley software distribution")),
+    ("bsd-2-clause", "(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)", (), ("bsd 2 clause", "2 clause bsd", "two clause bsd", "simplified bsd", "freebsd")),
+    ("bsd-3-clause", "(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)", (), ("bsd 3 clause", "3 clause bsd", "three clause bsd", "new bsd", "modified bsd", "revised bsd")),
+    ("bsd-4-clause", "(?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd)", (), ("bsd 4 clause", "4 clause bsd", "four clause bsd", "original bsd")),
+    ("0bsd", "(?:0bsd|zero clause bsd|bsd zero clause)", (), ("0bsd", "zero clause bsd", "bsd zero clause")),
+    ("gpl", "(?:gnu )?(?:gpl|general public)", ("1 0", "2 0", "3 0", "2", "3"), ("gpl", "general public")),
+    ("lgpl", "(?:gnu )?(?:lgpl|lesser general public|library general public)", ("2 0", "2 1", "3 0", "3"), ("lgpl", "lesser general public", "library general public")),
+    ("agpl", "(?:gnu )?(?:agpl|affero general public)", ("1 0", "3 0", "3"), ("agpl", "affero general public")),
+    ("gfdl", "(?:gnu )?(?:gfdl|free documentation)", ("1 1", "1 2", "1 3"), ("gfdl", "free documentation")),
+    ("mpl", "(?:mpl|mozilla public)", ("1 0", "1 1", "2 0"), ("mpl", "mozilla public")),
+    ("epl", "(?:epl|eclipse public)", ("1 0", "2 0"), ("epl", "eclipse public")),
+    ("cddl", "(?:cddl|common development and distribution)", ("1 0", "1 1"), ("cddl", "common development and distribution")),
+    ("cpl", "(?:cpl|common public)", ("1 0",), ("cpl", "common public")),
+    ("ipl", "ibm public", ("1 0",), ("ibm public",)),
+    ("eupl", "(?:eupl|european union public)", ("1 0", "1 1", "1 2"), ("eupl", "european union public")),
+    ("cecill", "cecill(?: free software)?", ("1 0", "2 0", "2 1"), ("cecill",)),
+    ("osl", "(?:osl|open software)", ("1 0", "2 0", "2 1", "3 0"), ("osl", "open software")),
+    ("afl", "(?:afl|academic free)", ("1 1", "2 0", "2 1", "3 0"), ("afl", "academic free")),
+    ("artistic", "(?:perl )?artistic", ("1 0", "2 0"), ("artistic",)),
+    ("zlib", "(?:zlib|zlib libpng)", (), ("zlib",)),
+    ("libpng", "(?:libpng|png reference library)", ("2 0",), ("libpng", "png reference library")),
+    ("boost", "boost(?: software)?", ("1 0",), ("boost",)),
+    ("unlicense", "(?:the )?unlicense", (), ("unlicense",)),
+    ("wtfpl", "(?:wtfpl|do what the fuck you want to public)", ("2 0",), ("wtfpl", "do what the fuck you want to public")),
+    ("cc0", "(?:cc0|cc zero|creative commons zero)", ("1 0",), ("cc0", "cc zero", "creative commons zero")),
+    ("cc-by-sa", "(?:cc by sa|creative commons attribution share ?alike)", ("1 0", "2 0", "2 5", "3 0", "4 0"), ("cc by sa", "creative commons attribution")),
+    ("cc-by-nd", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)", ("2 0", "2 5", "3 0", "4 0"), ("cc by nd", "creative commons attribution")),
+    ("cc-by-nc", "(?:cc by nc|creative commons attribution non ?commercial)", ("2 0", "2 5", "3 0", "4 0"), ("cc by nc", "creative commons attribution")),
+    ("cc-by-nc-sa", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", ("2 0", "2 5", "3 0", "4 0"), ("cc by nc sa", "creative commons attribution")),
+    ("cc-by-nc-nd", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)", ("2 0", "2 5", "3 0", "4 0"), ("cc by nc nd", "creative commons attribution")),
+    ("cc-by", "(?:cc by|creative commons attribution)", ("1 0", "2 0", "2 5", "3 0", "4 0"), ("cc by", "creative commons attribution")),
+    ("ofl", "(?:ofl|sil open font|open font)", ("1 0", "1 1"), ("ofl", "open font")),
+    ("odbl", "(?:odbl|open database)", ("1 0",), ("odbl", "open database")),
+    ("odc-by", "(?:odc by|open data commons attribution)", ("1 0",), ("odc by", "open data commons attribution")),
+    ("pddl", "(?:pddl|open data commons public domain dedication and)", ("1 0",), ("pddl", "open data commons public domain dedication and")),
+    ("ogl", "(?:ogl|open government)", ("1 0", "2 0", "3 0"), ("ogl", "open government")),
+    ("python", "(?:python software foundation|psf)", ("2",), ("python software foundation", "psf")),
+    ("php", "php", ("3 0", "3 01"), ("php",)),
+    ("ruby", "ruby", (), ("ruby",)),
+    ("postgresql", "postgresql", (), ("postgresql",)),
+    ("openssl", "(?:openssl|ssleay)", (), ("openssl", "ssleay")),
+    ("curl", "curl", (), ("curl",)),
+    ("ncsa", "(?:ncsa|university of illinois ncsa)(?: open source)?", (), ("ncsa",)),
+    ("ms-pl", "(?:ms pl|microsoft public)", (), ("ms pl", "microsoft public")),
+    ("ms-rl", "(?:ms rl|microsoft reciprocal)", (), ("ms rl", "microsoft reciprocal")),
+    ("sspl", "(?:sspl|server side public)", ("1",), ("sspl", "server side public")),
+    ("busl", "(?:busl|business source)", ("1 1",), ("busl", "business source")),
+    ("elastic", "elastic", ("2 0",), ("elastic",)),
+    ("json", "json", (), ("json",)),
+    ("qpl", "(?:qpl|q public)", ("1 0",), ("qpl", "q public")),
+    ("w3c", "w3c(?: software)?(?: notice and)?", (), ("w3c",)),
+    ("vim", "vim", (), ("vim",)),
+    ("nasa", "nasa open source(?: agreement)?", ("1 3",), ("nasa open source",)),
+    ("sleepycat", "(?:sleepycat|berkeley db)", (), ("sleepycat", "berkeley db")),
 )
 
 _UNDER = "(?:licensed|released|distributed|redistributed|provided|published|available|offered|covered) (?:by |under )(?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
@@ -100,62 +101,61 @@ _LATER = " or (?:at your option )?(?:any )?(?:later|newer|higher)(?: versions?)?
 
 #: Notices with wordings of their own.
 NOTICES = (
-    Rule("mit", 2, 0.95, "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy"),
-    Rule("mit", 3, 0.9, "the above copyright notice and this permission", "the above copyright notice and this permission notice shall be included"),
-    Rule("bsd", 2, 0.9, "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted"),
-    Rule("bsd-3-clause", 2, 0.9, "may be used to endorse", "neither the name (?:of )?(?:[^ ]+ ){1,8}nor the names of its contributors may be used to endorse"),
-    Rule("isc", 2, 0.95, "permission to use copy modify", "permission to use copy modify and or distribute this software for any purpose"),
-    Rule("zlib", 2, 0.95, "provided as is without any express", "this software is provided as is without any express or implied warranty"),
-    Rule("unlicense", 2, 0.95, "free and unencumbered", "free and unencumbered software released into the public domain"),
-    Rule("public-domain", 3, 0.8, "public domain", "(?:released|placed|dedicated|put) (?:in|into|to) the public domain"),
-    Rule("public-domain", 5, 0.6, "public domain", "in the public domain"),
-    Rule("apache-2.0", 2, 0.95, "apache org licenses", "apache org licenses license 2 0"),
-    Rule("cc-by-4.0", 2, 0.95, "creativecommons org", "creativecommons org licenses by 4 0"),
-    Rule("cc-by-sa-4.0", 2, 0.95, "creativecommons org", "creativecommons org licenses by sa 4 0"),
-    Rule("cc0-1.0", 2, 0.95, "creativecommons org", "creativecommons org publicdomain zero 1 0"),
-    Rule("mit", 2, 0.95, "opensource org", "opensource org licenses mit"),
-    Rule("gpl", 2, 0.95, "gnu org licenses", "gnu org licenses gpl"),
-    Rule("lgpl", 2, 0.95, "gnu org licenses", "gnu org licenses lgpl"),
-    Rule("gpl", 3, 0.9, "free software foundation", "under the terms of the gnu general public license as published by the free software foundation"),
-    Rule("proprietary", 4, 0.7, "proprietary", "(?:proprietary and confidential|confidential and proprietary)"),
-    Rule("proprietary", 4, 0.7, "prohibited", "unauthori[sz]ed (?:copying|use|reproduction|distribution)(?: [^ ]+){0,8} is (?:strictly )?prohibited"),
-    Rule("proprietary", 5, 0.6, "without", "may not be (?:reproduced|copied|distributed)(?: [^ ]+){0,8} without (?:the )?(?:prior |express )*(?:written )?permission"),
-    Rule("warranty-disclaimer", 5, 0.4, "warrant", "without warrant(?:y|ies) (?:of any kind|or conditions of any kind)"),
-    Rule("copyright-notice", 6, 0.4, "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)?[0-9]{2})?"),
-    Rule("licence-reference", 6, 0.3, "licen", "see (?:the )?(?:file )?(?:licen[cs]e|copying)(?: file)?(?: txt| md)?(?: for (?:more )?(?:details|information|terms))?"),
-    Rule("licence-reference", 6, 0.3, "licen", "spdx license identifier [^ ]+"),
-    Rule("licence-reference", 6, 0.2, "licen", "(?:licensed|released|distributed) under (?:the )?(?:[^ ]+ ){0,4}licen[cs]e"),
+    Rule("mit", 2, 0.95, "", "permission is hereby granted free of charge to any person obtaining a copy", ("permission is hereby granted",)),
+    Rule("mit", 3, 0.9, "", "the above copyright notice and this permission notice shall be included", ("the above copyright notice and this permission",)),
+    Rule("bsd", 2, 0.9, "", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use",)),
+    Rule("bsd-3-clause", 2, 0.9, "", "neither the name (?:of )?(?:[^ ]+ ){1,8}nor the names of its contributors may be used to endorse", ("may be used to endorse",)),
+    Rule("isc", 2, 0.95, "", "permission to use copy modify and or distribute this software for any purpose", ("permission to use copy modify",)),
+    Rule("zlib", 2, 0.95, "", "this software is provided as is without any express or implied warranty", ("provided as is without any express",)),
+    Rule("unlicense", 2, 0.95, "", "free and unencumbered software released into the public domain", ("free and unencumbered",)),
+    Rule("public-domain", 3, 0.8, "", "(?:released|placed|dedicated|put) (?:in|into|to) the public domain", ("public domain",)),
+    Rule("public-domain", 5, 0.6, "", "in the public domain", ("public domain",)),
+    Rule("apache-2.0", 2, 0.95, "", "apache org licenses license 2 0", ("apache org licenses",)),
+    Rule("cc-by-4.0", 2, 0.95, "", "creativecommons org licenses by 4 0", ("creativecommons org",)),
+    Rule("cc-by-sa-4.0", 2, 0.95, "", "creativecommons org licenses by sa 4 0", ("creativecommons org",)),
+    Rule("cc0-1.0", 2, 0.95, "", "creativecommons org publicdomain zero 1 0", ("creativecommons org",)),
+    Rule("mit", 2, 0.95, "", "opensource org licenses mit", ("opensource org",)),
+    Rule("gpl", 2, 0.95, "", "gnu org licenses gpl", ("gnu org licenses",)),
+    Rule("lgpl", 2, 0.95, "", "gnu org licenses lgpl", ("gnu org licenses",)),
+    Rule("gpl", 3, 0.9, "", "under the terms of the gnu general public license as published by the free software foundation", ("free software foundation",)),
+    Rule("proprietary", 4, 0.7, "", "(?:proprietary and confidential|confidential and proprietary)", ("proprietary",)),
+    Rule("proprietary", 4, 0.7, "", "unauthori[sz]ed (?:copying|use|reproduction|distribution)(?: [^ ]+){0,8} is (?:strictly )?prohibited", ("prohibited",)),
+    Rule("proprietary", 5, 0.6, "", "may not be (?:reproduced|copied|distributed)(?: [^ ]+){0,8} without (?:the )?(?:prior |express )*(?:written )?permission", ("may not be",)),
+    Rule("warranty-disclaimer", 5, 0.4, "", "without warrant(?:y|ies) (?:of any kind|or conditions of any kind)", ("without warranty", "without warranties")),
+    Rule("copyright-notice", 6, 0.4, "", "copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)?[0-9]{2})?", ("copyright",)),
+    Rule("licence-reference", 6, 0.3, "", "see (?:the )?(?:file )?(?:licen[cs]e|copying)(?: file)?(?: txt| md)?(?: for (?:more )?(?:details|information|terms))?", ("license", "licence", "copying")),
+    Rule("licence-reference", 6, 0.3, "", "spdx license identifier [^ ]+", ("spdx license identifier",)),
+    Rule("licence-reference", 6, 0.2, "", "(?:licensed|released|distributed) under (?:the )?(?:[^ ]+ ){0,4}licen[cs]e", ("licensed under", "released under", "distributed under")),
 )
 
 
 def make_rules() -> list[Rule]:
     """Every licence in every form: identifier, grant, title, with and without version."""
     rules = list(NOTICES)
-    for label, name, versions, keyword in LICENCES:
-        plain = label.replace("-", " ")
-        gate = keyword if len(keyword) > 2 else "licen"
+    for label, name, versions, named in LICENCES:
+        spdx = f"spdx license identifier {label.replace('-', ' ')}"
         for v in versions:
             dotted = f"{label}-{v.replace(' ', '.')}"
             rules += [
-                Rule(dotted, 1, 1.0, "spdx", f"spdx license identifier {plain} {v}"),
-                Rule(dotted, 2, 0.95, gate, f"{_UNDER}{name}{_KIND}(?: version| v)? {v}"),
-                Rule(dotted, 3, 0.9, gate, f"{name}{_KIND}(?: version| v)? {v}"),
+                Rule(dotted, 1, 1.0, "", f"{spdx} {v}", (spdx,)),
+                Rule(dotted, 2, 0.95, "", f"{_UNDER}{name}{_KIND}(?: version| v)? {v}", named),
+                Rule(dotted, 3, 0.9, "", f"{name}{_KIND}(?: version| v)? {v}", named),
             ]
             if label in ("gpl", "lgpl", "agpl", "gfdl"):
                 rules += [
-                    Rule(f"{dotted}-or-later", 1, 1.0, "spdx", f"spdx license identifier {plain} {v} or later"),
-                    Rule(f"{dotted}-or-later", 1, 0.95, gate, f"{name}{_KIND}(?: version| v)? {v}{_LATER}"),
+                    Rule(f"{dotted}-or-later", 1, 1.0, "", f"{spdx} {v} or later", (spdx,)),
+                    Rule(f"{dotted}-or-later", 1, 0.95, "", f"{name}{_KIND}(?: version| v)? {v}{_LATER}", named),
                 ]
         rules += [
-            Rule(label, 1, 1.0, "spdx", f"spdx license identifier {plain}"),
-            Rule(label, 4, 0.8, gate, f"{_UNDER}{name}{_KIND}"),
-            Rule(label, 5, 0.7, gate, f"{name}(?: public)? licen[cs]e"),
+            Rule(label, 1, 1.0, "", spdx, (spdx,)),
+            Rule(label, 4, 0.8, "", f"{_UNDER}{name}{_KIND}", named),
+            Rule(label, 5, 0.7, "", f"{name}(?: public)? licen[cs]e", named),
         ]
     return rules
 
 
-#: Rules are tried only in texts that hold one of these.
-ANCHORS = ("licen", "spdx", "copyright", "public domain", "permission", "redistribution", "unencumbered", "provided", "proprietary", "prohibited", "warrant", "available", "published", "released", "distributed", "offered", "covered", "creativecommons", "opensource", "mozilla", "eclipse", "apache", "agreement")
+#: No text is passed over before the keywords of the rules are looked for.
+ANCHORS: tuple[str, ...] = ()
 
 LEVELS = 6
 _FOUND = "array<struct<start:int,behind:int,level:int,label:string,score:double>>"
@@ -229,8 +229,8 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     detections survive; n_found counts these, found has all detections before suppression as
     (start, behind, level, label, score). score is the best of the surviving rules and base
     phrases, 0 without any. A null text counts as empty; repeated rows each give a row; other
-    columns of docs are not looked at. Nothing is shuffled. Empty anchors try every rule
-    whose keyword a text holds.
+    columns of docs are not looked at. Nothing is shuffled. With anchors, rules are only tried
+    in texts that hold one of them.
     """
     rules = make_rules() if rules is None else rules
     line = F.col("line")
@@ -248,7 +248,17 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for k, (h, (phrase, _, _)) in enumerate(zip(has, BASE, strict=True))
     ]
 
-    keywords = F.from_json(F.lit(json.dumps(sorted({r.keyword for r in rules}))), "array<string>")
+    # Per keyword its longest word, by which it is looked up among a text's words, and its rules.
+    held: dict[str, list[int]] = {}
+    for k, r in enumerate(rules):
+        for keyword in r.keywords or ("",):
+            held.setdefault(keyword, []).append(k)
+    always = F.from_json(F.lit(json.dumps(held.pop("", []))), "array<int>")
+    leads = {keyword: max(keyword.split(), key=len) for keyword in held}
+    keywords = F.from_json(
+        F.lit(json.dumps([{"lead": leads[keyword], "words": f" {keyword} ", "rules": ks} for keyword, ks in held.items()])),
+        "array<struct<lead:string,words:string,rules:array<int>>>",
+    )
     table = F.from_json(
         F.lit(json.dumps([r._replace(pattern=_whole_words(r.pattern))._asdict() for r in rules])),
         "array<struct<label:string,level:int,score:double,keyword:string,pattern:string>>",
@@ -256,9 +266,12 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gate = F.lit(not anchors)
     for anchor in anchors:
         gate = gate | line.contains(anchor)
-    present = F.filter(keywords, lambda k: F.contains(line, k))
-    out = out.withColumn("present", F.when(gate, present))
-    tried = F.filter(table, lambda r: F.array_contains(F.col("present"), r["keyword"]))
+    seen = F.array_intersect(F.split(line, " "), F.from_json(F.lit(json.dumps(sorted(set(leads.values())))), "array<string>"))
+    out = out.withColumn("seen", F.when(gate, seen))
+    present = F.filter(keywords, lambda k: F.array_contains(F.col("seen"), k["lead"]) & F.contains(line, k["words"]))
+    present = F.when(F.size("seen") > 0, F.flatten(F.transform(present, lambda k: k["rules"]))).otherwise(F.array().cast("array<int>"))
+    out = out.withColumn("present", F.when(gate, F.array_union(present, always)))
+    tried = F.filter(F.transform(F.col("present"), lambda k: table[k]), lambda r: F.contains(line, r["keyword"]))
     found = F.array_sort(
         F.transform(
             F.flatten(F.transform(tried, lambda r: _matches(line, r))),

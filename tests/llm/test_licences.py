@@ -1,4 +1,6 @@
+import random
 import re
+from re import _parser
 
 from loomframe.llm.licences import ANCHORS, BASE, GAP, Rule, make_rules, scan_licences
 
@@ -83,3 +85,53 @@ def test_many_rules():
 
 def test_empty(empty):
     assert scan_licences(empty).collect() == []
+
+
+def sample(parsed, rng):
+    """A random text that a pattern matches."""
+    out = ""
+    for kind, value in parsed:
+        kind = str(kind)
+        if kind == "LITERAL":
+            out += chr(value)
+        elif kind in ("NOT_LITERAL", "ANY"):
+            out += "w"
+        elif kind == "IN":
+            what, one = rng.choice(value)
+            out += "w" if str(what) == "NEGATE" else chr(one if str(what) == "LITERAL" else rng.randint(*one))
+        elif kind == "BRANCH":
+            out += sample(rng.choice(value[1]), rng)
+        elif kind == "SUBPATTERN":
+            out += sample(value[3], rng)
+        elif kind == "MAX_REPEAT":
+            out += "".join(sample(value[2], rng) for _ in range(rng.randint(value[0], min(value[1], value[0] + 3))))
+        else:
+            raise ValueError(kind)
+    return out
+
+
+def test_no_rule_is_gated_away(spark):
+    rng = random.Random(7)
+    ungated = [r._replace(keyword="") for r in RULES]
+    texts = [
+        "released under the GNU GPL", "available under CC BY-SA 4.0", "released under the WTFPL", "released under CC0 1.0", "the SIL OFL 1.1", "MPL 2.0",
+        "under the Expat licence", "an MS-PL license", "BUSL 1.1", "a ruby licence",
+    ]
+    for r in RULES:
+        parsed = _parser.parse(r.pattern)
+        for _ in range(6):
+            text = sample(parsed, rng)
+            assert re.fullmatch(r.pattern, text)
+            assert r.keyword in text and any(f" {k} " in f" {text} " for k in r.keywords), (r, text)
+            texts.append(text)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = result(df.repartition(4))
+    assert got == sorted(((k, *brute(t, ungated, ())) for k, t in enumerate(texts)), key=repr)
+    labels = {row[0]: row[6] for row in got}
+    assert [labels[k] for k in range(10)] == ["gpl", "cc-by,cc-by-sa-4.0", "wtfpl", "cc0-1.0", "ofl-1.1", "mpl-2.0", "mit", "ms-pl", "busl-1.1", "ruby"]
+
+
+def test_corpus_ungated(corpus):
+    some = corpus.limit(40)
+    ungated = [r._replace(keyword="") for r in RULES]
+    assert result(some) == sorted(((r.doc_id, *brute(r.text, ungated, ())) for r in some.collect()), key=repr)
