@@ -34,10 +34,18 @@ _NUMBER[0xDF:0x100] = np.arange(27, 60)
 _NUMBER[ord("0") : ord("9") + 1] = _DIGIT
 
 _EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
-_DISGUISED = re.compile(r"(?=.*[a-zß-ÿ].*[a-zß-ÿ])(?:[a-zß-ÿ" + re.escape("".join(LEET)) + r"]{3,20})(?<!\d\d\d)$")
+_LETTER = re.compile("[a-zß-ÿ]")
+_DISGUISED = re.compile(r"(?:[a-zß-ÿ" + re.escape("".join(LEET)) + r"]+)(?<!\d\d\d)$")
 _SIGN = re.compile("[" + re.escape("".join(LEET)) + "]")
 _REPEAT = re.compile(r"([a-zß-ÿ])\1\1")
-_SWAP, _MORE, _SPACE = np.log(0.2), np.log(0.3), np.log(0.5)
+_SWAP, _MORE, _SPACE = float(np.log(0.2)), float(np.log(0.3)), float(np.log(0.5))
+#: Signs beside a word or alone, and how likely they are to be signs and no letters.
+_SIGNS_ONLY = {c: float(np.log(p)) for c, p in {"!": 0.5, "*": 0.3, "|": 0.2, "+": 0.1, "@": 0.01, "$": 0.01}.items()}
+_LEAD = re.compile("[" + re.escape("".join(_SIGNS_ONLY)) + "]*$")
+_TRAIL = re.compile("[" + re.escape("".join(_SIGNS_ONLY)) + "]*")
+_CLASS = _NUMBER.tobytes()
+_EDGE_ONLY = "".join(c for c in _EDGE if c not in _SIGNS_ONLY)
+_CACHED = 60
 _PREFIXES = (4, 5)
 
 
@@ -53,24 +61,38 @@ class Channel:
 
     def __init__(self, trigrams: np.ndarray) -> None:
         self.cost = trigrams
-        self.known: dict[str, str] = {}
+        self.known: dict[tuple[str, str], str] = {}
+
+    def __getstate__(self) -> dict:
+        return {"cost": self.cost, "known": {}}
 
     def _best(self, steps: list[list[tuple[str, float]]]) -> str:
-        """The likeliest path of a lattice: each step writes one of several strings."""
-        states = {(0, 0): (0.0, "")}
+        """The likeliest path of a lattice: each step writes one of several strings.
+
+        A path is a chain of what was written, shared up to where paths part, so memory grows
+        with the number of steps.
+        """
+        if not hasattr(self, "flat"):
+            self.flat = self.cost.ravel().tolist()
+        cost = self.flat
+        # The state is the last two characters.
+        states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         for options in steps:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in states.items():
-                for written, cost in options:
-                    x, y, total = a, b, score + cost
+            after: dict[int, tuple[float, tuple | None]] = {}
+            for state, (score, path) in states.items():
+                for written, extra in options:
+                    k, total = state, score + extra
                     for c in written:
-                        n = int(_NUMBER[ord(c)])
-                        total += self.cost[x, y, n]
-                        x, y = (0, 0) if n == 0 else (y, n)
-                    if (x, y) not in after or after[x, y][0] < total:
-                        after[x, y] = (total, text + written)
+                        n = _CLASS[ord(c)]
+                        total += cost[k * _SIGNS + n]
+                        k = k % _SIGNS * _SIGNS + n if n else 0
+                    have = after.get(k)
+                    if have is None or have[0] < total:
+                        after[k] = (total, (path, written) if written else path)
             states = after
-        return max((score + self.cost[a, b, 0], text) for (a, b), (score, text) in states.items())[1]
+        ends = [(score + cost[k * _SIGNS], path) for k, (score, path) in states.items()]
+        top = max(score for score, _ in ends)
+        return max(_written(path) for score, path in ends if score == top)
 
     def _letters(self, word: str) -> list[list[tuple[str, float]]]:
         steps, at = [], 0
@@ -86,16 +108,54 @@ class Channel:
             at += run
         return steps
 
+    def _beside(self, signs: str) -> list[list[tuple[str, float]]]:
+        """Signs next to a word: nothing, or the letters they may stand for."""
+        steps, at = [], 0
+        while at < len(signs):
+            c, run = signs[at], len(signs) - at - len(signs[at:].lstrip(signs[at]))
+            options = [("", _SIGNS_ONLY[c])]
+            if run >= 3:
+                steps.append(options + [(m * k, _SWAP + _MORE * (k > 1)) for m in LEET[c] for k in (1, 2)])
+            else:
+                steps += [options + [(m, _SWAP) for m in LEET[c]]] * run
+            at += run
+        return steps
+
     def word(self, token: str) -> str:
-        """A token in lower case, restored."""
+        """A token in lower case, restored.
+
+        Restored are tokens of three and more letters, digits and signs of LEET, one of them a
+        letter, that do not end in three digits, of any length. One letter alone, repeated
+        more than 20 times, is no word and stays.
+        """
         word = bare(token)
-        if not _SIGN.search(word) and not _REPEAT.search(word):
+        if not _SIGN.search(token) and not _REPEAT.search(word):
+            return word
+        inner = token.strip(_EDGE)
+        at = token.find(inner)
+        lead, trail = _LEAD.search(token[:at]).group(), _TRAIL.match(token[at + len(inner) :]).group()
+        whole = lead + inner + trail
+        if (whole, word) in self.known:
+            return self.known[whole, word]
+        if len(self.known) > 100_000:
+            self.known.clear()
+        found = word
+        if len(whole) >= 3 and _LETTER.search(inner) and _DISGUISED.match(inner) and (len(inner) <= 20 or inner.strip(inner[0])):
+            if word != inner:  # a first sign that may be a name's own stays possible as written
+                front = [[(lead, 0.0), *self._beside(lead)[0]]]
+            else:
+                front = self._beside(lead)
+            found = self._best(front + self._letters(inner) + self._beside(trail))
+        if len(whole) <= _CACHED:
+            self.known[whole, word] = found
+        return found
+
+    def letter(self, token: str, word: str) -> str:
+        """The letter, digit or sign that a token is, as part of a spaced word; empty if it is none."""
+        if len(word) == 1 and (word.isalpha() or word in LEET):
             return word
-        if word not in self.known:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            self.known[word] = self._best(self._letters(word)) if len(word) <= 20 and _DISGUISED.match(word) else word
-        return self.known[word]
+        sign = token.strip(_EDGE_ONLY)
+        return sign if sign in _SIGNS_ONLY else ""
 
     def spaced(self, letters: list[str]) -> list[str]:
         """Words of letters that stood one by one; each gap may be a real one."""
@@ -103,10 +163,18 @@ class Channel:
         for k, c in enumerate(letters):
             if k:
                 steps.append([("", _SPACE), (" ", _SPACE)])
-            steps.append([(c, 0.0)] + [(m, _SWAP) for m in LEET.get(c, "")])
+            steps.append([("", _SIGNS_ONLY[c]) if c in _SIGNS_ONLY else (c, 0.0)] + [(m, _SWAP) for m in LEET.get(c, "")])
         return self._best(steps).split()
 
 
+def _written(path: tuple | None) -> str:
+    parts = []
+    while path:
+        path, written = path
+        parts.append(written)
+    return "".join(reversed(parts))
+
+
 def _tokens(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct tokens in lower case, the number of each token of the texts, tokens per text."""
     number: dict[bytes, int] = {}
@@ -156,23 +224,25 @@ class _Words:
         tokens, words, counts = _tokens(texts)
         self.n = counts
         self.words = [channel.word(t) for t in tokens]
-        single = np.array([len(w) == 1 and (w.isalpha() or w in LEET) for w in self.words], bool)
+        letters = [channel.letter(t, w) for t, w in zip(tokens, self.words, strict=True)]
+        single = np.array([c != "" for c in letters], bool)
         text = np.repeat(np.arange(len(texts)), counts)
         self.number, self.text = words, text
         if not single.any():
             return
-        # Three or more single letters in a row are read again as spaced words.
+        # Three or more single letters in a row, of any number, are read again as spaced words.
         alone = single[words]
         first = alone & ~np.concatenate(([False], alone[:-1] & (text[1:] == text[:-1])))
         begin = np.flatnonzero(first)
         runs = np.bincount(np.cumsum(first)[alone] - 1, minlength=len(begin))
         more, where = [], []
         for b, n in zip(begin[runs >= 3].tolist(), runs[runs >= 3].tolist(), strict=True):
-            for a in range(b, b + n, 30):
-                letters = [self.words[k] for k in words[a : min(a + 30, b + n)].tolist()]
-                found = _spaced(channel, tuple(letters))
-                more += found
-                where += [text[b]] * len(found)
+            run = tuple(letters[k] for k in words[b : b + n].tolist())
+            if not any(c.isalpha() for c in run) and any(c in _SIGNS_ONLY for c in run):
+                continue  # signs between numbers
+            found = _spaced(channel, run) if n <= _CACHED else channel.spaced(list(run))
+            more += found
+            where += [text[b]] * len(found)
         if more:
             base = len(self.words)
             self.words += more

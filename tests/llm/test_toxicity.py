@@ -6,7 +6,7 @@ from itertools import product
 import numpy as np
 import pytest
 
-from loomframe.llm.toxicity import _NUMBER, LEET, Channel, bare, character_model, fit_logistic, toxicity
+from loomframe.llm.toxicity import _NUMBER, LEET, Channel, _Words, bare, character_model, fit_logistic, toxicity
 
 WORDS = "the quick brown fox jumps over lazy dog and runs along some river bank while birds sing their song".split()
 BAD = ["idiot", "stupid", "moron", "clown"]
@@ -117,3 +117,29 @@ def test_logistic():
     x = rng.normal(size=(4000, 2))
     y = rng.random(4000) < 1 / (1 + np.exp(-(x @ np.array([2.0, -1.0]) + 0.5)))
     assert np.allclose(fit_logistic(x, y.astype(int)), [0.5, 2, -1], atol=0.2)
+
+
+@pytest.fixture(scope="module")
+def rude(spark):
+    text = "dumbass ass arse stupid idiot moron shit the has as that pass this use house grass class a part or are sea these " * 50
+    return Channel(character_model(spark.createDataFrame([(text,)], "text string")))
+
+
+def test_long_spaced_text_is_read_whole(rude):
+    words = (["stupid", "idiot", "moron", "dumbass", "this"] * 400)[:1999]
+    text = " ".join(" ".join(w) for w in words)
+    read = _Words(rude, [text])
+    assert read.words[-len(words) :] == words and len(read.words) == len(set(text.split())) + len(words)
+
+
+def test_repeats_of_any_length(rude):
+    assert rude.word("st" + "u" * 22 + "pid") == "stupid"
+    assert rude.word("sss" + "t" * 500 + "uuu" + "p" * 40 + "iiid") == "stupid"
+    assert rude.word("5tup1d1d10tm0r0nstup1d1d10t") == "stupididiotmoronstupididiot"
+
+
+def test_few_letters_and_signs_at_the_edge(rude):
+    tokens = ("a55", "4r53", "dumba$$", "a$$", "(a$$),", "shi+", "$tupid!!", "stupid!", "*moron*", "|stupid|", "the**", "455", "$100")
+    assert [rude.word(t) for t in tokens] == ["ass", "arse", "dumbass", "ass", "ass", "shit", "stupid", "stupid", "moron", "stupid", "the", "455", "100"]
+    read = _Words(rude, ["you d u m b a $ $ you", "$ t u p i d"])
+    assert read.words.count("dumbass") == 1 and read.words.count("stupid") == 1
