@@ -84,15 +84,20 @@ def best_fit(left: dict[int, int], capacity: int) -> Plan:
     for length in sorted(left, reverse=True):
         count = left[length]
         for room in range(length, capacity):
+            # Each sequence takes as many of this length as fit, so its room is then below the length.
+            each = room // length
             while count and bins.get(room):
                 shape, there = bins[room].popitem()
-                took = min(count, there)
-                if took < there:
-                    bins[room][shape] = there - took
-                # The same sequences take as many more of this length as fit, best fit or not:
-                # only their own room is left smaller than a fresh sequence's.
-                put(room - length, (*shape, length), took)
-                count -= took
+                whole = min(there, count // each)
+                if whole:
+                    put(room - each * length, shape + (length,) * each, whole)
+                    count -= whole * each
+                part = count if count < each and whole < there else 0
+                if part:
+                    put(room - part * length, shape + (length,) * part, 1)
+                    count = 0
+                if there > whole + (part > 0):
+                    bins[room][shape] = there - whole - (part > 0)
             if not count:
                 break
         each = capacity // length

@@ -199,3 +199,15 @@ def test_patterns_fill_sequences():
     plan = make_plan(dict(zip(values.tolist(), counts.tolist(), strict=True)), 1024)
     assert sum(c for c, _ in plan) <= 1.002 * lengths.sum() / 1024
     assert sum(c for c, shape in plan if len(shape) <= 3 and sum(shape) == 1024) > 5_000
+
+
+def test_few_dominant_lengths():
+    for histogram, least in (({600: 1000, 100: 3000}, 1000), ({600: 1000, 100: 4001}, 1001), ({700: 10, 300: 7, 50: 55}, 12), ({500: 9, 8: 100}, 6), ({1000: 3, 1: 71}, 3)):
+        for plan in (best_fit(histogram, 1024), make_plan(histogram, 1024)):
+            used = defaultdict(int)
+            for count, shape in plan:
+                assert count > 0 and sum(shape) <= 1024
+                for n in shape:
+                    used[n] += count
+            assert used == histogram
+            assert sum(c for c, _ in plan) == least
