@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .base import WORD, id_text, staged, text_or_empty
 
-#: 2**31 divided by the golden ratio, made odd: its multiples visit every 31-bit number once.
-_PERIOD, _STEP = 1 << 31, 1327217885
+#: 2**44 divided by the golden ratio, made odd: its multiples visit every 44-bit number once.
+_PERIOD, _STEP = 1 << 44, 10872568911861
 _CELLS = 1024
 _CHUNK = 1 << 16
 _BUCKET_ROWS = 4096
@@ -77,51 +77,51 @@ def place(sized: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
     )
 
 
-def slots(sources: DataFrame, words: int, block: int) -> DataFrame:
+def slots(sources: DataFrame, block: int) -> DataFrame:
     """slot, source_no, block: the schedule of all blocks that the sources need.
 
-    Slot i has the point frac((i + 1) / golden ratio). Slots that a source does not need are
-    idle; the few that a source lacks at the end of the sequence (its discrepancy) follow it.
+    A source that needs b of all B blocks owns b of the B equal cells of the unit interval,
+    and the i-th point of the golden-ratio sequence, frac((i + 1) / golden ratio), draws the
+    owner of the cell it falls in. Points of sources that have all their blocks are passed
+    over; the sequence goes on until every source has its blocks. That takes at most 3 * B
+    points: N points leave no gap as wide as 3 / N. The drawn slots are numbered from 0
+    without holes.
     """
     spark = sources.sparkSession
-    n = -(-words // block)
-    share = F.col("need") / F.greatest(F.sum("need").over(W.partitionBy()), F.lit(1))
-    upto = F.sum("share").over(W.orderBy("source_no").rowsBetween(W.unboundedPreceding, 0))
-    bounds = sources.withColumn("share", share).withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("share"))
-    needs = F.ceil(F.col("need") / F.lit(block)).cast("long")
-    cells = bounds.where("need > 0").select(
-        "source_no",
-        "lo",
-        "hi",
-        F.explode(F.sequence(F.floor(F.col("lo") * _CELLS), F.floor(F.col("hi") * _CELLS))).alias("cell"),
-    )
-    point = (((F.col("id") + 1) % _PERIOD) * _STEP % _PERIOD).cast("double") / _PERIOD
+    needs = sources.where("need > 0").select("source_no", F.ceil(F.col("need") / F.lit(block)).cast("long").alias("blocks"))
+    total = needs.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
+    width = -(-total // _CELLS) or 1
+    hi = F.sum("blocks").over(W.orderBy("source_no").rowsBetween(W.unboundedPreceding, 0))
+    cells = needs.withColumn("hi", hi).withColumn("lo", F.col("hi") - F.col("blocks"))
+    cells = cells.withColumn("cell", F.explode(F.expr(f"sequence(lo div {width}, (hi - 1) div {width})")))
     drawn = (
-        spark.range(n)
-        .select(F.col("id").alias("slot"), point.alias("u"))
-        .withColumn("cell", F.floor(F.col("u") * _CELLS))
+        spark.range(3 * total)
+        .withColumn("at", F.floor(_point(F.col("id") + 1) * F.lit(total)))
+        .withColumn("cell", F.expr(f"at div {width}"))
         .join(cells, "cell")
-        .where("lo <= u and u < hi")
-        .select("slot", "source_no", F.floor(F.col("slot") / _CHUNK).alias("chunk"))
+        .where("lo <= at and at < hi")
+        .select("id", "source_no", "blocks", F.floor(F.col("id") / _CHUNK).alias("chunk"))
     )
+    ranked = drawn.withColumn("r", F.row_number().over(W.partitionBy("source_no", "chunk").orderBy("id")) - 1)
     counts = drawn.groupBy("source_no", "chunk").agg(F.count("*").alias("c"))
     bases = counts.withColumn("base", F.sum("c").over(W.partitionBy("source_no").orderBy("chunk")) - F.col("c")).drop("c")
-    ranked = (
-        drawn.withColumn("r", F.row_number().over(W.partitionBy("source_no", "chunk").orderBy("slot")) - 1)
-        .join(bases, ["source_no", "chunk"])
-        .select("slot", "source_no", (F.col("r") + F.col("base")).alias("block"))
-    )
-    used = ranked.join(sources.select("source_no", needs.alias("blocks")), "source_no").where("block < blocks").drop("blocks")
-    had = counts.groupBy("source_no").agg(F.sum("c").alias("had"))
-    late = (
-        sources.select("source_no", needs.alias("blocks"))
-        .join(had, "source_no", "left")
-        .withColumn("had", F.coalesce("had", F.lit(0)))
-        .where("blocks > had")
-        .withColumn("block", F.explode(F.sequence("had", F.col("blocks") - 1)))
-        .select((F.lit(n) + F.col("block")).alias("slot"), "source_no", "block")
-    )
-    return used.unionByName(late)
+    used = ranked.join(bases, ["source_no", "chunk"]).withColumn("block", F.col("r") + F.col("base")).where("block < blocks")
+    used = used.select("id", "source_no", "block", "chunk")
+    # One row per chunk of 65,536 points.
+    kept = used.groupBy("chunk").agg(F.count("*").alias("c"))
+    firsts = kept.withColumn("first", F.sum("c").over(W.orderBy("chunk")) - F.col("c")).drop("c")
+    inside = F.row_number().over(W.partitionBy("chunk").orderBy("id")) - 1
+    numbered = used.withColumn("n", inside).join(firsts, "chunk")
+    return numbered.select((F.col("first") + F.col("n")).alias("slot"), "source_no", "block")
+
+
+def _point(i: Column) -> Column:
+    """frac(i / golden ratio): i times the step modulo the period, in pieces that fit a long."""
+    parts = [
+        F.pmod(F.shiftright(i, 18 * k).bitwiseAND(F.lit((1 << 18) - 1)) * F.lit((_STEP << 18 * k) % _PERIOD), F.lit(_PERIOD))
+        for k in range(3)
+    ]
+    return F.pmod(parts[0] + parts[1] + parts[2], F.lit(_PERIOD)).cast("double") / F.lit(float(_PERIOD))
 
 
 def _pieces(placed: DataFrame, block: int, most_passes: int) -> DataFrame:
@@ -151,10 +151,13 @@ class Mix:
         self.placed, self.schedule = placed, schedule
 
     def taken(self) -> DataFrame:
-        """placed with `taken`, the words that the mix takes of each row, repeats counted."""
+        """placed with `taken`, the words that the mix takes of each row, repeats counted;
+        `first_slot`, where it first does (null: never), and `n_slots`, in how many slots."""
         key = ["source_no", "start", "size"]
-        sums = self.schedule.groupBy(*key).agg(F.sum("words").alias("taken"))
-        return self.placed.join(sums, key, "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+        sums = self.schedule.groupBy(*key).agg(
+            F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.size(F.collect_set("slot")).cast("long").alias("n_slots")
+        )
+        return self.placed.join(sums, key, "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("taken", "n_slots")})
 
 
 def mix_sources(
@@ -182,8 +185,8 @@ def mix_sources(
         ),
         "mix-sizes",
     )
-    rows, words = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    rows = sized.count()
     sources = staged(source_targets(sized, weights, most_passes), "mix-sources")
     placed = staged(place(sized, sources, rows), "mix-places")
-    schedule = slots(sources, words, block).join(_pieces(placed, block, most_passes), ["source_no", "block"])
+    schedule = slots(sources, block).join(_pieces(placed, block, most_passes), ["source_no", "block"])
     return Mix(placed, schedule.select("slot", "source_no", "block", "id", "start", "size", "pass", "from_word", "words"))

@@ -56,22 +56,43 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     chosen AS (SELECT level FROM levelled WHERE level <= room ORDER BY room, source_no LIMIT 1),
     targets AS (
       SELECT r.*, least(CAST(3 * source_size AS DOUBLE), chosen.level * weight) AS target FROM roomed r, chosen),
+    needed AS (
+      SELECT *, least(3 * source_size, CAST(floor(target + 0.5) AS BIGINT)) AS need FROM targets),
     placed AS (
-      SELECT d.doc_id, d.size, t.source_size, t.target,
-             least(3 * t.source_size, CAST(floor(t.target + 0.5) AS BIGINT)) AS need,
+      SELECT d.doc_id, d.size, t.source_no, t.source_size, t.target, t.need,
              CAST(sum(d.size) OVER (PARTITION BY t.source_no ORDER BY md5(CAST(d.doc_id AS VARCHAR)), d.doc_id, d.size
                                     ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start
-      FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
+      FROM sized d JOIN needed t ON d.source IS NOT DISTINCT FROM t.source),
+    owners AS (
+      SELECT source_no, (need + 255) // 256 AS blocks, CAST(sum((need + 255) // 256) OVER (ORDER BY source_no) AS BIGINT) AS hi
+      FROM needed WHERE need > 0),
+    points AS (
+      SELECT i, floor(CAST(((i + 1)::HUGEINT * 10872568911861) % 17592186044416 AS DOUBLE) / 17592186044416.0::DOUBLE * total) AS cell
+      FROM (SELECT CAST(sum(blocks) AS BIGINT) AS total FROM owners) t, range(0, 3 * t.total) r(i)),
+    ranked AS (
+      SELECT i, source_no, blocks, row_number() OVER (PARTITION BY source_no ORDER BY i) - 1 AS block
+      FROM points JOIN owners ON hi - blocks <= cell AND cell < hi),
+    schedule AS (
+      SELECT source_no, block, row_number() OVER (ORDER BY i) - 1 AS slot FROM ranked WHERE block < blocks),
+    walked AS (
+      SELECT *, p * source_size + start AS came FROM placed, range(0, 3) t(p) WHERE size > 0 AND p * source_size + start < need),
+    pieces AS (
+      SELECT source_no, start, unnest(range(came // 256, (least(came + size, need) - 1) // 256 + 1)) AS block FROM walked),
+    used AS (
+      SELECT source_no, start, min(slot) AS first_slot, count(DISTINCT slot) AS n_slots
+      FROM pieces JOIN schedule USING (source_no, block) GROUP BY source_no, start)
     SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
            CAST(greatest(0, least(size, need - start))
               + greatest(0, least(size, need - start - source_size))
-              + greatest(0, least(size, need - start - 2 * source_size)) AS BIGINT) AS taken
-    FROM placed
+              + greatest(0, least(size, need - start - 2 * source_size)) AS BIGINT) AS taken,
+           CASE WHEN size > 0 THEN first_slot END AS first_slot,
+           CASE WHEN size > 0 THEN coalesce(n_slots, 0) ELSE 0 END AS n_slots
+    FROM placed LEFT JOIN used USING (source_no, start)
     """,
 )
 def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     taken = mix_sources(documents(spark, folder)).taken()
-    return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 @query(

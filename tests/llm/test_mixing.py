@@ -67,6 +67,8 @@ def test_schedule_is_even(corpus):
     rows = mix.schedule.join(mix.placed.select("source_no", "target").distinct(), "source_no").select("slot", "source_no", "block", "target").distinct().collect()
     total = sum({r.source_no: r.target for r in rows}.values())
     slots = sorted(rows)
+    # Every slot number once and none left out.
+    assert [r.slot for r in slots] == list(range(len(slots)))
     for s in {r.source_no for r in rows}:
         mine = [r for r in slots if r.source_no == s]
         assert [r.block for r in mine] == list(range(len(mine)))
