@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .angular import hard_negatives
+from .ftrl import quality_scores
 from .grace import grace_dedup
 from .hmm import hmm_scores
+from .lemp import lexical_search
 from .licences import scan_licences
 from .lsh_forest import ngram_join
 from .mixing import mix_sources
@@ -179,3 +182,65 @@ def op1_hmm_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_trie_token_counts")
 def op2_trie_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query(
+    "op11_hard_negatives",
+    """
+    WITH usable AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+      FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+    scored AS (
+      SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+      FROM usable a JOIN usable b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+    positives AS (
+      SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+    negatives AS (
+      SELECT p.anchor_id, p.positive_id,
+             row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank,
+             s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+      FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+      WHERE 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score)
+    SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+    FROM negatives WHERE rank <= 5
+    """,
+)
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+@query(
+    "op12_lexical_search",
+    r"""
+    WITH tokens AS (
+      SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+    counted AS (SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY doc_id, term),
+    sized AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM counted GROUP BY doc_id),
+    corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM sized),
+    asked AS (
+      SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    weighed AS (
+      SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+      FROM counted, corpus GROUP BY term, docs),
+    scored AS (
+      SELECT item_id, doc_id,
+             CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // words)))) AS BIGINT) AS score
+      FROM asked JOIN weighed USING (term) JOIN counted USING (term) JOIN sized USING (doc_id), corpus
+      GROUP BY item_id, doc_id)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM scored WHERE score > 0
+    QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+    """,
+)
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+@query("op13_quality_classifier")
+def op13_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
