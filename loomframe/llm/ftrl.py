@@ -23,8 +23,10 @@ from .base import id_text, ship_package, slices, staged, text_or_empty
 #: Words are runs of letters and digits, or of signs, each by itself.
 SIGNS = r"([^\pL\pM\pN_\s]+)"
 LONGEST = 3
-BITS = 20
+BITS = 18
 _SLICE = 6 << 20
+#: Places whose states travel in one row.
+_CHUNK = 1 << 12
 #: Odd numbers that spread the hashes of words over 64 bits, one for each place in an n-gram.
 _SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: What stands for a word that is the same as the one before it.
@@ -103,11 +105,10 @@ def _teach(state, bits: int, passes: int, settings: tuple):
             for _ in range(passes):
                 for at, x, label in rows:
                     leader.step(at, x, label)
-            moved = np.flatnonzero(leader.n > n0)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(moved), shard, np.int32)), pa.array(moved), pa.array(leader.z[moved]), pa.array(leader.n[moved])],
-                names=["shard", "place", "z", "n"],
-            )
+            starts = range(0, len(z0), _CHUNK)
+            z, n = ([x[k : k + _CHUNK].tobytes() for k in starts] for x in (leader.z, leader.n))
+            chunks = pa.array(np.arange(len(starts), dtype=np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), shard, np.int32)), chunks, pa.array(z), pa.array(n)], names=["shard", "chunk", "z", "n"])
 
         for batch in slices(batches, "text", _SLICE):
             text, place, value = features(batch.column("text"), bits)
@@ -125,6 +126,23 @@ def _teach(state, bits: int, passes: int, settings: tuple):
     return run
 
 
+def _mix(state):
+    """One chunk of the common state from those of all shards."""
+
+    def run(key, table: pa.Table) -> pa.Table:
+        table = table.sort_by("shard")
+        at = slice(key[0].as_py() * _CHUNK, (key[0].as_py() + 1) * _CHUNK)
+        z0, n0 = (x[at] for x in state.value)
+        z, n = (np.array([np.frombuffer(x) for x in table[c].to_pylist()]) for c in ("z", "n"))
+        gain = n - n0
+        whole = gain.sum(axis=0)
+        share = gain / np.where(whole > 0, whole, 1)
+        mixed = [np.where(whole > 0, (share * x).sum(axis=0), x0) for x, x0 in ((z, z0), (n, n0))]
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "z": [mixed[0].tobytes()], "n": [mixed[1].tobytes()]})
+
+    return run
+
+
 def _score(weights, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
@@ -147,7 +165,7 @@ def quality_scores(
     most_labelled: int = 200_000,
     shard_rows: int = 8_192,
     rounds: int = 2,
-    passes: int = 4,
+    passes: int = 2,
     bits: int = BITS,
     alpha: float = 0.5,
     beta: float = 1.0,
@@ -194,18 +212,11 @@ def quality_scores(
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     for _ in range(rounds):
         state = spark.sparkContext.broadcast((z, n))
-        ordered = learn.repartition(shards, "shard").sortWithinPartitions("shard", "__at", "doc_id").select("shard", "label", "text")
-        found = ordered.mapInArrow(_teach(state, bits, passes, (alpha, beta, l1, l2)), "shard int, place long, z double, n double")
-        # At most one row per shard and place, and per place after this.
-        mixed = found.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("shard", "z", "n"))).alias("states"))
-        table = mixed.toArrow()
-        place = table["place"].to_numpy()
-        states = table["states"].combine_chunks()
-        of = np.repeat(np.arange(len(place)), pc.list_value_length(states).to_numpy())
-        zs, ns = (states.flatten().field(c).to_numpy() for c in ("z", "n"))
-        gain = ns - n[place][of]
-        gains = np.bincount(of, gain, len(place))
-        z[place], n[place] = (np.bincount(of, gain * x, len(place)) / gains for x in (zs, ns))
+        # By range, so that every shard is a task of its own.
+        ordered = learn.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "__at", "doc_id").select("shard", "label", "text")
+        found = ordered.mapInArrow(_teach(state, bits, passes, (alpha, beta, l1, l2)), "shard int, chunk int, z binary, n binary")
+        mixed = found.groupBy("chunk").applyInArrow(_mix(state), "chunk int, z binary, n binary").toArrow().sort_by("chunk")
+        z, n = (np.frombuffer(b"".join(mixed[c].to_pylist())).copy() for c in ("z", "n"))
     weights = spark.sparkContext.broadcast(Leader(z, n, alpha, beta, l1, l2).weights(slice(None)))
     scored = rows.select("doc_id", "held_out", "text").mapInArrow(
         _score(weights, bits), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double"

@@ -13,7 +13,7 @@ from loomframe.llm.ftrl import _SPREAD, Leader, features, quality_scores
 FIELD = (1 << 64) - 1
 
 
-def plain_features(text, bits=20, longest=3):
+def plain_features(text, bits=18, longest=3):
     """The same vector, word by word."""
     words = re.sub(r"([^\w\s]+)", r" \1 ", text).split()
     codes = []
