@@ -129,7 +129,7 @@ def _teach(state, bits: int, passes: int, settings: tuple):
 def _mix(state):
     """One chunk of the common state from those of all shards."""
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         table = table.sort_by("shard")
         at = slice(key[0].as_py() * _CHUNK, (key[0].as_py() + 1) * _CHUNK)
         z0, n0 = (x[at] for x in state.value)
