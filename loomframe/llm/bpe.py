@@ -19,7 +19,12 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _SPACE = r"[\s\v\x{1c}-\x{1f}\x{85}\p{Z}]"
 _UNCUT = f"{_SPACE} (?:{_SPACE}|$)"
 
-_MOST_WORDS = 300_000
+#: A word that the split leaves whole but for the stop behind it: letters of one code range only,
+#: which every version of the Unicode tables calls letters.
+_STOPPED = r"^[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+[.,]$"
+
+#: Words that a worker keeps, in two generations, and the longest that it keeps.
+_MOST_WORDS, _LONGEST_KEPT = 450_000, 64
 
 #: Texts are encoded in slices of so many bytes; the longer, the fewer words come twice.
 ENCODE_BYTES = 8 << 20
@@ -49,48 +54,60 @@ class Encoder:
         self.model = self.tokenizer.model
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
+        self.space = chr(self.letters[32])
         self.split = regex.compile(PATTERN)
         self.latin = re.compile("[\x00-ɏ]*").fullmatch
         # Words of this generation and of the one before it; what is asked for again moves up.
+        # A word between spaces, without its space, and a part of one as the pattern splits it.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ids(self, part: str) -> bytes:
+        if part.isascii() and part.isprintable():
+            mapped = part.replace(" ", self.space)
+        else:
+            mapped = part.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
     def _part(self, part: str) -> bytes:
-        ids = self.known.get(part)
+        ids = self.parts.get(part)
         if ids is None:
-            ids = self.older.get(part)
-            if ids is None:
-                mapped = part.encode().decode("latin-1").translate(self.letters)
-                ids = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-            self.known[part] = ids
+            ids = self._ids(part)
+            if len(part) <= _LONGEST_KEPT:
+                self.parts[part] = ids
         return ids
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        if len(self.known) > _MOST_WORDS:
-            self.known, self.older = {}, self.known
-        known, older, part, split, hard = self.known, self.older, self._part, self.split.findall, []
-        out = list(map(known.get, pieces))
+    def _pieces(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of lead + word, for words without a space in them."""
+        known, older = (self.known, self.older) if lead else ({}, {})
+        part, split, latin, hard = self._part, self.split.findall, self.latin, []
+        out = list(map(known.get, words))
         for k in [k for k, ids in enumerate(out) if ids is None]:
-            piece = pieces[k]
-            ids = older.get(piece)
+            word = words[k]
+            ids = older.get(word)
             if ids is None:
-                if not self.latin(piece):
+                if not word.isascii() and not latin(word):
                     hard.append(k)
                     continue
-                word = piece[1:]
-                if word.isalpha() and piece[0] == " ":
-                    out[k] = part(piece)
-                    continue
-                if piece[-1] in ".," and piece[1:-1].isalpha() and piece[0] == " ":
-                    ids = part(piece[:-1]) + part(piece[-1])
+                if word.isalpha():
+                    ids = self._ids(lead + word)
                 else:
-                    ids = b"".join([part(x) for x in split(piece)])
-            known[piece] = out[k] = ids
-        for k, ids in zip(hard, self._whole([pieces[k] for k in hard]), strict=True):
-            out[k] = known[pieces[k]] = ids
+                    ids = b"".join([part(x) for x in split(lead + word)])
+            out[k] = ids
+            if len(word) <= _LONGEST_KEPT:
+                known[word] = ids
+        for k, ids in zip(hard, self._whole([lead + words[k] for k in hard]), strict=True):
+            out[k] = ids
+            if len(words[k]) <= _LONGEST_KEPT:
+                known[words[k]] = ids
+        if len(self.known) > _MOST_WORDS:
+            self.known, self.older = {}, self.known
+        if len(self.parts) > _MOST_WORDS:
+            self.parts = {}
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -109,21 +126,30 @@ class Encoder:
         heads = np.cumsum(per_text) - per_text
         coded = split.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        first = [w or None for w in coded.dictionary.take(pa.array(codes[heads])).to_pylist()]
-        table = self._pieces([" " + w for w in coded.dictionary.to_pylist()])
+        firsts = coded.dictionary.take(pa.array(codes[heads])).to_numpy(zero_copy_only=False).tolist()
+        # Words without their stops, each once; the stops follow them as entries of their own.
+        stopped = pc.match_substring_regex(coded.dictionary, _STOPPED)
+        cores = pc.if_else(stopped, pc.utf8_slice_codeunits(coded.dictionary, 0, -1), coded.dictionary).dictionary_encode()
+        table = self._pieces(cores.dictionary.to_numpy(zero_copy_only=False).tolist(), " ")
+        n_cores = len(table)
+        stop = np.where(stopped.to_numpy(zero_copy_only=False), np.where(pc.ends_with(coded.dictionary, ".").to_numpy(zero_copy_only=False), n_cores, n_cores + 1), -1)
         # The first piece of a text has no space before it and an entry of its own.
-        starts = self._pieces([w for w in first if w is not None])
-        at = iter(starts)
-        table += [next(at) if w is not None else b"" for w in first]
-        codes[heads] = len(coded.dictionary) + np.arange(n)
+        table += [self._part("."), self._part(","), *self._pieces(firsts, "")]
         if whole.any():
             rows = np.flatnonzero(whole)
             for k, ids in zip(rows, self._whole(texts.take(pa.array(rows)).to_pylist()), strict=True):
-                table[len(coded.dictionary) + k] = ids
-        # Taking rows of a binary array lays the ids of all pieces end to end.
-        laid = pa.array(table, pa.large_binary()).take(pa.array(codes))
+                table[n_cores + 2 + k] = ids
+        core, behind = cores.indices.to_numpy(zero_copy_only=False).astype(np.int64)[codes], stop[codes]
+        core[heads], behind[heads] = n_cores + 2 + np.arange(n), -1
+        ends = np.cumsum(1 + (behind >= 0))
+        entries = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+        entries[ends - 1] = np.where(behind >= 0, behind, core)
+        entries[ends[behind >= 0] - 2] = core[behind >= 0]
+        # Taking rows of a binary array lays the ids of all entries end to end.
+        laid = pa.array(table, pa.large_binary()).take(pa.array(entries))
         offsets = np.frombuffer(laid.buffers()[1], np.int64, len(laid) + 1) >> 2
-        return np.frombuffer(laid.buffers()[2] or b"", "<u4")[: offsets[-1]], np.diff(offsets[np.append(heads, len(laid))])
+        of_text = np.append(ends[heads] - 1, len(laid)) if n else np.zeros(1, np.int64)
+        return np.frombuffer(laid.buffers()[2] or b"", "<u4")[: offsets[-1]], np.diff(offsets[of_text])
 
 
 @lru_cache(maxsize=2)
