@@ -47,6 +47,7 @@ from loomframe.operators.select import (
     textual,
 )
 from loomframe.operators.windows import (
+    Mergeable,
     center,
     cumprod,
     cumsum,

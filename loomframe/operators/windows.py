@@ -7,9 +7,11 @@ whose result depends on the order of tied rows stop on a tie.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomframe.functions.missing import standard_score
 from loomframe.functions.scalars import change_ratio
@@ -222,18 +224,49 @@ def cumprod(
     return cumulate(blocks, blocks.df, x, out, F.product, lambda a, b: a * b, 1.0, na_rm)
 
 
-_ROLLING: dict[str, Callable[[Column], Column]] = {
-    "mean": F.avg,
-    "sum": F.sum,
-    "min": F.min,
-    "max": F.max,
+@dataclass(frozen=True)
+class Mergeable:
+    """A statistic of rows that can be put together from the statistics of parts of them.
+
+    ``parts`` maps a name to (aggregate, join): the aggregate of a column's values, and how
+    the values of two neighbouring runs of rows, the earlier one first, become that of both.
+    Missing values of a part (no usable row) are stepped over. ``finish`` makes the result
+    from the parts by name.
+    """
+
+    parts: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]]
+    finish: Callable[[dict[str, Column]], Column]
+
+    def joined(self, name: str, earlier: Column, later: Column) -> Column:
+        both = self.parts[name][1](earlier, later)
+        return F.when(earlier.isNull(), later).when(later.isNull(), earlier).otherwise(both)
+
+
+def _add(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _one(agg: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> Mergeable:
+    return Mergeable({"v": (agg, join)}, lambda p: p["v"])
+
+
+_MEAN = Mergeable({"sum": (F.sum, _add), "n": (F.count, _add)}, lambda p: p["sum"] / F.nullif(p["n"], F.lit(0)))
+
+_ROLLING: dict[str, tuple[Callable[[Column], Column], Mergeable]] = {
+    "mean": (F.avg, _MEAN),
+    "sum": (F.sum, _one(F.sum, _add)),
+    "min": (F.min, _one(F.min, F.least)),
+    "max": (F.max, _one(F.max, F.greatest)),
 }
 
+# Frames above so many rows are put together from two running values instead of walked.
+WIDE_FRAME = 100
+
 
 def rolling(
     df: DataFrame,
     x: str,
-    f: str | Callable[[Column], Column] = "mean",
+    f: str | Mergeable | Callable[[Column], Column] = "mean",
     before: int = 1,
     by: Sequence[str] = (),
     order_by=(),
@@ -244,12 +277,23 @@ def rolling(
 ) -> DataFrame:
     """One value from the current and the ``before`` rows ahead of it.
 
-    ``f`` is "mean", "sum", "min", "max" or any aggregate. With ``complete`` a window
-    reaching over the start of the group gives null.
+    ``f`` is "mean", "sum", "min", "max", a ``Mergeable`` or any aggregate. With ``complete`` a
+    window reaching over the start of the group gives null. The cost of a row does not depend
+    on the frame, but for an aggregate of which nothing is known: it walks each row's frame.
     """
-    agg = _ROLLING[f] if isinstance(f, str) else f
     blocks = OrderedBlocks(df, by, order_by, limit)
     rows = blocks.with_lookback(before)
+    if isinstance(f, str):
+        agg, merge = _ROLLING[f]
+    else:
+        agg, merge = (None, f) if isinstance(f, Mergeable) else (f, None)
+    if merge is not None and (agg is None or before >= WIDE_FRAME):
+        kind = df.agg(agg(F.col(x)).alias("v")).schema["v"].dataType if agg is not None else None
+        if f == "mean" and not isinstance(df.schema[x].dataType, T.DecimalType):
+            rows = rows.withColumn("__x", F.col(x).cast("double"))
+        else:
+            rows = rows.withColumn("__x", F.col(x))
+        return blocks.finish(_rolling_wide(blocks, rows, merge, kind, before, out, complete, na_rm))
     frame = blocks.window().rowsBetween(-before, 0)
     value, size = agg(F.col(x)).over(frame), F.count(F.lit(1)).over(frame)
     usable = F.lit(True)
@@ -260,6 +304,39 @@ def rolling(
     return blocks.finish(rows.withColumn(out, blocks.ordered(F.when(usable, value))))
 
 
+def _rolling_wide(blocks: OrderedBlocks, rows: DataFrame, merge: Mergeable, kind, before: int, out: str, complete: bool, na_rm: bool) -> DataFrame:
+    """Rolling values of column __x from two running values per row.
+
+    The rows of a block are cut into runs as long as the frame. A frame then is the end of one
+    run and the beginning of the next: the value from a row to its run's end, taken from the
+    row where the frame begins, joined to the value from its run's start to the current row.
+    """
+    size = before + 1
+    merge = Mergeable({**merge.parts, "__missing": (lambda c: F.count_if(c.isNull()), _add)}, merge.finish)
+    names = list(merge.parts)
+    rows = rows.withColumn("__rn", blocks.ordered(F.row_number().over(blocks.window())))
+    rows = rows.withColumn("__run", F.floor((F.col("__rn") - 1) / F.lit(size)))
+    run = Window.partitionBy(*blocks.keys, "__run")
+    upto = Window.unboundedPreceding, Window.currentRow
+    onward, back = (run.orderBy(order).rowsBetween(*upto) for order in (F.col("__rn").asc(), F.col("__rn").desc()))
+    rows = rows.withColumn("__tail", F.struct(*[merge.parts[n][0](F.col("__x")).over(back).alias(n) for n in names]))
+    rows = rows.withColumn("__head", F.struct(*[merge.parts[n][0](F.col("__x")).over(onward).alias(n) for n in names]))
+    # In the order of the running value, so that the rows need no further sort.
+    along = Window.partitionBy(*blocks.keys).orderBy("__run", "__rn")
+    # Before the first full frame, all rows from the start: the run's running value says it.
+    whole = F.col("__rn") % size == 0
+    rows = rows.withColumn("__from", F.when(~whole, F.lag("__tail", before).over(along)))
+    parts = {n: merge.joined(n, F.col("__from")[n], F.col("__head")[n]) for n in names}
+    value = merge.finish({n: c for n, c in parts.items() if n != "__missing"})
+    value = value if kind is None else value.cast(kind)
+    usable = F.lit(True)
+    if complete:
+        usable = usable & (F.col("__rn") >= size)
+    if not na_rm:
+        usable = usable & (parts["__missing"] == 0)
+    return rows.withColumn(out, F.when(usable, value)).drop("__x", "__rn", "__run", "__tail", "__head", "__from")
+
+
 def rolling_list(
     df: DataFrame,
     fields: Sequence[str],

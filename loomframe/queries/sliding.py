@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from loomframe import functions as L
 from loomframe import operators as op
-from loomframe.queries.registry import MONEY, SALES, money, query, sales
+from loomframe.queries.registry import GAPPY, MONEY, SALES, events_with_gaps, money, query, sales
 from loomframe.sources import table
 
 
@@ -203,6 +203,26 @@ def win_rolling_mean(spark, sf):
     return rolled.select("event_id", F.round("rolling", 6).alias("rolling"))
 
 
+_WIDE = "(order by ts, event_id rows between 2499 preceding and current row)"
+
+
+@query(
+    f"""select event_id, case when count(*) over w = 2500 then cast(sum(cast(v as decimal(18,2))) over w as double) end as total,
+          case when count(*) over w = 2500 then round(max(v) over w - min(v) over w, 6) end as spread
+        from {GAPPY} window w as {_WIDE}"""
+)
+def win_rolling_wide(spark, sf):
+    """Frames of 2,500 rows over the whole table: a sum, and the range as a statistic of two parts."""
+    events = events_with_gaps(spark, sf).select("event_id", "ts", F.col("v").cast("decimal(18,2)").alias("v"))
+    span = op.Mergeable(
+        {"low": (F.min, F.least), "high": (F.max, F.greatest)}, lambda p: p["high"] - p["low"]
+    )
+    over = {"before": 2499, "order_by": ["ts", "event_id"], "na_rm": True}
+    rolled = op.rolling(events, "v", "sum", out="total", **over)
+    rolled = op.rolling(rolled, "v", span, out="spread", **over)
+    return rolled.select("event_id", F.col("total").cast("double"), F.col("spread").cast("double"))
+
+
 @query(
     f"""select event_id, case when count(*) over w = 3 then
           round(max(value) over w - min(value) over w, 6) end as spread,

@@ -148,3 +148,47 @@ def test_nothing_is_broadcast_beyond_the_limit(spark, skewed):
     finally:
         spark.conf.unset("loomframe.broadcastBytes")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", automatic)
+
+
+@pytest.mark.parametrize(
+    "name,before,size", [("mean", 0, 700), ("sum", 1, 100), ("min", 7, 100), ("max", 150, 100), ("mean", 150, 10**6), ("sum", 3000, 10**6)]
+)
+def test_wide_frames_are_put_together(skewed, monkeypatch, name, before, size):
+    """The two running values against a walk over every frame."""
+    for na_rm, complete in ((True, False), (False, True)):
+        both = []
+        for wide in (0, 10**9):
+            monkeypatch.setattr("loomframe.operators.windows.WIDE_FRAME", wide)
+            both.append(op.rolling(skewed, "x", name, before, ["g"], ["o", "id"], out="c", complete=complete, na_rm=na_rm, limit=size))
+        assert both[0].schema == both[1].schema
+        agree(*both, "c")
+
+
+def test_wide_frames_without_groups_and_types(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id", "cast(id % 7 as int) i", "cast(id % 11 as decimal(9,2)) d", "date_add(date'2020-01-01', cast(id * 37 % 101 as int)) t")
+    for x, names in (("i", ("mean", "sum")), ("d", ("mean", "sum")), ("t", ("max",))):
+        for name in names:
+            both = []
+            for wide in (0, 10**9):
+                monkeypatch.setattr("loomframe.operators.windows.WIDE_FRAME", wide)
+                both.append(op.rolling(df, x, name, 120, order_by="-id", out="c", limit=500))
+            assert both[0].schema == both[1].schema
+            agree(*both, "c")
+
+
+def test_own_statistic_of_parts(skewed, limit):
+    """Population variance from counts, sums and sums of squares."""
+    add = lambda a, b: a + b
+    spread = op.Mergeable(
+        {"n": (F.count, add), "s": (F.sum, add), "q": (lambda c: F.sum(c * c), add)},
+        lambda p: p["q"] / F.nullif(p["n"], F.lit(0)) - F.pow(p["s"] / F.nullif(p["n"], F.lit(0)), F.lit(2)),
+    )
+    got = op.rolling(skewed, "x", spread, 40, ["g"], ["o", "id"], out="c", complete=False, na_rm=True, limit=limit)
+    frame = along().rowsBetween(-40, 0)
+    agree(got.withColumn("c", F.round("c", 6)), skewed.withColumn("c", F.round(F.var_pop("x").over(frame), 6)), "c")
+
+
+def test_cost_of_a_row_does_not_grow_with_the_frame(skewed):
+    """No frame of the wide form reaches back a number of rows."""
+    plan = op.rolling(skewed, "x", "max", 2000, ["g"], ["o", "id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "specifiedwindowframe(RowFrame, -2000, currentrow" not in plan
