@@ -89,6 +89,23 @@ def join_theta_ge(spark, sf):
     return op.join_inequality(customer, nation_levels(spark, sf), "c_acctbal", ">=", "level")
 
 
+@query(
+    """select e.event_id, p.event_id as purchase, p.floor
+       from (select * from events where event_type = 'error') e
+       left join (select event_id, ts as at, value + 150 as floor from events where event_type = 'purchase') p
+         on e.ts < p.at and e.value > p.floor"""
+)
+def join_two_inequalities(spark, sf):
+    """Errors with all later purchases that are worth less by more than 150."""
+    events = table(spark, sf, "events")
+    errors = events.where("event_type = 'error'").select("event_id", "ts", "value")
+    bought = events.where("event_type = 'purchase'").select(
+        F.col("event_id").alias("purchase"), F.col("ts").alias("at"), (F.col("value") + 150).alias("floor")
+    )
+    pairs = op.join_inequalities(errors, bought, [("ts", "<", "at"), ("value", ">", "floor")], key=["event_id"])
+    return pairs.select("event_id", "purchase", "floor")
+
+
 @query(
     f"""select o_orderkey, o_totalprice, threshold, tier from orders
           asof left join (select distinct cast(p_size * 10000 as double) as threshold,
