@@ -32,7 +32,14 @@ from loomframe.operators.reshape import (
     separate_delim,
     separate_position,
 )
-from loomframe.operators.scan import accumulate, accumulate_affine, chain_index, record_id
+from loomframe.operators.scan import (
+    Steps,
+    accumulate,
+    accumulate_affine,
+    chain_index,
+    clamped,
+    record_id,
+)
 from loomframe.operators.select import (
     drop_matching_rows,
     drop_positions,

@@ -1,14 +1,17 @@
 """Recurrences: each row's value from the previous row's value.
 
 A linear step ``k -> a*k + b`` is a map, and maps compose, so a large group is folded
-block by block and the block results are chained afterwards. A step that is an
-arbitrary function can only be followed row by row; its group streams through one task
-in sorted Arrow batches and is never held as a whole.
+block by block and the block results are chained afterwards. So does any other family of
+steps that is closed under composition (``Steps``). A step that is an arbitrary function
+can only be followed row by row; its group streams through one task in sorted Arrow batches
+and is never held as a whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +23,10 @@ from loomframe.functions.missing import col_of
 from loomframe.operators.windows import cumsum, cumulate
 from loomframe.plans.blocks import LARGE, WHOLE_GROUPS, OrderedBlocks
 from loomframe.plans.matching import lookup_join
+from loomframe.plans.sizing import ROWS_PER_BLOCK
 
-_ROW, _MULT, _ADD = "__row", "__mult", "__add"
+_ROW, _FIRST = "__row", "__k0"
+_MULT, _ADD, _LOW, _HIGH = "__mult", "__add", "__low", "__high"
 _SCALE, _SHIFT = "__scale", "__shift"
 
 
@@ -82,6 +87,62 @@ def _composed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(compose, schema)
 
 
+def _composed_steps(rows: DataFrame, names: Sequence[str], combine: Callable, first: str | None = None) -> DataFrame:
+    """Replace each row's step by the composition of all steps of its block up to the row.
+
+    A step is given by the columns ``names``; ``combine`` takes two dicts of their arrays, of
+    earlier and of later steps, and returns that of the compositions. Rows of a batch are
+    composed in doubling distances, so a batch of n rows takes log(n) vectorised passes
+    (short blocks: row after row, all blocks at once). ``first`` names a column whose value at
+    the block's first row is put on all its rows.
+    """
+    names = list(names)
+
+    # Defined here, so that it travels to the workers as code and not as an import.
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = begun = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            number = batch.column(_ROW).to_numpy(zero_copy_only=False)
+            steps = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(float, copy=True) for c in names}
+            rows = np.arange(len(number))
+            heads = np.maximum.accumulate(np.where(number == 1, rows, 0))
+            place, longest = rows - heads, 1
+            with np.errstate(over="ignore", invalid="ignore"):
+                # What came before the batch goes on until its first new block.
+                if number[0] != 1:
+                    one = combine({c: before[c] for c in names}, {c: steps[c][:1] for c in names})
+                    for c in names:
+                        steps[c][:1] = one[c]
+                if place.max() * 20 < len(place):
+                    # Many short blocks: their second rows at once, then their third rows ...
+                    order = np.argsort(place, kind="stable")
+                    ends = np.searchsorted(place[order], np.arange(1, place.max() + 2))
+                    turns = [(order[lo:hi], 1) for lo, hi in zip(ends[:-1], ends[1:])]
+                else:
+                    turns = []
+                    while longest <= place.max():
+                        turns.append((np.flatnonzero(place >= longest), longest))
+                        longest *= 2
+                for at, back in turns:
+                    both = combine({c: steps[c][at - back] for c in names}, {c: steps[c][at] for c in names})
+                    for c in names:
+                        steps[c][at] = both[c]
+            before = {c: steps[c][-1:] for c in names}
+            columns = {n: batch.column(n) for n in batch.schema.names} | {c: pa.array(steps[c]) for c in names}
+            if first is not None:
+                value = batch.column(first).to_numpy(zero_copy_only=False).astype(float)
+                opened = value[heads]
+                if number[0] != 1:
+                    opened[heads == 0] = begun
+                begun = opened[-1]
+                columns[first] = pa.array(opened)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return rows.mapInArrow(compose, rows.schema)
+
+
 def accumulate_affine(
     df: DataFrame,
     mult: Column | float,
@@ -135,6 +196,12 @@ def accumulate_affine(
     return joined.select(*kept, F.nanvl(value, F.lit(None)).alias(out))
 
 
+def _block_ends(blocks: OrderedBlocks, local: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The last row's values of each block of the large groups."""
+    ends = local.where(LARGE).groupBy(*blocks.keys).agg(F.max_by(F.struct(*names), _ROW).alias("__end"))
+    return ends.select(*blocks.keys, *[F.col("__end")[n].alias(n) for n in names])
+
+
 def _column(x: Column | float) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
@@ -160,21 +227,92 @@ def chain_index(
     return done.withColumn(out, F.col(out) * init).drop("__factor")
 
 
+@dataclass(frozen=True)
+class Steps:
+    """Steps k -> f(k) of a family in which the composition of two steps is a step again.
+
+    ``params`` are the numbers that make up a row's step (a missing one makes the rest of the
+    group missing), ``identity`` those of the step that changes nothing. ``combine(earlier,
+    later)`` takes and returns dicts of numpy arrays, ``apply(params, k)`` columns.
+    """
+
+    params: dict[str, Column]
+    identity: dict[str, float]
+    combine: Callable[[dict, dict], dict]
+    apply: Callable[[dict[str, Column], Column], Column]
+
+
+def clamped(
+    mult: Column | float = 1.0,
+    add: Column | float | str = 0.0,
+    low: Column | float | str | None = None,
+    high: Column | float | str | None = None,
+) -> Steps:
+    """k -> mult * k + add, not below ``low`` and not above ``high``; ``mult`` must not be negative.
+
+    A decaying maximum is ``clamped(0.9, low="x")``, a stock that cannot fall below zero
+    ``clamped(1.0, "change", low=0.0)``. Where ``low`` is above ``high``, ``high`` holds.
+    """
+
+    def number(x, default: float) -> Column:
+        if x is None:
+            return F.lit(default)
+        return (F.col(x) if isinstance(x, str) else _column(x)).cast("double")
+
+    m, top = number(mult, 1.0), number(high, float("inf"))
+    checked = F.when(m < 0, F.raise_error(F.lit("a clamped step needs a multiplier that is not negative"))).otherwise(m)
+    low_ = number(low, float("-inf"))
+    bottom = F.when(low_.isNotNull() & top.isNotNull(), F.least(low_, top))
+    params = {_MULT: checked, _ADD: number(add, 0.0), _LOW: bottom, _HIGH: top}
+    identity = {_MULT: 1.0, _ADD: 0.0, _LOW: float("-inf"), _HIGH: float("inf")}
+    mult_, add_, lo, hi = _MULT, _ADD, _LOW, _HIGH
+
+    def combine(earlier, later):
+        def moved(v):
+            # A multiplier of zero makes any bound, an infinite one too, the added value.
+            with np.errstate(invalid="ignore"):
+                return np.where(later[mult_] == 0, later[add_], later[mult_] * v + later[add_])
+
+        def held(v):
+            return np.minimum(np.maximum(v, later[lo]), later[hi])
+
+        return {
+            mult_: later[mult_] * earlier[mult_],
+            add_: later[mult_] * earlier[add_] + later[add_],
+            lo: held(moved(earlier[lo])),
+            hi: held(moved(earlier[hi])),
+        }
+
+    def apply(p, k):
+        return F.least(F.greatest(p[mult_] * k + p[add_], p[lo]), p[hi])
+
+    return Steps(params, identity, combine, apply)
+
+
 def accumulate(
     df: DataFrame,
-    step: Callable[[float, object], float],
-    x: str,
+    step: Callable[[float, object], float] | Steps,
+    x: str | None,
     by: Sequence[str],
     order_by,
     init: float | None = None,
     out: str = "acc",
+    limit: int | None = None,
 ) -> DataFrame:
-    """Fold any function along each group, starting at ``init`` or the first value.
+    """Fold a step along each group, starting at ``init`` or the first value of ``x``.
+
+    With ``Steps`` (``clamped`` and families of your own) large groups, and a table without
+    groups, are cut into blocks that are composed independently and chained. The first row's
+    step is left out, as the start stands for that row.
 
-    The step may be anything, so a group cannot be divided; memory stays at one batch.
-    Prefer ``accumulate_affine``, ``cumsum`` or ``cumprod`` where they say the same: they
-    cut large groups, and an ungrouped table, into blocks.
+    Any other function of (previous, x) is followed row by row; its group cannot be divided, so
+    it streams through one task with one batch in memory, and a table without groups of more
+    than ``limit`` (4 million) rows stops.
     """
+    if isinstance(step, Steps):
+        return _accumulate_steps(df, step, x, by, order_by, init, out, limit)
+    if not by and df.count() > (ROWS_PER_BLOCK if limit is None else limit):
+        raise ValueError("a large table without groups is folded by Steps only: any other function would run in one task")
     blocks = OrderedBlocks(df, by, order_by, limit=WHOLE_GROUPS)
     rows = _sorted_rows(blocks, df.withColumn("__x", F.col(x)))
 
@@ -199,6 +337,34 @@ def accumulate(
     return rows.mapInArrow(fold, schema)
 
 
+def _accumulate_steps(df, step: Steps, x, by, order_by, init, out, limit) -> DataFrame:
+    blocks = OrderedBlocks(df, by, order_by, limit)
+    kept, names = list(df.columns), list(step.params)
+    begins, missing = blocks.is_first(F.col(_ROW)), F.lit(float("nan"))
+    start = _column(init) if init is not None else F.col(x)
+    rows = _sorted_rows(blocks, blocks.df)
+    own = {n: F.when(begins, F.lit(float(step.identity[n]))).otherwise(F.coalesce(c.cast("double"), missing)) for n, c in step.params.items()}
+    rows = rows.withColumns({**own, _FIRST: F.coalesce(F.when(begins, start.cast("double")), missing)})
+    local = _composed_steps(rows, names, step.combine, _FIRST)
+
+    def value(k: Column) -> Column:
+        # A missing parameter or start makes the result missing, whatever a maximum makes of it.
+        lost = reduce(lambda a, b: a | b, [F.isnan(n) for n in names])
+        return F.when(~lost & ~F.isnan(k), step.apply({n: F.col(n) for n in names}, k))
+
+    if not blocks.split:
+        return local.select(*kept, value(F.col(_FIRST)).alias(out))
+    ends = _block_ends(blocks, local, [*names, _FIRST])
+    chain = OrderedBlocks(ends, blocks.by, blocks.keys[-1], limit=WHOLE_GROUPS)
+    chained = _composed_steps(_sorted_rows(chain, chain.df), names, step.combine, _FIRST)
+    reached = chained.withColumn("__reached", value(F.col(_FIRST)))
+    entering = reached.select(*blocks.keys, F.coalesce(F.lag("__reached").over(chain.window()), missing).alias("__enter"))
+    joined = lookup_join(local, entering, blocks.keys, small=blocks.fits(entering))
+    opened = F.coalesce(F.col(blocks.keys[-1]), F.lit(0)) == 0
+    k = F.when(opened, F.col(_FIRST)).otherwise(F.col("__enter"))
+    return joined.select(*kept, value(k).alias(out))
+
+
 def record_id(
     df: DataFrame,
     opens: Column,

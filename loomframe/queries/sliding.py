@@ -187,6 +187,15 @@ def scan_custom(spark, sf):
     return folded.select("event_id", "acc")
 
 
+@query(_fold_sql("least(greatest(k.acc * 0.8765432109876::double + 1, e.value), 400)", "value", "", "round(acc, 4)"))
+def scan_custom_global(spark, sf):
+    """A decaying maximum over the whole table, cut into blocks: its steps compose."""
+    events = table(spark, sf, "events").select("event_id", "value")
+    steps = op.clamped(0.8765432109876, 1.0, low="value", high=400.0)
+    folded = op.accumulate(events, steps, "value", [], "event_id")
+    return folded.select("event_id", F.round("acc", 4).alias("acc"))
+
+
 _FRAME = "(partition by user_id order by ts rows between 2 preceding and current row)"
 
 

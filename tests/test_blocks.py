@@ -192,3 +192,62 @@ def test_cost_of_a_row_does_not_grow_with_the_frame(skewed):
     """No frame of the wide form reaches back a number of rows."""
     plan = op.rolling(skewed, "x", "max", 2000, ["g"], ["o", "id"])._jdf.queryExecution().optimizedPlan().toString()
     assert "specifiedwindowframe(RowFrame, -2000, currentrow" not in plan
+
+
+def plain_fold(rows_, step, init=None):
+    """Values by id of (g, o, id, x) rows, one group after the other."""
+    got, k, group = {}, None, object()
+    for g, o, i, x in sorted(rows_, key=lambda r: (r[0], r[1], r[2])):
+        if g != group:
+            group, k = g, (x if init is None else init)
+        else:
+            k = None if k is None or x is None else step(k, x)
+        got[i] = k
+    return got
+
+
+@pytest.mark.parametrize("size", [100, 700, 10**6])
+def test_clamped_steps_compose(skewed, size):
+    """Blocks against a walk, row by row; values that are missing end their group."""
+    full = skewed.withColumn("x", F.coalesce("x", F.lit(0.5)) - 40)
+    data = [(r.g, r.o, r.id, r.x) for r in full.collect()]
+    cases = [
+        (op.clamped(0.9, low="x"), lambda k, x: max(0.9 * k, x), None),
+        (op.clamped(1.0, "x", low=0.0), lambda k, x: max(k + x, 0.0), 10.0),
+        (op.clamped(F.when(F.col("x") > 0, 0.0).otherwise(1.1), "x", -50.0, 60.0), lambda k, x: min(max((0.0 if x > 0 else 1.1) * k + x, -50.0), 60.0), None),
+    ]
+    for steps, walk, init in cases:
+        got = op.accumulate(full, steps, "x", ["g"], ["o", "id"], init=init, limit=size)
+        want = plain_fold(data, walk, init)
+        assert {r.id: r.acc for r in got.collect()} == pytest.approx(want, abs=1e-6)
+    holes = [(r.g, r.o, r.id, r.x) for r in skewed.collect()]
+    want = plain_fold(holes, lambda k, x: max(0.9 * k, x))
+    got = {r.id: r.acc for r in op.accumulate(skewed, op.clamped(0.9, low="x"), "x", ["g"], ["o", "id"], limit=size).collect()}
+    assert {i for i, v in got.items() if v is None} == {i for i, v in want.items() if v is None}
+    assert {i: v for i, v in got.items() if v is not None} == pytest.approx({i: v for i, v in want.items() if v is not None})
+
+
+def test_steps_without_groups_and_of_own_family(spark):
+    """Remainders of a linear step: a family of its own, over a table that is cut."""
+    df = spark.range(3000).withColumn("m", (F.col("id") * 37 % 11).cast("double"))
+    steps = op.Steps(
+        {"__m": F.col("m"), "__c": F.col("id") % 5},
+        {"__m": 1.0, "__c": 0.0},
+        lambda a, b: {"__m": a["__m"] * b["__m"] % 97, "__c": (b["__m"] * a["__c"] + b["__c"]) % 97},
+        lambda p, k: (p["__m"] * k + p["__c"]) % 97,
+    )
+    got = [r.acc for r in op.accumulate(df, steps, None, [], "id", init=3.0, limit=500).orderBy("id").collect()]
+    k, want = 3, [3]
+    for i in range(1, 3000):
+        k = (i * 37 % 11 * k + i % 5) % 97
+        want.append(k)
+    assert got == want
+
+
+def test_other_functions_stop_on_a_large_table_without_groups(spark):
+    df = spark.range(50).withColumn("x", F.col("id").cast("double"))
+    assert op.accumulate(df, lambda k, x: k + x, "x", [], "id").count() == 50
+    with pytest.raises(ValueError, match="Steps"):
+        op.accumulate(df, lambda k, x: k + x, "x", [], "id", limit=10)
+    with pytest.raises(Exception, match="not negative"):
+        op.accumulate(df, op.clamped(-1.0), "x", [], "id").collect()
