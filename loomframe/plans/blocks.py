@@ -7,9 +7,10 @@ its own, and what a block needs to know about earlier rows is brought to it:
 * ``carry``         a summary of all earlier blocks (running sums, last values)
 * ``with_lookback`` copies of the last k rows before the block (lags, rolling frames)
 
-Which groups are large, and where to cut them, comes from a sample. The cut points are
-collected once and then stay constants of the plan, so re-running a lost task places
-every row in the same block. The sample only decides how even the blocks are, never
+Which groups are large, and where to cut them, comes from a sample that a hash of the keys
+picks. Up to a few thousand cut points are collected once and stay constants of the plan;
+more of them form a table under a short coarse list. Either way re-running a lost task
+places every row in the same block. The sample only decides how even the blocks are, never
 what a row's result is: the place of a row is found by comparing its order key with the
 cut points, and equal keys stay together.
 """
@@ -28,7 +29,7 @@ from loomframe.plans.sizing import (
     row_share,
     rows_per_block,
     seen_as_large,
-    some_rows,
+    same_rows,
     table_fits,
 )
 
@@ -39,7 +40,12 @@ BLOCK = "__block"
 COPY = "__copy"
 LARGE = "__large"
 _FIRST, _COUNT = "__first", "__count"
+_COARSE, _CELL, _CUTS = "__coarse", "__cell", "__cuts"
 _SMALLEST_BLOCK = 1_000
+_TOO_MANY = object()
+
+# Cut points up to which they are one list, and blocks of a coarse cell beyond that.
+LISTED_CUTS, FAN = 4_096, 1_024
 
 Order = list[tuple[str, bool]]
 
@@ -101,12 +107,10 @@ def leading_count(n: Column, most: int, holds: Callable[[Column], Column]) -> Co
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
 
 
-def _cut_points(df: DataFrame, by: list[str], order: Order, limit: int):
-    """The large groups' cut points, or None if there is no large group.
+def _picked(df: DataFrame, by: list[str], order: Order, limit: int) -> DataFrame:
+    """Rows (by..., k0, k1..., __rn) of a sample that cut the large groups evenly along their order.
 
-    Returns a table (by..., first, count) that says where a group's cuts lie in a list,
-    the list as a constant, and the largest count. One job over the key and order columns of a sample, from which at most about
-    (rows / limit) cut points reach the driver.
+    The sample is chosen by a hash of the keys, so a second evaluation picks the same rows.
     """
     share = row_share(limit)
     names = [f"k{i}" for i in range(len(order))]
@@ -115,20 +119,33 @@ def _cut_points(df: DataFrame, by: list[str], order: Order, limit: int):
         *sort_columns([(k, desc) for k, (_, desc) in zip(names, order)])
     )
     seen, place, parts = F.col("__seen"), F.col("__rn"), F.ceil(F.col("__seen") / share / limit)
-    picked = (
-        some_rows(keys, share)
+    return (
+        same_rows(keys, share)
         .withColumn("__seen", F.count(F.lit(1)).over(Window.partitionBy(*by)))
         .where(seen_as_large(seen, limit, share))
         .withColumn("__rn", F.row_number().over(along))
         .where(
             (F.floor(place * parts / seen) > F.floor((place - 1) * parts / seen)) & (place < seen)
         )
-        .orderBy(*by, "__rn")
+        .drop("__seen")
     )
+
+
+def _cut_points(df: DataFrame, by: list[str], order: Order, limit: int, most: int | None = None):
+    """The large groups' cut points as a list, None if there is no large group.
+
+    Returns a table (by..., first, count) that says where a group's cuts lie in the list,
+    the list as a constant, and the largest count. One job over the key and order columns of
+    a sample. With more than ``most`` cut points it returns _TOO_MANY.
+    """
+    names = [f"k{i}" for i in range(len(order))]
+    picked = _picked(df, by, order, limit).orderBy(*by, "__rn")
     cut = F.to_json(F.struct(*names), EXACT_JSON).alias("__cut")
-    rows = picked.select(*by, cut).collect()
+    rows = (picked if most is None else picked.limit(most + 1)).select(*by, cut).collect()
     if not rows:
         return None
+    if most is not None and len(rows) > most:
+        return _TOO_MANY
     cut_type = T.StructType(
         [T.StructField(k, df.schema[c].dataType) for k, (c, _) in zip(names, order)]
     )
@@ -151,6 +168,59 @@ def _cut_points(df: DataFrame, by: list[str], order: Order, limit: int):
     return table, cuts, max(count for _, count in spans.values()), (len(rows) + len(spans), width)
 
 
+def _numbered(df: DataFrame, by: list[str], order: Order, found, out: str) -> DataFrame:
+    """Add how many of the listed cut points a row comes after; null outside the groups that have any."""
+    table, cuts, most, size = found
+    if by:
+        small = size[0] * size[1] <= broadcast_bytes(df.sparkSession)
+        marked = lookup_join(df, table, by, small=small)
+    else:
+        marked = df.withColumns({_FIRST: F.lit(0), _COUNT: F.lit(most)})
+    # The list of cuts is one constant of the plan; a row carries only its place in it.
+    number = leading_count(
+        F.col(_COUNT), most, lambda i: _comes_after(order, F.get(cuts, F.col(_FIRST) + i))
+    )
+    return marked.withColumn(out, F.when(F.col(_COUNT).isNotNull(), number)).drop(_FIRST, _COUNT)
+
+
+def _two_levels(df: DataFrame, by: list[str], order: Order, limit: int) -> tuple[DataFrame, tuple[int, int]]:
+    """Blocks where the cut points are too many for a list.
+
+    A coarse list, one cut for about FAN blocks, is a constant of the plan. The cuts inside a
+    coarse cell are found in a sample of that cell, one task per cell, and reach the rows as
+    an array of at most about FAN cuts, joined by group and cell. Nothing but the coarse list
+    comes to the driver.
+    """
+    names = [f"k{i}" for i in range(len(order))]
+    coarse = _cut_points(df, by, order, limit * FAN)
+    if coarse is None:
+        marked = df.withColumn(_COARSE, F.lit(None).cast("int"))
+    else:
+        marked = _numbered(df, by, order, coarse, _COARSE)
+    inner = [*by, _CELL]
+    marked = marked.withColumn(_CELL, F.coalesce(_COARSE, F.lit(0)))
+    fine = (
+        _picked(marked, inner, order, limit)
+        .groupBy(*inner)
+        .agg(F.sort_array(F.collect_list(F.struct("__rn", *names))).alias(_CUTS))
+    )
+    measured = fine.agg(
+        F.sum(F.size(_CUTS) + 1).alias("n"),
+        F.max(F.size(_CUTS)).alias("most"),
+        F.max(F.octet_length(F.to_json(F.struct(*inner)))).alias("width"),
+    ).first()
+    marked = lookup_join(marked, fine, inner, small=table_fits(fine))
+    number = leading_count(
+        F.size(_CUTS), measured["most"] or 1, lambda i: _comes_after(order, F.get(_CUTS, i))
+    )
+    large = F.col(_COARSE).isNotNull() | F.col(_CUTS).isNotNull()
+    inside = F.when(F.col(_CUTS).isNotNull(), number).otherwise(0)
+    block = F.shiftleft(F.col(_CELL).cast("long"), 32) + inside
+    marked = marked.withColumns({BLOCK: F.when(large, block), LARGE: F.coalesce(large, F.lit(False))})
+    blocks = (measured["n"] or 0) + (coarse[3][0] if coarse else 0)
+    return marked.drop(_COARSE, _CELL, _CUTS), (blocks, 2 * (measured["width"] or 0) + 64)
+
+
 def assign_blocks(
     df: DataFrame, by: Sequence[str], order_by, limit: int | None = None
 ) -> tuple[DataFrame, tuple[int, int] | None]:
@@ -167,24 +237,13 @@ def assign_blocks(
         # A table without groups is spread over the tasks even when it is not large.
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
         limit = min(limit, max(_SMALLEST_BLOCK, -(-df.count() // tasks)))
-    found = _cut_points(df, by, order, limit)
+    found = _cut_points(df, by, order, limit, LISTED_CUTS)
     if found is None:
         return df, None
-    spans, cuts, most, size = found
-    if by:
-        small = size[0] * size[1] <= broadcast_bytes(spark)
-        marked = lookup_join(df, spans, by, small=small)
-    else:
-        marked = df.withColumns({_FIRST: F.lit(0), _COUNT: F.lit(most)})
-    # The list of cuts is one constant of the plan; a row carries only its place in it.
-    number = leading_count(
-        F.col(_COUNT),
-        most,
-        lambda i: _comes_after(order, F.get(cuts, F.col(_FIRST) + i)),
-    )
-    large = F.col(_COUNT).isNotNull()
-    marked = marked.withColumns({BLOCK: F.when(large, number), LARGE: large})
-    return marked.drop(_FIRST, _COUNT), size
+    if found is _TOO_MANY:
+        return _two_levels(df, by, order, limit)
+    marked = _numbered(df, by, order, found, BLOCK)
+    return marked.withColumn(LARGE, F.col(BLOCK).isNotNull()), found[3]
 
 
 class OrderedBlocks:

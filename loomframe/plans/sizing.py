@@ -91,6 +91,14 @@ def some_rows(df: DataFrame, share: float) -> DataFrame:
     return df if share >= 1.0 else df.where(F.rand(11) < share)
 
 
+def same_rows(df: DataFrame, share: float) -> DataFrame:
+    """A share of the rows by a hash of their values: the same ones on every evaluation."""
+    if share >= 1.0:
+        return df
+    steps = 1 << 30
+    return df.where(F.pmod(F.xxhash64(*df.columns), F.lit(steps)) < F.lit(int(share * steps)))
+
+
 def large_groups(df: DataFrame, by: Sequence[str], limit: int) -> list[Row]:
     """Groups of more than about ``limit`` rows with their sizes ``n``.
 

@@ -27,6 +27,13 @@ def limit(request):
     return request.param
 
 
+@pytest.fixture
+def two_levels(monkeypatch):
+    """Any cut points are too many for a list; a coarse cell holds three blocks."""
+    monkeypatch.setattr("loomframe.plans.blocks.LISTED_CUTS", 0)
+    monkeypatch.setattr("loomframe.plans.blocks.FAN", 3)
+
+
 def agree(got, want, *cols):
     assert rows(got, "id", *cols) == rows(want, "id", *cols)
 
@@ -251,3 +258,41 @@ def test_other_functions_stop_on_a_large_table_without_groups(spark):
         op.accumulate(df, lambda k, x: k + x, "x", [], "id", limit=10)
     with pytest.raises(Exception, match="not negative"):
         op.accumulate(df, op.clamped(-1.0), "x", [], "id").collect()
+
+
+def test_two_levels_of_cut_points(skewed, two_levels):
+    blocks = OrderedBlocks(skewed, ["g"], ["o", "id"], 100)
+    sizes = [r["count"] for r in blocks.df.where("g = 0").groupBy(BLOCK).count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 300
+    assert blocks.df.where("g <> 0").where(F.col(BLOCK).isNotNull()).count() == 0
+    # Blocks follow each other along the order, in more than one coarse cell.
+    ends = blocks.df.where("g = 0").groupBy(BLOCK).agg(F.min(F.struct("o", "id")).alias("a"), F.max(F.struct("o", "id")).alias("b")).orderBy(BLOCK).collect()
+    assert all(x["b"] < y["a"] for x, y in zip(ends, ends[1:]))
+    assert len({r[BLOCK] >> 32 for r in ends}) > 2
+
+
+def test_two_levels_give_the_same_values(skewed, two_levels):
+    running = along().rowsBetween(Window.unboundedPreceding, 0)
+    got = op.cumsum(skewed, "x", ["g"], ["o", "id"], out="c", na_rm=True, limit=100)
+    agree(got, skewed.withColumn("c", F.coalesce(F.sum("x").over(running), F.lit(0.0))), "c")
+    got = op.lag(skewed, "x", ["g"], ["o", "id"], 250, out="c", limit=100)
+    agree(got, skewed.withColumn("c", F.lag("x", 250).over(along())), "c")
+    filled = skewed.na.fill({"x": 0.5})
+    got = op.accumulate(filled, op.clamped(0.5, "x", 1.0), "x", ["g"], ["o", "id"], out="c", limit=100)
+    agree(got.withColumn("c", F.round("c", 6)), op.accumulate(filled, op.clamped(0.5, "x", 1.0), "x", ["g"], ["o", "id"], out="c", limit=10**6).withColumn("c", F.round("c", 6)), "c")
+
+
+def test_two_levels_without_groups(skewed, two_levels, monkeypatch):
+    monkeypatch.setattr("loomframe.plans.blocks._SMALLEST_BLOCK", 100)
+    everywhere = Window.orderBy("o", "id").rowsBetween(Window.unboundedPreceding, 0)
+    got = op.cumsum(skewed, "x", order_by=["o", "id"], out="c", na_rm=True, limit=100)
+    agree(got, skewed.withColumn("c", F.coalesce(F.sum("x").over(everywhere), F.lit(0.0))), "c")
+    records = op.record_id(skewed, F.col("o") % 10 == 0, ["o", "id"], limit=100)
+    agree(records, skewed.withColumn("record", F.sum((F.col("o") % 10 == 0).cast("int")).over(everywhere)), "record")
+
+
+def test_sample_is_the_same_on_any_layout(skewed):
+    from loomframe.plans.sizing import same_rows
+
+    a, b = (sorted(r.id for r in same_rows(skewed.select("id", "o").repartition(n), 0.1).collect()) for n in (2, 7))
+    assert a == b and 400 < len(a) < 800
