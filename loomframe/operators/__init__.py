@@ -25,7 +25,14 @@ from loomframe.operators.joins import (
     right_join,
     stack_rows,
 )
-from loomframe.operators.nest import group_apply, nest, nest_parts, unnest
+from loomframe.operators.nest import (
+    Reduction,
+    group_apply,
+    group_reduce,
+    nest,
+    nest_parts,
+    unnest,
+)
 from loomframe.operators.reshape import (
     pivot_longer,
     pivot_wider,

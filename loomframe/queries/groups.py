@@ -1,5 +1,6 @@
 """Grouped summaries, per-column and per-group models, group filters, row selection."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from loomframe import functions as L
@@ -236,6 +237,38 @@ def nest_map(spark, sf):
     return op.group_apply(events, ["user_id"], above, events.schema)
 
 
+_TOP = 20
+
+
+@query(
+    f"""with t as (select event_type, value, row_number() over (partition by event_type order by value desc) as r
+           from events),
+         g as (select event_type, value, lead(value) over (partition by event_type order by value desc) as next
+           from t where r <= {_TOP})
+       select event_type, cast(count(*) as bigint) as n, min(value) as least, round(max(value - next), 6) as widest_gap
+       from g group by event_type"""
+)
+def nest_reduce(spark, sf):
+    """The widest gap between neighbours among a group's largest values: groups hold a fifth of the table."""
+
+    top = _TOP
+
+    def update(state, rows):
+        largest = np.sort(np.append(state["top"] if state else [], rows["value"].to_numpy()))
+        return {"top": largest[-top:].tolist()}
+
+    def merge(a, b):
+        return {"top": sorted(a["top"] + b["top"])[-top:]}
+
+    def finish(state):
+        values = state["top"]
+        gaps = [b - a for a, b in zip(values, values[1:])]
+        return [{"n": len(values), "least": values[0], "widest_gap": round(max(gaps), 6) if gaps else None}]
+
+    f = op.Reduction(update, merge, finish, "top array<double>", "n bigint, least double, widest_gap double")
+    return op.group_reduce(table(spark, sf, "events").select("event_type", "value"), ["event_type"], f)
+
+
 @query("select user_id, event_id, event_type, value from events")
 def nest_unnest_roundtrip(spark, sf):
     events = table(spark, sf, "events").select("user_id", "event_id", "event_type", "value")
