@@ -3,7 +3,7 @@
 from loomframe.operators.arrange import arrange
 from loomframe.operators.checks import check_order_key, check_shape, join_relation
 from loomframe.operators.dominance import join_inequalities
-from loomframe.operators.grid import complete, expand_grid, missing_cells
+from loomframe.operators.grid import complete, expand_grid, gap_runs, missing_cells
 from loomframe.operators.grouped import (
     filter_at_max,
     fit_per_column,

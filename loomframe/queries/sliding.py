@@ -313,6 +313,20 @@ def check_gaps(spark, sf):
     return op.missing_cells(nation_months(spark, sf), ["n_name", "month"])
 
 
+@query(
+    """with seen as (select distinct user_id, cast(ts as date) as day from events),
+         absent as (select user_id, day from (select distinct user_id from seen)
+           cross join (select unnest(generate_series(min(day), max(day), interval 1 day))::date as day from seen)
+           anti join seen using (user_id, day)),
+         runs as (select *, day - cast(row_number() over (partition by user_id order by day) as integer) as run from absent)
+       select user_id, min(day) as first, max(day) as last, count(*) as n from runs group by user_id, run"""
+)
+def check_gap_runs(spark, sf):
+    """Runs of days on which a user has no event."""
+    days = table(spark, sf, "events").select("user_id", F.to_date("ts").alias("day"))
+    return op.gap_runs(days, "day", ["user_id"], every="day")
+
+
 @query(
     """select cast(sum(n) as bigint) as n_rows, cast(11 as bigint) as n_cols,
          count(*) as n_keys, max(n) = 1 as grain_unique, max(n) = 1 as as_expected
