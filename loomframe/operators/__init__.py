@@ -25,6 +25,7 @@ from loomframe.operators.joins import (
     right_join,
     stack_rows,
 )
+from loomframe.operators.models import fit_linear
 from loomframe.operators.nest import (
     Reduction,
     group_apply,

@@ -143,6 +143,25 @@ def model_per_group(spark, sf):
     return _rounded(op.fit_per_group(lines, "l_extendedprice", "l_quantity", ["l_returnflag"]))
 
 
+@query(
+    """with s as (
+         select l_returnflag, count(*) as n, avg(l_extendedprice) as y, avg(l_quantity) as a, avg(l_discount) as b,
+           covar_pop(l_extendedprice, l_quantity) as ya, covar_pop(l_extendedprice, l_discount) as yb,
+           covar_pop(l_quantity, l_discount) as ab, var_pop(l_quantity) as aa, var_pop(l_discount) as bb,
+           var_pop(l_extendedprice) as yy
+         from lineitem group by l_returnflag),
+       f as (select *, (ya * bb - yb * ab) / (aa * bb - ab * ab) as b1, (yb * aa - ya * ab) / (aa * bb - ab * ab) as b2 from s)
+       select l_returnflag, n, 2 as rank, round(b1, 3) as b_l_quantity, round(b2, 2) as b_l_discount,
+         round(y - b1 * a - b2 * b, 2) as intercept, round((b1 * ya + b2 * yb) / yy, 6) as r2
+       from f"""
+)
+def model_multi_per_group(spark, sf):
+    """Price on quantity and discount, per return flag."""
+    fits = op.fit_linear(table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"], ["l_returnflag"])
+    places = {"b_l_quantity": 3, "b_l_discount": 2, "intercept": 2, "r2": 6}
+    return fits.withColumns({c: F.round(c, n) for c, n in places.items()})
+
+
 @query(
     """select event_id, user_id, value from
          (select *, max(value) over (partition by user_id) as m from events) where value = m"""
