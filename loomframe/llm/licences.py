@@ -174,6 +174,10 @@ def _spaces(text: Column) -> Column:
     return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))).cast("int")
 
 
+#: Matches of a rule that are gathered in one array before it joins the others.
+_TOGETHER = 256
+
+
 def _whole_words(pattern: str) -> str:
     return f"(?<= )(?:{pattern})(?= )"
 
@@ -193,8 +197,18 @@ def _matches(line: Column, rule: Column) -> Column:
 
     # The last piece, behind the last match, has no match of its own.
     pairs = F.slice(F.arrays_zip(between.alias("between"), found.alias("found")), 1, F.size(found))
-    start = F.struct(F.lit(-1).alias("at"), none.alias("rows"))
-    return F.aggregate(pairs, start, step, lambda state: state["rows"])
+    # An array grows by copying itself, so matches are gathered some hundreds at a time.
+    chunks = F.transform(
+        F.sequence(F.lit(0), F.floor(F.greatest(F.size(found) - 1, F.lit(0)) / F.lit(_TOGETHER)).cast("int")),
+        lambda c: F.slice(pairs, c * _TOGETHER + 1, F.lit(_TOGETHER)),
+    )
+
+    def chunk(state: Column, mine: Column) -> Column:
+        own = F.aggregate(mine, F.struct(state["at"].alias("at"), none.alias("rows")), step)
+        return F.struct(own["at"].alias("at"), F.concat(state["parts"], F.array(own["rows"])).alias("parts"))
+
+    start = F.struct(F.lit(-1).alias("at"), F.array().cast(f"array<{_FOUND}>").alias("parts"))
+    return F.aggregate(chunks, start, chunk, lambda state: F.flatten(state["parts"]))
 
 
 def _resolve(found: Column) -> Column:

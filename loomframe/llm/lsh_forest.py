@@ -1,10 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by MinHash labels, with exact verification.
 
-Each text's word n-grams give one label of MinHash values per tree; a tree is the prefix trie
-of the labels. Matched prefixes are shortened from their full length until a pair exactly at
-the threshold is found with the target probability. Texts that share such a prefix in any
-tree are candidates; each connected set of candidates is joined exactly, by a prefix filter
-over its own n-gram counts, which leaves passages shared by many texts to the end.
+Each text's word n-grams give one label of MinHash values per tree, as deep as a pair exactly
+at the threshold still meets in some tree with the target probability: one depth for all
+labels, so a tree comes down to equality of its labels. Texts that share a label are
+candidates; each connected set of candidates is joined exactly, by a prefix filter over its
+own n-gram counts, which leaves passages shared by many texts to the end.
 """
 
 from __future__ import annotations

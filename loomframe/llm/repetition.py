@@ -185,7 +185,10 @@ def quality_rules(
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", min_words: int = 8, most_fraction: float = 0.3, most_words: int = 100) -> DataFrame:
-    """The rows of docs that quality_rules() keeps, with all their columns."""
+    """The rows of docs that quality_rules() keeps, with all their columns.
+
+    A null text counts as empty, and empty texts are not kept; repeated rows are judged each.
+    """
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

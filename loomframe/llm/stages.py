@@ -1,4 +1,9 @@
-"""The stages of the corpus pipeline: operators of this subpackage, applied to whole rows."""
+"""The stages of the corpus pipeline: operators of this subpackage, applied to whole rows.
+
+A null text counts as empty in every stage, an empty table gives none, and columns beside
+doc_id, text and source are carried along whatever their names (but for names that start with
+two underscores); texts of any length are read whole.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +21,7 @@ from .repetition import keep_good
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text passes the repetition rules."""
+    """Rows whose text passes the repetition rules; repeated rows are judged each, empty texts go."""
     return keep_good(docs)
 
 
@@ -26,7 +31,7 @@ def _first_of(rows: DataFrame, *key: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id."""
+    """Of equal texts the row with the largest id, a null id last; of rows that share both, one."""
     kept = grace_dedup(docs).where("kept").select(F.col("keep_id").alias("__id"), F.col("text_sha256").alias("__digest"))
     rows = docs.withColumn("__own", F.sha2(text_or_empty(), 256))
     # The id is part of the key, so that copies spread over the tasks.
@@ -35,14 +40,18 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near copies."""
+    """One row of each class of near copies: that of the text which ngram_classes lets stay; of
+    several rows with this text, one. A text in no class stays."""
     stays = ngram_classes(docs).where("stays").select(F.col("key").alias("__key"))
     rows = docs.withColumn("__own", text_key(text_or_empty()))
     return _first_of(rows.join(stays, F.col("__own") == F.col("__key"), "left_semi"), "__own").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix walks through it; where the mix ends inside a text, the text is whole."""
+    """Each row as often as the mix walks through it; where the mix ends inside a text, the text is whole.
+
+    Rows without a word are never taken. A null source is a source; repeated rows count each.
+    """
     taken = mix_sources(docs).taken().where("taken > 0").select("id", "source", "size", "start", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__times"))
     # Rows that agree in id, source and size are told apart by a number.
     number = F.row_number().over(W.partitionBy("id", "source", "size").orderBy("start"))
@@ -55,5 +64,6 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all rows and their places in sequences of 1024 tokens."""
+    """The pieces of all rows and their places in sequences of 1024 tokens; repeated rows each
+    have their pieces, and an empty text the end id alone."""
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))

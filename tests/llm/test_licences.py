@@ -135,3 +135,15 @@ def test_corpus_ungated(corpus):
     some = corpus.limit(40)
     ungated = [r._replace(keyword="") for r in RULES]
     assert result(some) == sorted(((r.doc_id, *brute(r.text, ungated, ())) for r in some.collect()), key=repr)
+
+
+def test_very_long_text(spark):
+    """Many matches of one rule in one text, past what is gathered at a time."""
+    n = 3 * 256 + 5
+    text = "x " + "all rights reserved and licensed under the mit license " * n
+    row = scan_licences(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row.n_words, row.n_base, row.first_word, row.last_word) == (1 + 9 * n, n, 1, 1 + 9 * (n - 1))
+    starts = sorted(f.start for f in row.found if f.label == "mit")
+    assert len(starts) >= n and {s % 9 for s in starts} <= {(1 + k) % 9 for k in range(9)}
+    firsts = sorted({s // 9 for s in starts})
+    assert firsts == list(range(n)) or firsts == list(range(n + 1))
