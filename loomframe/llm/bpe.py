@@ -24,7 +24,7 @@ _UNCUT = f"{_SPACE} (?:{_SPACE}|$)"
 _STOPPED = r"^[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+[.,]$"
 
 #: Words that a worker keeps, in two generations, and the longest that it keeps.
-_MOST_WORDS, _LONGEST_KEPT = 450_000, 64
+_MOST_WORDS, _LONGEST_KEPT = 250_000, 64
 
 #: Texts are encoded in slices of so many bytes; the longer, the fewer words come twice.
 ENCODE_BYTES = 8 << 20
