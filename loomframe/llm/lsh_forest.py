@@ -1,10 +1,17 @@
-"""N-gram Jaccard join by MinHash labels, with exact verification.
-
-Each text's word n-grams give one label of MinHash values per tree, as deep as a pair exactly
-at the threshold still meets in some tree with the target probability: one depth for all
-labels, so a tree comes down to equality of its labels. Texts that share a label are
-candidates; each connected set of candidates is joined exactly, by a prefix filter over its
-own n-gram counts, which leaves passages shared by many texts to the end.
+"""N-gram Jaccard join by a forest of MinHash tries, with exact verification.
+
+Each text's word n-grams give one label of MinHash values per tree. The labels of a tree, in
+order, are its trie: a prefix of a label is a node, and the texts below a node are candidates.
+The first values, by which a pair exactly at the threshold still meets in some tree with the
+target probability, are one compressed edge (the head); the values after them are a byte each
+(the tail). Labels alone under their head meet nobody at any depth and leave first.
+
+Candidates start below the longest prefixes. Each connected set of them is joined exactly, by
+a prefix filter over its own n-gram counts, which leaves passages shared by many texts to the
+end. The similarities of the links found tell how many links a depth still loses, as a pair's
+chance to meet follows from its similarity; prefixes are shortened until the expected loss is
+within the target, at most down to the head. Sets that a shorter prefix does not join to
+others are not joined again.
 """
 
 from __future__ import annotations
@@ -33,6 +40,16 @@ def prefix_depth(similarity: float, recall: float, trees: int, longest: int) ->
     return depth
 
 
+def meeting(similarity: np.ndarray | float, depth: int, trees: int) -> np.ndarray | float:
+    """The probability that a pair shares a prefix of this depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def shortened(depth: int, floor: int, loss: dict[int, float], allowed: float) -> int:
+    """The longest prefix, at most depth and at least floor, whose loss is allowed."""
+    return next((d for d in range(depth, floor, -1) if loss[d] <= allowed), floor)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * _MIX1
     x = (x ^ (x >> np.uint64(33))) * _MIX2
@@ -52,10 +69,10 @@ def shingle_rows(counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np
     return text, at, grams
 
 
-def _sign(n: int, trees: int, depth: int):
+def _sign(n: int, trees: int, floor: int, longest: int):
     rng = np.random.default_rng(20240607)
-    factors = rng.integers(1, 2**63, size=trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    salts = rng.integers(0, 2**63, size=trees * depth, dtype=np.uint64)
+    factors = rng.integers(1, 2**63, size=trees * longest, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    salts = rng.integers(0, 2**63, size=trees * longest, dtype=np.uint64)
     powers = rng.integers(1, 2**63, size=n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,20 +92,23 @@ def _sign(n: int, trees: int, depth: int):
             gram = _mix(gram)
             full = np.flatnonzero(grams > 0)
             starts = (np.cumsum(grams) - grams)[full]
-            buckets = np.zeros((len(full), trees), np.uint64)
+            heads, tails = np.zeros((len(full), trees), np.uint64), np.zeros((len(full), trees), np.uint64)
             if len(full):
                 for t in range(trees):
-                    label = np.full(len(full), np.uint64(t))
-                    for k in range(t * depth, (t + 1) * depth):
-                        low = np.minimum.reduceat((gram ^ salts[k]) * factors[k] >> np.uint64(32), starts)
-                        label = _mix(label * _MIX2 + low + np.uint64(1))
-                    buckets[:, t] = label
+                    head = np.full(len(full), np.uint64(t))
+                    for k in range(longest):
+                        j = t * longest + k
+                        low = np.minimum.reduceat((gram ^ salts[j]) * factors[j] >> np.uint64(32), starts)
+                        if k < floor:
+                            head = _mix(head * _MIX2 + low + np.uint64(1))
+                        else:
+                            tails[:, t] = tails[:, t] << np.uint64(8) | _mix(low) & np.uint64(255)
+                    heads[:, t] = head
             sizes = np.zeros(len(counts) + 1, np.int64)
             sizes[full + 1] = trees
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("id"), pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(buckets.ravel().view(np.int64)))],
-                names=["key", "id", "buckets"],
-            )
+            ends = pa.array(np.cumsum(sizes), pa.int32())
+            labels = [pa.ListArray.from_arrays(ends, pa.array(x.ravel().view(np.int64))) for x in (heads, tails)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), *labels], names=["key", "id", "heads", "tails"])
 
     return run
 
@@ -96,6 +116,11 @@ def _sign(n: int, trees: int, depth: int):
 def similar_pairs(texts: list[str], similarity: float, n: int, side: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
     """All pairs of texts with Jaccard similarity of their word n-grams at or above the bound;
     with side, only those of different sides. Exact."""
+    return ((a, b) for a, b, _ in scored_pairs(texts, similarity, n, side))
+
+
+def scored_pairs(texts: list[str], similarity: float, n: int, side: np.ndarray | None = None) -> Iterator[tuple[int, int, float]]:
+    """The pairs of similar_pairs() with their similarity."""
     number: dict[bytes, int] = {}
     words, counts = [], []
     for text in texts:
@@ -149,14 +174,18 @@ def similar_pairs(texts: list[str], similarity: float, n: int, side: np.ndarray
             if common / (m + size[y] - common) >= similarity:
                 a, b = int(order[x]), int(order[y])
                 if side is None or side[a] != side[b]:
-                    yield a, b
+                    yield a, b, common / (m + size[y] - common)
+
 
+def _verify(similarity: float, n: int, trees: int, floor: int, longest: int, depth: int):
+    # Links are counted by similarity, rounded down; a link found is worth 1 / its chance at depth.
+    steps = np.linspace(similarity, 1, 51)
+    losses = np.array([[(1 - meeting(x, d, trees)) / meeting(x, depth, trees) for d in range(floor, longest + 1)] for x in steps])
 
-def _verify(similarity: float, n: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         across = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
         keys = list(pdf["key"])
-        links, parent = np.zeros(len(keys), np.int64), list(range(len(keys)))
+        counts, parent = np.zeros((len(keys), len(steps)), np.int64), list(range(len(keys)))
 
         def find(x: int) -> int:
             while parent[x] != x:
@@ -164,11 +193,12 @@ def _verify(similarity: float, n: int):
                 x = parent[x]
             return x
 
-        for a, b in similar_pairs(list(pdf["text"]), similarity, n, pdf["part"].to_numpy() if across else None):
-            links[a] += 1
-            links[b] += 1
+        for a, b, alike in scored_pairs(list(pdf["text"]), similarity, n, pdf["part"].to_numpy() if across else None):
+            step = int((alike - similarity) / (1 - similarity) * 50) if similarity < 1 else 50
+            counts[a, step] += 1
+            counts[b, step] += 1
             parent[find(a)] = find(b)
-        return pd.DataFrame({"key": keys, "links": links, "to": [keys[find(k)] for k in range(len(keys))]})
+        return pd.DataFrame({"key": keys, "links": counts.sum(axis=1), "to": [keys[find(k)] for k in range(len(keys))], "lost": list(counts @ losses)})
 
     return run
 
@@ -178,6 +208,42 @@ def text_key(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
 
+def _below_nodes(trie: DataFrame, longest: int, depth: int) -> DataFrame:
+    """node, root: connected sets of the texts that share a prefix of this depth in some tree."""
+    paths = trie.select("head", F.shiftright("tail", 8 * (longest - depth)).alias("step"), "key")
+    nodes = paths.groupBy("head", "step").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("head", "step", "low")
+    return components(paths.join(nodes, ["head", "step"]).where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")))
+
+
+def _joined(rows: DataFrame, texts: DataFrame, candidates: DataFrame, part_texts: int, verify) -> DataFrame:
+    """The exact join inside each connected set, a task for each two parts of it."""
+    parts = candidates.groupBy("root").agg(F.ceil(F.count("*") / F.lit(part_texts)).cast("int").alias("parts"))
+    chosen = (
+        candidates.join(parts, "root")
+        .join(texts.select("key", "first_id"), F.col("node") == F.col("key"))
+        .select("root", "parts", "first_id", F.col("key").alias("own"))
+    )
+    members = (
+        rows.join(chosen, (rows["key"] == chosen["own"]) & rows["id"].eqNullSafe(chosen["first_id"]))
+        .dropDuplicates(["key"])
+        .withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("root", "key", "text", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    )
+    return staged(members.groupBy("root", "lo", "hi").applyInPandas(verify, "key binary, links long, to binary, lost array<double>"), "links")
+
+
+def _loss(checked: DataFrame, similarity: float, trees: int, floor: int, longest: int) -> dict[int, float]:
+    """By depth: the expected share of links lost, as the mean over texts with links.
+
+    One text with one link at the bound counts beside those seen.
+    """
+    depths = range(floor, longest + 1)
+    per_text = checked.groupBy("key").agg(F.sum("links").alias("links"), *(F.sum(F.col("lost")[k]).alias(f"lost{k}") for k in range(len(depths))))
+    row = per_text.where("links > 0").agg(F.count("*"), *(F.coalesce(F.sum(F.col(f"lost{k}") / F.col("links")), F.lit(0.0)) for k in range(len(depths)))).first()
+    return {d: float(row[k + 1] + 1 - meeting(similarity, d, trees)) / (row[0] + 1) for k, d in enumerate(depths)}
+
+
 def ngram_classes(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -186,41 +252,50 @@ def ngram_classes(
     n: int = 5,
     recall: float = 0.9999,
     trees: int = 32,
-    longest: int = 12,
+    longest: int = 10,
     part_texts: int = 1000,
 ) -> DataFrame:
     """One row per different text: key (text_key of it), class_id, n_links, n_copies, stays.
 
     What ngram_join() says of rows, for texts. stays holds for one text of each class, that
     with the smallest id (of those without, the smallest key).
+
+    Labels have `longest` values, seven more than the head at most. `recall` is the expected
+    share of links found, as the mean over the texts that have any; no link's own chance is
+    below that of the longest prefixes, and where shortening goes down to the head, each has
+    the target's.
     """
     ship_package(docs.sparkSession)
-    depth = prefix_depth(similarity, recall, trees, longest)
+    floor = prefix_depth(similarity, recall, trees, longest)
+    longest = min(longest, floor + 7)  # the tail is seven bytes of a long
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("key", text_key(F.col("text")))
     texts = staged(
-        rows.mapInArrow(_sign(n, trees, depth), "key binary, id long, buckets array<long>")
+        rows.mapInArrow(_sign(n, trees, floor, longest), "key binary, id long, heads array<long>, tails array<long>")
         .groupBy("key")
-        .agg(F.min("id").alias("first_id"), F.count("*").alias("n_copies"), F.first("buckets").alias("buckets")),
-        "forest",
+        .agg(F.min("id").alias("first_id"), F.count("*").alias("n_copies"), F.first("heads").alias("heads"), F.first("tails").alias("tails")),
+        "labels",
     )
-    leaves = texts.select("key", F.explode("buckets").alias("bucket"))
-    shared = leaves.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("bucket", "low")
-    candidates = components(leaves.join(shared, "bucket").where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")))
+    labels = texts.select("key", F.explode(F.arrays_zip("heads", "tails")).alias("label")).select("key", F.col("label.heads").alias("head"), F.col("label.tails").alias("tail"))
+    several = texts.select("key", F.explode("heads").alias("head")).groupBy("head").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
+    trie = staged(labels.join(several.select("head"), "head").sortWithinPartitions("head", "tail"), "forest")
+
+    depth, checked, before = longest, None, None
+    while True:
+        verify = _verify(similarity, n, trees, floor, longest, depth)
+        candidates = _below_nodes(trie, longest, depth)
+        if checked is None:
+            checked = _joined(rows, texts, candidates, part_texts, verify)
+        else:
+            was = F.coalesce("was", "node")
+            merged = candidates.join(before, "node", "left").groupBy("root").agg(F.min(was).alias("low"), F.max(was).alias("high")).where("low <> high")
+            again = staged(candidates.join(merged.select("root"), "root"), "again")
+            joined = _joined(rows, texts, again, part_texts, verify)
+            checked = checked.join(again.select(F.col("node").alias("key")), "key", "left_anti").unionByName(joined)
+        shorter = shortened(depth, floor, _loss(checked, similarity, trees, floor, longest), 1 - recall)
+        if shorter == depth:
+            break
+        depth, before = shorter, candidates.select("node", F.col("root").alias("was"))
 
-    parts = candidates.groupBy("root").agg(F.ceil(F.count("*") / F.lit(part_texts)).cast("int").alias("parts"))
-    chosen = (
-        candidates.join(parts, "root")
-        .join(texts.select("key", "first_id"), F.col("node") == F.col("key"))
-        .select("root", "parts", "first_id", F.col("key").alias("own"))
-    )
-    members = (
-        rows.join(chosen, (rows["key"] == chosen["own"]) & rows["id"].eqNullSafe(chosen["first_id"]))
-        .dropDuplicates(["key"])
-        .withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("root", "key", "text", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-    )
-    checked = staged(members.groupBy("root", "lo", "hi").applyInPandas(_verify(similarity, n), "key binary, links long, to binary"), "links")
     links = checked.groupBy("key").agg(F.sum("links").alias("n_links"))
     classes = components(checked.select(F.col("key").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "key")
 

@@ -1,8 +1,9 @@
 import re
 from collections import defaultdict
 
+from loomframe.llm import lsh_forest
 from loomframe.llm.components import components
-from loomframe.llm.lsh_forest import ngram_join, prefix_depth, similar_pairs
+from loomframe.llm.lsh_forest import meeting, ngram_join, prefix_depth, shortened, similar_pairs
 
 
 def grams(text):
@@ -85,6 +86,37 @@ def test_depth():
     assert prefix_depth(0.1, 0.9999, 2, 12) == 1
 
 
+def test_shortened():
+    loss = {6: 1e-5, 7: 5e-4, 8: 2e-3, 9: 7e-3, 10: 2e-2}
+    assert [shortened(10, 6, loss, a) for a in (0.1, 1e-2, 1e-3, 1e-4, 0)] == [10, 9, 7, 6, 6]
+    assert shortened(7, 6, loss, 0.1) == 7
+    assert meeting(1.0, 10, 4) == 1 and abs(meeting(0.8, 1, 2) - 0.96) < 1e-12
+
+
+def cut(k, changed, n=100):
+    """A text of its own words, and the same with its last words changed."""
+    words = [f"c{k}-{i}" for i in range(n)]
+    return [" ".join(words), " ".join(words[: n - changed] + [f"d{k}-{i}" for i in range(changed)])]
+
+
+def test_prefixes_shorten_with_the_data(spark, monkeypatch):
+    """Links far above the bound need no shorter prefixes; links at it do, and none is lost."""
+    depths, below = [], lsh_forest._below_nodes
+
+    def noted(trie, longest, depth):
+        depths.append(depth)
+        return below(trie, longest, depth)
+
+    monkeypatch.setattr(lsh_forest, "_below_nodes", noted)
+    close = list(enumerate(edited(k, 200) for k in range(40)))
+    assert result(spark.createDataFrame(close, "doc_id long, text string"), recall=0.999) == brute(close)
+    assert depths == [10]
+    depths.clear()
+    rows = close + [(1000 + 2 * k + j, t) for k in range(120) for j, t in enumerate(cut(k, 9 + k % 2))]
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert depths[0] == 10 and depths[-1] == 6 and len(depths) <= 3
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
