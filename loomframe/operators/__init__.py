@@ -15,6 +15,7 @@ from loomframe.operators.grouped import (
     slice_max,
     summarise_columns,
 )
+from loomframe.operators.hot import join_hot_keys
 from loomframe.operators.joins import (
     join_closest,
     join_inequality,

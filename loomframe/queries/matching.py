@@ -106,6 +106,21 @@ def join_two_inequalities(spark, sf):
     return pairs.select("event_id", "purchase", "floor")
 
 
+@query(
+    """select c_nationkey, c_mktsegment, count(*) as n_rows, count(distinct s_suppkey) as n_suppliers,
+         cast(sum(cast(s_acctbal as decimal(18,2))) as double) as balance
+       from customer left join supplier on c_nationkey = s_nationkey group by all"""
+)
+def join_hot_key(spark, sf):
+    """Customers with all suppliers of their nation; each nation is heavy on both sides."""
+    customer = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    supplier = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    pairs = op.join_hot_keys(customer, supplier, {"c_nationkey": "s_nationkey"}, limit=8)
+    return pairs.groupBy("c_nationkey", "c_mktsegment").agg(
+        F.count("*").alias("n_rows"), F.countDistinct("s_suppkey").alias("n_suppliers"), money("s_acctbal").alias("balance")
+    )
+
+
 @query(
     f"""select o_orderkey, o_totalprice, threshold, tier from orders
           asof left join (select distinct cast(p_size * 10000 as double) as threshold,
