@@ -10,13 +10,14 @@ Candidates start below the longest prefixes. Each connected set of them is joine
 a prefix filter over its own n-gram counts, which leaves passages shared by many texts to the
 end. The similarities of the links found tell how many links a depth still loses, as a pair's
 chance to meet follows from its similarity; prefixes are shortened until the expected loss is
-within the target, at most down to the head. Sets that a shorter prefix does not join to
-others are not joined again.
+within the target, at most down to the head. A shorter prefix merges sets that are joined
+already, so only the texts of different former sets are compared.
 """
 
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .base import ship_package, slices, staged, text_or_empty
@@ -113,13 +115,13 @@ def _sign(n: int, trees: int, floor: int, longest: int):
     return run
 
 
-def similar_pairs(texts: list[str], similarity: float, n: int, side: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+def similar_pairs(texts: list[str], similarity: float, n: int, *apart: list) -> Iterator[tuple[int, int]]:
     """All pairs of texts with Jaccard similarity of their word n-grams at or above the bound;
-    with side, only those of different sides. Exact."""
-    return ((a, b) for a, b, _ in scored_pairs(texts, similarity, n, side))
+    with apart, only those that differ in each of these lists. Exact."""
+    return ((a, b) for a, b, _ in scored_pairs(texts, similarity, n, *apart))
 
 
-def scored_pairs(texts: list[str], similarity: float, n: int, side: np.ndarray | None = None) -> Iterator[tuple[int, int, float]]:
+def scored_pairs(texts: list[str], similarity: float, n: int, *apart: list) -> Iterator[tuple[int, int, float]]:
     """The pairs of similar_pairs() with their similarity."""
     number: dict[bytes, int] = {}
     words, counts = [], []
@@ -150,6 +152,8 @@ def scored_pairs(texts: list[str], similarity: float, n: int, side: np.ndarray |
     stop = np.cumsum(size)
     begin = stop - size
     index: dict[int, list[int]] = {}
+    sides = list(zip(*apart, strict=True)) if apart else [()] * len(texts)
+    sides = [sides[k] for k in order.tolist()]
     mark = np.zeros(kinds, bool)
     for x in range(len(texts)):
         m = int(size[x])
@@ -158,7 +162,8 @@ def scored_pairs(texts: list[str], similarity: float, n: int, side: np.ndarray |
         mine = flat[begin[x] : stop[x]]
         head = mine[: m - math.ceil(similarity * m - 1e-9) + 1].tolist()
         least = int(np.searchsorted(size, similarity * m - 1e-9, side="left"))
-        near = sorted({y for g in head for y in index.get(g, ()) if y >= least})
+        near = {y for g in head for y in index.get(g, ()) if y >= least}
+        near = sorted(y for y in near if all(map(operator.ne, sides[x], sides[y])))
         for g in head:
             index.setdefault(g, []).append(x)
         if not near:
@@ -172,9 +177,7 @@ def scored_pairs(texts: list[str], similarity: float, n: int, side: np.ndarray |
         mark[mine] = False
         for y, common in zip(near, both, strict=True):
             if common / (m + size[y] - common) >= similarity:
-                a, b = int(order[x]), int(order[y])
-                if side is None or side[a] != side[b]:
-                    yield a, b, common / (m + size[y] - common)
+                yield int(order[x]), int(order[y]), common / (m + size[y] - common)
 
 
 def _verify(similarity: float, n: int, trees: int, floor: int, longest: int, depth: int):
@@ -183,7 +186,9 @@ def _verify(similarity: float, n: int, trees: int, floor: int, longest: int, dep
     losses = np.array([[(1 - meeting(x, d, trees)) / meeting(x, depth, trees) for d in range(floor, longest + 1)] for x in steps])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        across = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
+        apart = [list(pdf["was"])]
+        if pdf["lo"].iloc[0] != pdf["hi"].iloc[0]:
+            apart.append(pdf["part"].tolist())
         keys = list(pdf["key"])
         counts, parent = np.zeros((len(keys), len(steps)), np.int64), list(range(len(keys)))
 
@@ -193,7 +198,7 @@ def _verify(similarity: float, n: int, trees: int, floor: int, longest: int, dep
                 x = parent[x]
             return x
 
-        for a, b, alike in scored_pairs(list(pdf["text"]), similarity, n, pdf["part"].to_numpy() if across else None):
+        for a, b, alike in scored_pairs(list(pdf["text"]), similarity, n, *apart):
             step = int((alike - similarity) / (1 - similarity) * 50) if similarity < 1 else 50
             counts[a, step] += 1
             counts[b, step] += 1
@@ -208,27 +213,57 @@ def text_key(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
 
-def _below_nodes(trie: DataFrame, longest: int, depth: int) -> DataFrame:
-    """node, root: connected sets of the texts that share a prefix of this depth in some tree."""
-    paths = trie.select("head", F.shiftright("tail", 8 * (longest - depth)).alias("step"), "key")
-    nodes = paths.groupBy("head", "step").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("head", "step", "low")
-    return components(paths.join(nodes, ["head", "step"]).where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")))
+def _below_nodes(trie: DataFrame, longest: int, depth: int, sets: DataFrame | None) -> DataFrame:
+    """node, root: connected sets of what shares a prefix of this depth in some tree. A node is
+    a text, or a former set (node, was) of texts under its name."""
+    paths = trie.select("head", F.shiftright("tail", 8 * (longest - depth)).alias("step"), F.col("key").alias("node"))
+    if sets is not None:
+        paths = paths.join(sets, "node", "left").select("head", "step", F.coalesce("was", "node").alias("node"))
+    nodes = paths.groupBy("head", "step").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("head", "step", "low")
+    return components(paths.join(nodes, ["head", "step"]).where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")))
+
+
+def _merged(sets: DataFrame | None, joined: DataFrame) -> DataFrame:
+    """node, was, root for every text in a set: the name of its former set (its own if it was
+    in none) and that of the set it is in now, null where the former set stays as it is."""
+    alone = joined.select("node", F.col("node").alias("was"), "root")
+    if sets is None:
+        return alone
+    return sets.join(joined.withColumnRenamed("node", "was"), "was", "left").select("node", "was", "root").unionByName(alone.join(sets, "node", "left_anti"))
 
 
 def _joined(rows: DataFrame, texts: DataFrame, candidates: DataFrame, part_texts: int, verify) -> DataFrame:
-    """The exact join inside each connected set, a task for each two parts of it."""
-    parts = candidates.groupBy("root").agg(F.ceil(F.count("*") / F.lit(part_texts)).cast("int").alias("parts"))
+    """The exact join of the different former sets inside each connected set.
+
+    Former sets of more than part_texts texts are cut into parts of their own, the others of a
+    connected set are dealt over parts together. Each two parts are a task, but for those of
+    one former set, whose texts have been compared.
+    """
+    former = candidates.groupBy("root", "was").agg(F.count("*").alias("texts"))
+    former = former.withColumn("large", F.col("texts") > part_texts)
+    cut = F.ceil(F.col("texts") / F.lit(part_texts)).cast("int")
+    total = former.groupBy("root").agg(
+        F.ceil(F.coalesce(F.sum(F.when(~F.col("large"), F.col("texts"))), F.lit(0)) / F.lit(part_texts)).cast("int").alias("shared"),
+        F.coalesce(F.sum(F.when(F.col("large"), cut)), F.lit(0)).cast("int").alias("owned"),
+    )
+    running = F.sum("own_parts").over(W.partitionBy("root").orderBy("was")) - F.col("own_parts")
+    large = former.where("large").withColumn("own_parts", cut).withColumn("before", running.cast("int")).select("was", "own_parts", "before")
     chosen = (
-        candidates.join(parts, "root")
+        candidates.join(total, "root")
+        .join(large, "was", "left")
         .join(texts.select("key", "first_id"), F.col("node") == F.col("key"))
-        .select("root", "parts", "first_id", F.col("key").alias("own"))
+        .select("root", "was", "shared", "owned", "own_parts", "before", "first_id", F.col("key").alias("own"))
     )
+    spot = F.xxhash64("key")
+    other = F.sequence(F.lit(0), F.col("shared") + F.col("owned") - 1)
+    mine = F.col("shared") + F.col("before")
     members = (
         rows.join(chosen, (rows["key"] == chosen["own"]) & rows["id"].eqNullSafe(chosen["first_id"]))
         .dropDuplicates(["key"])
-        .withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("root", "key", "text", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+        .withColumn("part", F.coalesce(mine + F.pmod(spot, "own_parts"), F.pmod(spot, "shared")).cast("int"))
+        .withColumn("other", F.explode(other))
+        .where(F.coalesce((F.col("other") < mine) | (F.col("other") >= mine + F.col("own_parts")), F.lit(True)))
+        .select("root", "was", "key", "text", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
     )
     return staged(members.groupBy("root", "lo", "hi").applyInPandas(verify, "key binary, links long, to binary, lost array<double>"), "links")
 
@@ -236,7 +271,8 @@ def _joined(rows: DataFrame, texts: DataFrame, candidates: DataFrame, part_texts
 def _loss(checked: DataFrame, similarity: float, trees: int, floor: int, longest: int) -> dict[int, float]:
     """By depth: the expected share of links lost, as the mean over texts with links.
 
-    One text with one link at the bound counts beside those seen.
+    One text with one link at the bound counts beside those seen. A link keeps the weight of
+    the depth that found it, so that after a shortening the loss is rather over-estimated.
     """
     depths = range(floor, longest + 1)
     per_text = checked.groupBy("key").agg(F.sum("links").alias("links"), *(F.sum(F.col("lost")[k]).alias(f"lost{k}") for k in range(len(depths))))
@@ -279,22 +315,16 @@ def ngram_classes(
     several = texts.select("key", F.explode("heads").alias("head")).groupBy("head").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
     trie = staged(labels.join(several.select("head"), "head").sortWithinPartitions("head", "tail"), "forest")
 
-    depth, checked, before = longest, None, None
+    depth, checked, sets = longest, None, None
     while True:
+        merged = staged(_merged(sets, _below_nodes(trie, longest, depth, sets)), "sets")
         verify = _verify(similarity, n, trees, floor, longest, depth)
-        candidates = _below_nodes(trie, longest, depth)
-        if checked is None:
-            checked = _joined(rows, texts, candidates, part_texts, verify)
-        else:
-            was = F.coalesce("was", "node")
-            merged = candidates.join(before, "node", "left").groupBy("root").agg(F.min(was).alias("low"), F.max(was).alias("high")).where("low <> high")
-            again = staged(candidates.join(merged.select("root"), "root"), "again")
-            joined = _joined(rows, texts, again, part_texts, verify)
-            checked = checked.join(again.select(F.col("node").alias("key")), "key", "left_anti").unionByName(joined)
+        joined = _joined(rows, texts, merged.where("root is not null"), part_texts, verify)
+        checked = joined if checked is None else checked.unionByName(joined)
         shorter = shortened(depth, floor, _loss(checked, similarity, trees, floor, longest), 1 - recall)
         if shorter == depth:
             break
-        depth, before = shorter, candidates.select("node", F.col("root").alias("was"))
+        depth, sets = shorter, merged.select("node", F.coalesce("root", "was").alias("was"))
 
     links = checked.groupBy("key").agg(F.sum("links").alias("n_links"))
     classes = components(checked.select(F.col("key").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "key")
@@ -321,7 +351,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copies. Other columns of docs are not looked at. options: those of ngram_classes().
 
     Copies are joined once. A set of connected candidates of more than part_texts texts is cut
-    into parts, and each pair of parts is a task of its own; pairs are counted, not emitted.
+    into parts, and each pair of parts is a task of its own, unless both are of one set that
+    longer prefixes had connected; pairs are counted, not emitted.
     """
     classes = ngram_classes(docs, id_col, text_col, **options)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_or_empty(text_col)).alias("key"))

@@ -1,6 +1,8 @@
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from loomframe.llm import lsh_forest
 from loomframe.llm.components import components
 from loomframe.llm.lsh_forest import meeting, ngram_join, prefix_depth, shortened, similar_pairs
@@ -103,9 +105,9 @@ def test_prefixes_shorten_with_the_data(spark, monkeypatch):
     """Links far above the bound need no shorter prefixes; links at it do, and none is lost."""
     depths, below = [], lsh_forest._below_nodes
 
-    def noted(trie, longest, depth):
+    def noted(trie, longest, depth, sets):
         depths.append(depth)
-        return below(trie, longest, depth)
+        return below(trie, longest, depth, sets)
 
     monkeypatch.setattr(lsh_forest, "_below_nodes", noted)
     close = list(enumerate(edited(k, 200) for k in range(40)))
@@ -115,6 +117,23 @@ def test_prefixes_shorten_with_the_data(spark, monkeypatch):
     rows = close + [(1000 + 2 * k + j, t) for k in range(120) for j, t in enumerate(cut(k, 9 + k % 2))]
     assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
     assert depths[0] == 10 and depths[-1] == 6 and len(depths) <= 3
+    # Former sets of several parts, joined to others by shorter prefixes.
+    assert result(spark.createDataFrame(rows, "doc_id long, text string"), part_texts=6) == brute(rows)
+
+
+def test_merged_sets_compare_only_across(spark):
+    """Large and small former sets merge: every pair of texts of different ones meets once."""
+    former = {f"{k:02}".encode(): w for k, w in enumerate([b"00"] * 9 + [b"09"] * 8 + [b"17"] * 2 + [b"19", b"20", b"21"])}
+    text = " ".join(f"w{i}" for i in range(60))
+    data = [(int(k), f"{text} e{int(k)}", k) for k in former]
+    rows = spark.createDataFrame(data, "id long, text string, key binary")
+    texts = rows.select("key", F.col("id").alias("first_id"))
+    candidates = spark.createDataFrame([(k, w, b"00") for k, w in former.items()], "node binary, was binary, root binary")
+    got = {}
+    verify = lsh_forest._verify(0.8, 5, 32, 6, 10, 6)
+    for r in lsh_forest._joined(rows, texts, candidates, 4, verify).collect():
+        got[bytes(r.key)] = got.get(bytes(r.key), 0) + r.links
+    assert got == {k: sum(w != v for v in former.values()) for k, w in former.items()}
 
 
 def test_components(spark):
