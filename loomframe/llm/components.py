@@ -11,18 +11,25 @@ from .base import staged
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of the edges (a, b); root is the smallest node of the component.
 
-    Each round a node takes the smallest root among itself and its neighbours, then its root's
-    root, so a path of n nodes takes about log(n) rounds. Rounds are written to the shared
-    folder. A hub's neighbours are combined before the shuffle.
+    Each round a node takes the smallest node among itself and its neighbours, then that one's,
+    and the edges left between different names make the next, smaller graph; a path of n nodes
+    takes about log(n) rounds. Rounds are written to the shared folder. A hub's neighbours are
+    combined before the shuffle.
     """
     ends = edges.where("a <> b").select("a", "b")
-    both = staged(ends.union(ends.select("b", "a")).distinct(), "edges")
-    labels = staged(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")), "labels")
+    graph = staged(ends.union(ends.select("b", "a")).distinct(), "edges")
+    names = None
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        lower = staged(labels.join(near, labels["node"] == near["a"]).select("node", F.least("root", "near").alias("root"), F.col("root").alias("was")), "lower")
-        up = lower.select(F.col("node").alias("up"), F.col("root").alias("root_of"))
-        labels = staged(lower.join(up, lower["root"] == up["up"]).select("node", F.col("root_of").alias("root"), "was"), "labels")
-        if not labels.where("root <> was").take(1):
-            return labels.select("node", "root")
-        labels = labels.select("node", "root")
+        low = graph.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("low"))
+        up = low.select(F.col("node").alias("up"), F.col("low").alias("root"))
+        step = staged(low.join(up, low["low"] == up["up"]).select("node", "root"), "roots")
+        if names is None:
+            names = step
+        else:
+            then = step.select(F.col("node").alias("up"), F.col("root").alias("lower"))
+            names = names.join(then, names["root"] == then["up"], "left").select("node", F.coalesce("lower", "root").alias("root"))
+        first, second = (step.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab")
+        between = graph.join(first, "a").join(second, "b").where("a_root <> b_root")
+        graph = staged(between.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct(), "edges")
+        if not graph.take(1):
+            return staged(names, "components")
