@@ -63,6 +63,7 @@ from loomframe.operators.select import (
     summarise_across,
     textual,
 )
+from loomframe.operators.selection import select_quantiles
 from loomframe.operators.windows import (
     Mergeable,
     center,

@@ -92,6 +92,20 @@ def agg_reframe_quantiles(spark, sf):
     return got.withColumn("q", F.round("q", 6))
 
 
+@query(
+    """with t as (select l_returnflag, unnest([0.01::double, 0.5::double, 0.99::double]) as prob,
+           unnest(quantile_cont(l_extendedprice, [0.01, 0.5, 0.99])) as q
+           from lineitem group by l_returnflag)
+       select l_returnflag, prob, round(q, 6) as q from t"""
+)
+def agg_quantiles_select(spark, sf):
+    lines = table(spark, sf, "lineitem")
+    got = op.select_quantiles(
+        lines, "l_extendedprice", [0.01, 0.5, 0.99], by=["l_returnflag"], accuracy=1000
+    )
+    return got.withColumn("q", F.round("q", 6))
+
+
 @query(
     """select unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) as col,
          unnest([round(avg(l_quantity), 4), round(avg(l_extendedprice), 4),
