@@ -1,8 +1,8 @@
 """Licence notices by ordered signature rules, in DataFrame functions only.
 
 A text becomes a line of lower-case words between single spaces. Rules are regular
-expressions on that line, made from a table of licences and a list of forms in which notices
-name them. A rule is tried in the texts that hold one of its keywords; every match of its
+expressions on that line: wordings of notices written by hand, and a table of licences in the
+forms in which notices name them. A rule is tried in the texts that hold one of its keywords; every match of its
 pattern holds one of them, so nothing is lost by that. Where detections overlap, one that
 lies within another of the same or a better level gives way.
 """
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import text_or_empty
+from .notices import WORDINGS, sure_words
 
 #: What stands between words, after lower-casing.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -130,8 +131,9 @@ NOTICES = (
 
 
 def make_rules() -> list[Rule]:
-    """Every licence in every form: identifier, grant, title, with and without version."""
-    rules = list(NOTICES)
+    """The wordings by hand, then every licence in every form: identifier, grant, title, with
+    and without version."""
+    rules = [*NOTICES, *(Rule(label, level, score, "", pattern, sure_words(pattern)) for label, level, score, pattern in WORDINGS)]
     for label, name, versions, named in LICENCES:
         spdx = f"spdx license identifier {label.replace('-', ' ')}"
         for v in versions:

@@ -1,12 +1,20 @@
+import functools
 import random
 import re
 from re import _parser
 
 from loomframe.llm.licences import ANCHORS, BASE, GAP, Rule, make_rules, scan_licences
+from loomframe.llm.notices import WORDINGS, sure_words
 
 RULES = make_rules()
 
 
+@functools.cache
+def whole(pattern):
+    """Kept here: there are more rules than re remembers patterns."""
+    return re.compile(f"(?<= )(?:{pattern})(?= )")
+
+
 def brute(text, rules=RULES, anchors=ANCHORS):
     line = " ".join(re.sub(GAP, " ", (text or "").lower()).split(" ")).strip(" ")
     line = f" {line} " if line else " "
@@ -22,7 +30,7 @@ def brute(text, rules=RULES, anchors=ANCHORS):
     found = []
     for r in rules:
         if r.keyword in line and (not anchors or any(a in line for a in anchors)):
-            for m in re.finditer(f"(?<= )(?:{r.pattern})(?= )", line):
+            for m in whole(r.pattern).finditer(line):
                 start = line[: m.start()].count(" ") - 1
                 found.append((start, start + m.group().count(" ") + 1, r.level, r.label, r.score))
 
@@ -147,3 +155,69 @@ def test_very_long_text(spark):
     assert len(starts) >= n and {s % 9 for s in starts} <= {(1 + k) % 9 for k in range(9)}
     firsts = sorted({s // 9 for s in starts})
     assert firsts == list(range(n)) or firsts == list(range(n + 1))
+
+
+def test_every_wording_and_its_near_misses():
+    """Each wording is met by texts made from it, and by none that lacks one of its sure words."""
+    rng = random.Random(11)
+    assert len(WORDINGS) + 25 >= 200 and len({w[3] for w in WORDINGS}) == len(WORDINGS)
+    for label, level, score, pattern in WORDINGS:
+        assert label and 1 <= level <= 6 and 0 < score <= 1
+        (keyword,) = sure_words(pattern)
+        for _ in range(8):
+            text = f" {sample(_parser.parse(pattern), rng)} "
+            assert whole(pattern).search(text) and f" {keyword} " in text
+            for word in set(keyword.split()):
+                assert not whole(pattern).search(text.replace(f" {keyword} ", f" {keyword} ".replace(f" {word} ", f" q{word} ", 1)))
+
+
+def test_sure_words():
+    assert sure_words("a b c") == ("a b c",)
+    assert sure_words("see (?:the )?licen[cs]e file txt") == ("file txt",)
+    assert sure_words("x(?:y (?:z)?)? long one") == ("long one",)
+    assert sure_words("share ?alike of it") == ("of it",)
+    assert sure_words("gplv[12]") == ()
+
+
+KNOWN = {
+    "// Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.\n// You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0": "apache-2.0",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "gpl-3.0-or-later",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.": "lgpl-2.1-or-later",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.": "mpl-2.0",
+    "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.": "bsd",
+    "The Software shall be used for Good, not Evil.": "json",
+    "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)": "boost-1.0",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa-4.0",
+    "This module is free software; you can redistribute it and/or modify it under the same terms as Perl itself.": "artistic",
+    "SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note": "linux-syscall-note",
+    "GPL v2 with Classpath exception": "classpath-exception",
+    "The author disclaims copyright to this source code. In place of a legal notice, here is a blessing:": "blessing",
+    "To the extent possible under law, Jane Doe has waived all copyright and related or neighboring rights to this work.": "cc0-1.0",
+    "Licensed under MIT OR Apache-2.0": "apache-2.0-or-mit",
+    "This font software is licensed under the SIL Open Font License, Version 1.1.": "ofl-1.1",
+    "For personal use only": "non-commercial",
+    "This project is dual-licensed under terms of your choice": "dual-licence",
+}
+
+MISSES = [
+    "the origin of this rumour must not be misrepresented",
+    "the apache tribe signed no agreement",
+    "she may not use this file in court",
+    "the software shall be used for good",
+    "a boost in software sales",
+    "some rights were reserved for the king",
+    "this library is free and open on sundays",
+    "for personal reasons only",
+    "here is a blessing",
+]
+
+
+def test_known_notices_and_misses(spark):
+    texts = [*KNOWN, *MISSES]
+    got = {r.doc_id: r.labels for r in scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, text in enumerate(texts):
+        if text in KNOWN:
+            assert KNOWN[text] in got[k].split(","), (text, got[k])
+        else:
+            assert got[k] == "", (text, got[k])
+    assert sorted((k, labels) for k, labels in got.items()) == [(k, brute(t)[5]) for k, t in enumerate(texts)]
