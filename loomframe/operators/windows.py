@@ -204,8 +204,22 @@ def cumsum(
     out: str = "cum",
     na_rm: bool = False,
     limit: int | None = None,
+    ties: str = "error",
 ) -> DataFrame:
-    """Running sum; missing from the first missing value on unless ``na_rm``."""
+    """Running sum; missing from the first missing value on unless ``na_rm``.
+
+    Rows that share their order key stop it, or, with ``ties="together"``, all get the sum
+    up to the last of them: rows are first summed per key, so a key of any size will do.
+    """
+    if ties not in ("error", "together"):
+        raise ValueError(f"unknown ties {ties!r}")
+    if ties == "together":
+        keys = list(dict.fromkeys([*by, *[c for c, _ in parse_order(order_by)]]))
+        whole = F.lit(True) if na_rm else F.count(x) == F.count(F.lit(1))
+        sums = df.groupBy(*keys).agg(F.when(whole, F.sum(x)).alias("__sum"))
+        summed = cumsum(sums, "__sum", by, order_by, out="__cum", na_rm=na_rm, limit=limit)
+        kept = df.select(*[c for c in df.columns if c != out or c in keys])
+        return lookup_join(kept, summed.select(*keys, F.col("__cum").alias(out)), keys)
     blocks = OrderedBlocks(df, by, order_by, limit)
     return cumulate(blocks, blocks.df, x, out, F.sum, lambda a, b: a + b, 0, na_rm)
 

@@ -127,7 +127,7 @@ def win_cumsum(spark, sf):
 def win_cumsum_global(spark, sf):
     amount = F.col("value").cast("decimal(18,2)")
     events = table(spark, sf, "events").select("event_id", "ts", amount.alias("amount"))
-    summed = op.cumsum(events, "amount", order_by="ts")
+    summed = op.cumsum(events, "amount", order_by="ts", ties="together")
     return summed.select("event_id", F.col("cum").cast("double").alias("cum"))
 
 
