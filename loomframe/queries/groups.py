@@ -251,8 +251,18 @@ def slice_head(spark, sf):
 )
 def nest_above_mean(spark, sf):
     events = table(spark, sf, "events").select("event_id", "user_id", "value")
-    marked = op.attach_group_stats(events, ["user_id"], {"mean": F.avg("value")})
-    return marked.where(F.col("value") > F.col("mean")).drop("mean")
+    # A value that is the mean is not above it, in whatever order the values were added up:
+    # two-decimal amounts are compared exactly.
+    value, amount = F.col("value"), F.col("value").try_cast("decimal(18,2)")
+    stats = {
+        "mean": F.avg("value"),
+        "n": F.count("value"),
+        "total": F.sum(amount),
+        "exact": F.bool_and(F.coalesce(amount.cast("double") == value, value.isNull())),
+    }
+    marked = op.attach_group_stats(events, ["user_id"], stats)
+    above = F.when(F.col("exact"), amount * F.col("n") > F.col("total")).otherwise(value > F.col("mean"))
+    return marked.where(above).drop(*stats)
 
 
 @query(

@@ -30,6 +30,16 @@ def test_ties_are_checked(frame):
         op.cumsum(df, "x", order_by="o").collect()
 
 
+def test_a_value_that_is_the_mean_is_not_above_it(spark, frame, tmp_path):
+    tenths = [(i, 1, 0.1) for i in range(10)]
+    others = [(20, 2, 1.0), (21, 2, 3.0), (22, 2, None), (30, 3, 1e300), (31, 3, 2.0), (40, 4, 0.125), (41, 4, 0.126), (50, None, 1.0), (51, None, 0.5)]
+    odd = [(60, 5, float("nan")), (61, 5, 1.0), (70, 6, None)]
+    events = frame([*tenths, *others, *odd], "event_id long, user_id long, value double")
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["nest_above_mean"](spark, str(tmp_path))
+    same(got, [(21, 2, 3.0), (30, 3, 1e300), (41, 4, 0.126), (50, None, 1.0)], "event_id", "user_id", "value")
+
+
 def test_running_sum_of_events_at_one_time(spark, frame, tmp_path):
     events = frame([(1, 10, 1.25), (2, 20, 2.5), (3, 20, 3.0), (4, 30, 1.0)], "event_id long, s long, value double")
     events.selectExpr("event_id", "timestamp_seconds(s) as ts", "value").write.parquet(f"{tmp_path}/events.parquet")
