@@ -216,6 +216,10 @@ def reshape_longer_pattern(spark, sf):
     return long.withColumn("mean", F.round("mean", 4))
 
 
+# Rows that a task is dealt, about: at least, where fewer tasks will do, and at most.
+_LEAST_DEALT, _MOST_DEALT = 50_000, 500_000
+
+
 @query(
     """with t as (select l_orderkey, l_linenumber, cast(sum(l_quantity) as double) as qty,
            cast(sum(cast(l_extendedprice as decimal(18,2))) as double) as price
@@ -225,11 +229,13 @@ def reshape_longer_pattern(spark, sf):
          left join t on t.l_orderkey = g.l_orderkey and t.l_linenumber = k"""
 )
 def reshape_longer_value(spark, sf):
-    # Dealt by order once; both aggregations then find their rows in place.
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    # Dealt by order once; both aggregations then find their rows in place. A task holds the
+    # groups of its rows, so the number of tasks grows with the table.
+    rows = lines.count()
+    tasks = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // _LEAST_DEALT)), -(-rows // _MOST_DEALT), 1)
     lines = (
-        table(spark, sf, "lineitem")
-        .select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
-        .repartition("l_orderkey")
+        lines.repartition(tasks, "l_orderkey")
         .groupBy("l_orderkey", "l_linenumber")
         .agg(F.sum("l_quantity").alias("qty"), money("l_extendedprice").alias("price"))
     )
