@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -46,13 +47,32 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: computed once, and safe from lost executors."""
+def staged(df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
+    """df written to the shared folder and read back: computed once, and safe from lost executors.
+
+    large_rows: for rows of megabytes. Each is a row group of its own, as writers and readers
+    hold row groups whole, however many rows a task has.
+    """
     folder = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(folder)
+    writer = df.write.option("compression", "zstd")
+    if large_rows:
+        writer = writer.option("parquet.block.row.count.limit", "1")
+    writer.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+@contextmanager
+def rows_alone(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside hand large rows to Python one by one, and not as many as a task has at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let workers import this package wherever they run: sent once per Spark context."""
     context = spark.sparkContext

@@ -9,6 +9,10 @@ the scaled forward recursion.
 Texts are read once, into blocks: the distinct words of a few megabytes of text and the texts
 as numbers into these. Counts meet words through one window over (word, block) rows and go
 back to the blocks, so no task ever holds the vocabulary.
+
+A block is a row, and a row is copied several times on its way through the JVM, its Arrow
+buffers and a Python worker. So a task holds one at a time, however many it has; numbers
+travel compressed, and the words stay behind once the symbols are known.
 """
 
 from __future__ import annotations
@@ -25,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import id_text, ship_package, slices, staged, text_or_empty
+from .base import id_text, rows_alone, ship_package, slices, staged, text_or_empty
 
 BLOCK_BYTES = 10 << 20
 _LANE_TOKENS = 1 << 19
 
 _BLOCK = "block long, words array<string>, kinds array<int>, n array<long>, id array<long>, held array<boolean>, length array<int>, ids binary"
+_TEXTS = "block long, id array<long>, held array<boolean>, length array<int>, ids binary, types int, symbols binary"
 _SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -53,58 +58,100 @@ def _kind(word: bytes, classes: int) -> int:
     return zlib.crc32(word[:1] + word[-2:]) % classes
 
 
+def _kinds(words: pa.Array, classes: int) -> np.ndarray:
+    """_kind of each word that is not empty; it is worked out once for words that begin and end alike."""
+    words = words.cast(pa.string())
+    if not len(words):
+        return np.zeros(0, np.int32)
+    cuts = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8).astype(np.int32)
+    first, last = data[cuts[:-1]], data[cuts[1:] - 1]
+    ends = np.where(np.diff(cuts) == 1, 1 << 24 | first, first << 16 | data[np.maximum(cuts[1:] - 2, 0)] << 8 | last)
+    found, which = np.unique(ends, return_inverse=True)
+    # Of a word of one letter that letter alone, of others the first and the last two.
+    letters = (bytes([x & 255]) if x >> 24 else x.to_bytes(3, "big") for x in found.tolist())
+    return np.array([_kind(x, classes) for x in letters], np.int32)[which]
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(cell: pa.Scalar, kind: np.dtype, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(cell.as_buffer(), n * kind.itemsize, codec="zstd"), kind) if n else np.zeros(0, kind)
+
+
+def _row(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 def _to_blocks(classes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 32
-        held: list[pa.RecordBatch] = []
+        # Of the texts so far only the words are held, not what the cutting makes besides.
+        chunks: list[pa.Array] = []
+        lengths: list[np.ndarray] = []
+        ids_of: list[pa.Array] = []
+        helds: list[pa.Array] = []
         size = 0
 
-        def flush() -> pa.RecordBatch:
-            nonlocal held, size, task
-            rows = pa.Table.from_batches(held).combine_chunks()
-            held, size = [], 0
-            words = pc.ascii_split_whitespace(pc.ascii_lower(rows["text"].combine_chunks()))
+        def add(rows: pa.RecordBatch) -> None:
+            words = pc.ascii_split_whitespace(pc.ascii_lower(rows.column("text")))
             per_text = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = words.flatten()
-            text = np.repeat(np.arange(len(per_text)), per_text)
-            full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-            coded = flat.filter(pa.array(full)).dictionary_encode()
-            length = np.bincount(text[full], minlength=len(per_text))
+            full = pc.not_equal(flat, "")
+            text = np.repeat(np.arange(len(per_text)), per_text)[full.to_numpy(zero_copy_only=False)]
+            chunks.append(flat.filter(full))
+            lengths.append(np.bincount(text, minlength=len(per_text)))
+            ids_of.append(rows.column("id"))
+            helds.append(rows.column("held"))
+
+        def flush() -> pa.RecordBatch:
+            nonlocal size, task
+            flat, length = pa.concat_arrays(chunks), np.concatenate(lengths)
+            chunks.clear()
+            lengths.clear()
+            coded = flat.dictionary_encode()
+            del flat
+            words, numbers = coded.dictionary.cast(pa.string()), coded.indices.to_numpy(zero_copy_only=False)
             stops = np.cumsum(length + 1)
             # Number 0 is the end of a text, the words follow.
             ids = np.zeros(int(stops[-1]), np.uint32)
             inner = np.ones(len(ids), bool)
             inner[stops - 1] = False
-            ids[inner] = coded.indices.to_numpy(zero_copy_only=False).astype(np.uint32) + 1
-            learn = ~rows["held"].to_numpy()
-            n = np.bincount(ids[np.repeat(learn, length + 1)], minlength=len(coded.dictionary) + 1)
-            kinds = [-1, *(_kind(w.encode(), classes) for w in coded.dictionary.to_pylist())]
+            ids[inner] = numbers
+            ids[inner] += 1
+            held = pa.concat_arrays(helds)
+            learn = ~held.to_numpy(zero_copy_only=False)
+            n = np.bincount(ids[np.repeat(learn, length + 1)], minlength=len(words) + 1)
             task += 1
-
-            def row(values: pa.Array) -> pa.ListArray:
-                return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-
-            return pa.RecordBatch.from_arrays(
+            out = pa.RecordBatch.from_arrays(
                 [
                     pa.array([task], pa.int64()),
-                    row(pa.concat_arrays([pa.array([""], coded.dictionary.type), coded.dictionary]).cast(pa.string())),
-                    row(pa.array(kinds, pa.int32())),
-                    row(pa.array(n, pa.int64())),
-                    row(rows["id"].combine_chunks()),
-                    row(rows["held"].combine_chunks()),
-                    row(pa.array(length + 1, pa.int32())),
-                    pa.array([ids.tobytes()], pa.binary()),
+                    _row(pa.concat_arrays([pa.array([""], pa.string()), words])),
+                    _row(pa.array(np.concatenate([[-1], _kinds(words, classes)]), pa.int32())),
+                    _row(pa.array(n, pa.int64())),
+                    _row(pa.concat_arrays(ids_of)),
+                    _row(held),
+                    _row(pa.array(length + 1, pa.int32())),
+                    pa.array([_packed(ids)], pa.binary()),
                 ],
                 names=["block", "words", "kinds", "n", "id", "held", "length", "ids"],
             )
+            ids_of.clear()
+            helds.clear()
+            size = 0
+            return out
 
         for batch in slices(batches, "text"):
-            held.append(batch)
+            add(batch)
             size += batch.column("text").nbytes
             if size >= BLOCK_BYTES:
                 yield flush()
-        if held:
+                pa.default_memory_pool().release_unused()
+        if chunks:
             yield flush()
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -206,14 +253,33 @@ def log_likelihoods(model: Model, symbols: np.ndarray, lengths: np.ndarray, segm
     return out + np.log(state.sum(axis=1))
 
 
-def _symbols(shape: Shape, top: dict[str, int], words: list[str], kinds: np.ndarray) -> np.ndarray:
-    out = (shape.words + 1 + kinds).astype(np.int32)
+def _symbol_type(shape: Shape) -> np.dtype:
+    return np.dtype(np.uint16 if shape.words + 1 + shape.classes <= 1 << 16 else np.uint32)
+
+
+def _symbols(shape: Shape, top: pa.Array, words: pa.Array, kinds: pa.Array) -> np.ndarray:
+    """The symbols of a block's words; top: the words that are symbols, in order."""
+    out = kinds.to_numpy().astype(np.int64) + (shape.words + 1)
+    found = pc.index_in(words, value_set=top)
+    known = found.is_valid().to_numpy(zero_copy_only=False)
+    out[known] = found.drop_null().to_numpy() + 1
     out[0] = 0
-    for k, w in enumerate(words):
-        s = top.get(w)
-        if s is not None:
-            out[k] = s
-    return out
+    return out.astype(_symbol_type(shape))
+
+
+def _to_texts(shape: Shape, shared):
+    """Blocks with the symbols of their words in place of the words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = pa.array(shared.value, pa.string())
+        for batch in batches:
+            for row in range(batch.num_rows):
+                symbols = _symbols(shape, top, batch.column("words")[row].values, batch.column("kinds")[row].values)
+                one = batch.slice(row, 1).select(["block", "id", "held", "length", "ids"])
+                yield one.append_column("types", pa.array([len(symbols)], pa.int32())).append_column("symbols", pa.array([_packed(symbols)], pa.binary()))
+            pa.default_memory_pool().release_unused()
+
+    return run
 
 
 def _count(shape: Shape, shared):
@@ -221,11 +287,10 @@ def _count(shape: Shape, shared):
         model, sums = shared.value, 0.0
         for batch in batches:
             for row in range(batch.num_rows):
-                words, kinds, length, held = (batch.column(c)[row].values for c in ("words", "kinds", "length", "held"))
-                local = _symbols(shape, model.top, words.to_pylist(), kinds.to_numpy().astype(np.int64))
-                symbols = local[np.frombuffer(batch.column("ids")[row].as_buffer(), np.uint32)]
-                length = length.to_numpy().astype(np.int64)
-                base, learn = np.cumsum(length) - length, ~held.to_numpy(zero_copy_only=False)
+                length = batch.column("length")[row].values.to_numpy().astype(np.int64)
+                base, learn = np.cumsum(length) - length, ~batch.column("held")[row].values.to_numpy(zero_copy_only=False)
+                local = _unpacked(batch.column("symbols")[row], _symbol_type(shape), batch.column("types")[row].as_py())
+                symbols = local[_unpacked(batch.column("ids")[row], np.dtype(np.uint32), int(length.sum()))]
                 base, length = base[learn], length[learn]
                 parts = -(-length // shape.segment)
                 text = np.repeat(np.arange(len(length)), parts)
@@ -260,21 +325,19 @@ def _score(shape: Shape, shared):
     def run(key, blocks: pa.Table, entries: pa.Table) -> pa.Table:
         model, tokens, kinds_n, kinds_v, types = shared.value
         out = []
-        count = None
         for row in range(blocks.num_rows):
-            words, kinds, length, held, ids = (blocks[c].combine_chunks()[row] for c in ("words", "kinds", "length", "held", "id"))
-            ids, held, kinds = ids.values, held.values, kinds.values.to_numpy().astype(np.int64)
-            count = np.zeros(len(kinds))
+            length, held, ids, types_here, packed, symbols = (blocks[c].combine_chunks()[row] for c in ("length", "held", "id", "types", "ids", "symbols"))
+            ids, held, length = ids.values, held.values, length.values.to_numpy().astype(np.int64)
+            local = _unpacked(symbols, _symbol_type(shape), types_here.as_py()).astype(np.int64)
+            count = np.zeros(len(local))
             count[entries["pos"].to_numpy()] = entries["c"].to_numpy()
-            local = _symbols(shape, model.top, words.values.to_pylist(), kinds)
             shared_symbol = local > shape.words
-            inside = np.zeros(len(kinds))
-            kind = kinds[shared_symbol]
+            inside = np.zeros(len(local))
+            kind = local[shared_symbol] - (shape.words + 1)
             inside[shared_symbol] = np.log((count[shared_symbol] + 1) / (kinds_n[kind] + kinds_v[kind] + 1))
             base = np.log10((count + 1) / (tokens + types + 1))
             known = (count > 0).astype(np.int64)
-            numbers = np.frombuffer(blocks["ids"].combine_chunks()[row].as_buffer(), np.uint32)
-            length = length.values.to_numpy().astype(np.int64)
+            numbers = _unpacked(packed, np.dtype(np.uint32), int(length.sum()))
             stops = np.cumsum(length)
             # Some texts at a time: about half a million tokens, or one longer text.
             first = 0
@@ -316,8 +379,8 @@ class LanguageModel:
         self.shape = shape
         held = F.pmod(F.crc32(id_text("id").cast("binary")), F.lit(7)) == 2
         rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("held", held)
-        self.blocks = staged(rows.mapInArrow(_to_blocks(shape.classes), _BLOCK), "lm-blocks")
-        local = self.blocks.select("block", F.posexplode(F.arrays_zip("words", "kinds", "n")).alias("pos", "w")).select("block", "pos", F.col("w.words").alias("word"), F.col("w.kinds").alias("kind"), F.col("w.n").alias("n"))
+        blocks = staged(rows.mapInArrow(_to_blocks(shape.classes), _BLOCK), "lm-blocks", large_rows=True)
+        local = blocks.select("block", F.posexplode(F.arrays_zip("words", "kinds", "n")).alias("pos", "w")).select("block", "pos", F.col("w.words").alias("word"), F.col("w.kinds").alias("kind"), F.col("w.n").alias("n"))
         same = W.partitionBy("word")
         counted = local.select("block", "pos", "kind", "word", F.sum("n").over(same).alias("c"), F.row_number().over(same.orderBy("block")).alias("r"))
         self.entries = staged(counted.select("block", "pos", "c", "kind", F.when(F.col("r") == 1, F.col("word")).alias("word")), "lm-words")
@@ -340,19 +403,24 @@ class LanguageModel:
         self.model = first_model(shape, unigrams, top)
         self.progress: list[float] = []
         k, size = self.model.emit.shape
+        shared = spark.sparkContext.broadcast(list(top))
+        with rows_alone(spark):
+            self.texts = staged(blocks.drop("n").mapInArrow(_to_texts(shape, shared), _TEXTS), "lm-texts", large_rows=True)
+        shared.unpersist()
         for _ in range(rounds if self.tokens else 0):
             shared = spark.sparkContext.broadcast(self.model)
-            parts = self.blocks.select("words", "kinds", "held", "length", "ids").mapInArrow(_count(shape, shared), "sums binary")
-            sums = parts.rdd.treeAggregate(np.zeros(2 * k + k * k + k * size + 1), lambda s, r: s + np.frombuffer(bytes(r[0])), lambda a, b: a + b, depth=2)
+            with rows_alone(spark):
+                parts = self.texts.select("held", "length", "ids", "types", "symbols").mapInArrow(_count(shape, shared), "sums binary").rdd
+                sums = parts.treeAggregate(np.zeros(2 * k + k * k + k * size + 1), lambda s, r: s + np.frombuffer(bytes(r[0])), lambda a, b: a + b, depth=2)
             self.progress.append(float(sums[-1]))
             self.model = next_model(self.model, sums, unigrams)
             shared.unpersist()
 
     def score(self) -> DataFrame:
         """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every text."""
-        spark = self.blocks.sparkSession
+        spark = self.texts.sparkSession
         shared = spark.sparkContext.broadcast((self.model, self.tokens, self.kinds_n, self.kinds_v, self.types))
-        blocks = self.blocks.groupBy("block")
+        blocks = self.texts.groupBy("block")
         return blocks.cogroup(self.entries.select("block", "pos", "c").groupBy("block")).applyInArrow(_score(self.shape, shared), _SCORE)
 
 

@@ -5,6 +5,8 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from loomframe.llm import hmm
@@ -140,3 +142,57 @@ def test_nothing_to_train_on(spark, empty):
     row = hmm_scores(spark.createDataFrame([(held, "a b")], "doc_id long, text string"), SMALL).first()
     assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (True, 3, 0, 0, 0.0)
     assert math.isfinite(row.score)
+
+
+def test_classes_of_many_words():
+    words = ["a", "ab", "abc", "abcd", "é", "ü1", "日本語", "z" * 40, "a", "\x00", "\x00\x00"]
+    for array in (pa.array(words), pa.array(["x", *words])[1:], pa.array(words, pa.large_string())):
+        assert hmm._kinds(array, 1024).tolist() == [hmm._kind(w.encode(), 1024) for w in words]
+    assert len(hmm._kinds(pa.array([], pa.string()), 1024)) == 0
+
+
+def test_symbols_of_words():
+    shape, words = Shape(words=3, classes=8), ["", "b", "x", "a", "yy"]
+    kinds = [-1, *(hmm._kind(w.encode(), 8) for w in words[1:])]
+    got = hmm._symbols(shape, pa.array(["a", "b"]), pa.array(words), pa.array(kinds, pa.int32()))
+    assert got.tolist() == [0, 2, 4 + kinds[2], 1, 4 + kinds[4]]
+    none = hmm._symbols(shape, pa.array([], pa.string()), pa.array(words), pa.array(kinds, pa.int32()))
+    assert none.tolist() == [0, *(4 + k for k in kinds[1:])]
+
+
+def test_a_task_holds_one_block(spark, monkeypatch):
+    """Blocks are row groups and Arrow batches of their own, take far less than four bytes a token, and leave the words behind."""
+    monkeypatch.setattr(hmm, "BLOCK_BYTES", 20_000)
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(f"word{x}" for x in rng.zipf(1.3, 2_000) % 100_000)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(12).coalesce(1)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    sizes = spark.sparkContext.accumulator(0)
+    plain = hmm._to_texts
+
+    def watched(shape, shared):
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    sizes.add(batch.num_rows > 1)
+                    yield batch
+
+            return plain(shape, shared)(seen())
+
+        return run
+
+    monkeypatch.setattr(hmm, "_to_texts", watched)
+    try:
+        lm = LanguageModel(docs, SMALL, rounds=1)
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "4"
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert sizes.value == 0
+    texts = lm.texts.collect()
+    assert len(texts) > 1 and "words" not in texts[0].asDict() and sum(len(r.id) for r in texts) == 60
+    assert sum(len(r.ids) + len(r.symbols) for r in texts) < 3 * 2_001 * 60
+    for name in {x.replace("file://", "") for x in lm.texts.inputFiles()}:
+        groups = pq.ParquetFile(name).metadata
+        assert groups.num_row_groups == groups.num_rows
+    assert result(lm.score().collect()) == base(rows)
